@@ -25,7 +25,12 @@ def build_session(app: str = "fathom", master: str | None = None, **conf: str) -
 
 
 def tune(spark: SparkSession, arrow_rows: int = 1000) -> SparkSession:
-    """Bound Arrow batches, so that a batch of long texts stays small in a Python worker."""
+    """Let Python workers find this package, and bound Arrow batches, so that a batch of long texts stays small."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    there = sc.environment.get("PYTHONPATH", "")
+    if root not in there.split(os.pathsep):  # for workers started elsewhere; on a cluster --py-files does this
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, there) if x)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000") or 10000) == 10000:
         spark.conf.set(key, str(arrow_rows))
