@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import budget, mixture, pieces, tokenize
+from . import budget, mixture, pieces, terms, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,22 @@ def p9_shares(spark, d):
 def p10_pieces(spark, d):
     limits = [(r["profile"], r["max_tokens"], r["overlap_tokens"]) for r in table(spark, d, "split_limits").collect()]
     return pieces.split_documents(table(spark, d, "documents"), limits)
+
+
+@query
+def p2_found(spark, d):
+    return terms.rare_terms(table(spark, d, "chunks"), min_tf=3, min_records=2, max_records=6).select("chunk_id", "term")
+
+
+SQL["p2_found"] = r"""
+WITH one AS (SELECT DISTINCT chunk_id, heading, content FROM chunks),
+runs AS (SELECT chunk_id, unnest(regexp_extract_all(coalesce(heading, '') || chr(10) || coalesce(content, ''), '[A-Z]+[a-z]*|[a-z]+')) AS t FROM one),
+tf AS (SELECT chunk_id, lower(t) AS term, count(*) AS n FROM runs WHERE length(t) >= 5 GROUP BY ALL),
+df AS (SELECT term, count(*) AS records FROM tf GROUP BY term HAVING count(*) BETWEEN 2 AND 6)
+SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE n >= 3
+"""
+
+
+@query
+def p2_top_terms(spark, d):
+    return terms.score_terms(table(spark, d, "chunks"), top=10)
