@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import budget, mixture, pieces, terms, tokenize
+from . import budget, mixture, pieces, syntax, terms, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,13 @@ SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE n >= 3
 @query
 def p2_top_terms(spark, d):
     return terms.score_terms(table(spark, d, "chunks"), top=10)
+
+
+@query
+def p5_found(spark, d):
+    return syntax.check_syntax(table(spark, d, "documents")).filter("NOT valid").select("path")
+
+
+@query
+def p5_rates(spark, d):
+    return syntax.failure_rates(syntax.check_syntax(table(spark, d, "documents")))
