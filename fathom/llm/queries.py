@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import budget, mixture, pieces, syntax, terms, tokenize
+from . import budget, docpairs, mixture, pieces, syntax, terms, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,13 @@ def p5_found(spark, d):
 @query
 def p5_rates(spark, d):
     return syntax.failure_rates(syntax.check_syntax(table(spark, d, "documents")))
+
+
+@query
+def p3_found(spark, d):
+    return docpairs.symbol_pairs(table(spark, d, "symbols")).select("symbol_id")
+
+
+@query
+def p3_source_pairs(spark, d):
+    return docpairs.source_pairs(table(spark, d, "documents"))

@@ -27,7 +27,6 @@ KEEP = 400_000
 _GROUPS = {"(": 0xE000, "[": 0xE800, "{": 0xF000}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _ERROR = "\x00"
-_REPEATS = re.compile(r"([^,]{1,8},)\1\1+")
 
 _RESERVED_JS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
 _WORDS_JS = "let static yield await async of get set as from type interface namespace module declare abstract readonly private protected public implements keyof infer is asserts satisfies unique override accessor global out assert using".split()
@@ -118,6 +117,8 @@ class Dialect:
         # >>= and >= may also close type arguments; >= is an operator only
         self.punct["^"], self.punct["&"], self.punct["|"] = a.add("^", "OP"), a.add("&", "OP"), a.add("|", "OP")
         self.punct["++"] = self.punct["--"] = a.add("INC")
+        comma = self.punct[","]
+        self.repeats = re.compile(f"([^{comma}]{{1,8}}{comma})\\1\\1+")
         self._cuts()
 
     def _cuts(self):
@@ -206,7 +207,7 @@ class Dialect:
                     got = len(parts) > 1 and all(self.fits(symbol, x) for x in parts)
                 if not got:
                     # in every list of these grammars two equal items in a row stand for any number
-                    short = _REPEATS.sub(r"\1\1", content) if len(content) > 64 else content
+                    short = self.repeats.sub(r"\1\1", content) if len(content) > 64 else content
                     cls = self.alpha.classes
                     got = recognise(self.grammar, [symbol], [cls[c] for c in short])
             self.known[key] = got
