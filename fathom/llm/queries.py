@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import budget, docpairs, mixture, pieces, syntax, terms, tokenize
+from . import budget, credentials, docpairs, mixture, pieces, syntax, terms, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,20 @@ def p3_found(spark, d):
 @query
 def p3_source_pairs(spark, d):
     return docpairs.source_pairs(table(spark, d, "documents"))
+
+
+@query
+def p6_found(spark, d):
+    chunks = credentials.find_credentials(table(spark, d, "chunks"), "chunks", "chunk_id", "content")
+    return chunks.unionByName(credentials.find_credentials(table(spark, d, "appsettings"), "appsettings", "settings_id", "body"))
+
+
+@query
+def p6_redacted_chunks(spark, d):
+    chunks = table(spark, d, "chunks").select("chunk_id", "path", "start_line", "content")
+    return credentials.redact_credentials(chunks, "content").filter("n_credentials > 0")
+
+
+@query
+def p6_redacted_settings(spark, d):
+    return credentials.redact_credentials(table(spark, d, "appsettings").select("settings_id", "path", "environment", "body"), "body")
