@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import budget, credentials, docpairs, mixture, pieces, syntax, terms, tokenize
+from . import budget, credentials, docpairs, mixture, pieces, provenance, syntax, terms, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,19 @@ def p6_redacted_chunks(spark, d):
 @query
 def p6_redacted_settings(spark, d):
     return credentials.redact_credentials(table(spark, d, "appsettings").select("settings_id", "path", "environment", "body"), "body")
+
+
+@query
+def p7_found(spark, d):
+    return provenance.machine_made(table(spark, d, "documents"), table(spark, d, "thirdparty")).select("path").distinct()
+
+
+@query
+def p7_reasons(spark, d):
+    made = provenance.machine_made(table(spark, d, "documents"), table(spark, d, "thirdparty"))
+    return made.groupBy("source", "reason").count()
+
+
+@query
+def p7_mined_patterns(spark, d):
+    return provenance.mine_patterns(provenance.classify_files(table(spark, d, "documents"), table(spark, d, "thirdparty")))
