@@ -1,4 +1,4 @@
 """Importing this module registers every query of the core."""
 
-from . import snapshot_queries  # noqa: F401
+from . import scalar_queries, snapshot_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
