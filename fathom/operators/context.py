@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut_lineage
 from . import graph, search
 
 WEIGHTS = {"fts": 0.4, "symbol": 0.3, "graph": 0.2, "path": 0.1}
@@ -31,7 +32,9 @@ def path_signal(files: DataFrame, terms: list[str]) -> DataFrame:
 def candidates(chunks: DataFrame, files: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signals, text evidence, symbol evidence): per file the greatest text and symbol score and the path score."""
     scored = search.scored_chunks(chunks, terms)
-    text, syms = search.evidence(scored), search.evidence(scored, symbols_only=True)
+    # a thousand rows at most, read many times below: kept apart from the scan that made them
+    both = cut_lineage(search.evidence(scored).unionByName(search.evidence(scored, symbols_only=True)).drop("content"))
+    text, syms = both.filter("kind <> 'symbol'"), both.filter("kind = 'symbol'")
     zero = F.lit(0.0)
     a = text.select("path", F.col("score").alias("fts"), zero.alias("symbol"), zero.alias("path_score"), F.array(F.lit("fts")).alias("why"))
     spec = F.col("score") * (1 + S.specificity(F.col("heading"), terms))
@@ -39,7 +42,7 @@ def candidates(chunks: DataFrame, files: DataFrame, terms: list[str]) -> tuple[D
     c = path_signal(files, terms).select("path", zero.alias("fts"), zero.alias("symbol"), "path_score", F.array("reason").alias("why"))
     rows = reduce(DataFrame.unionByName, [a, b, c])
     one = rows.groupBy("path").agg(F.max("fts").alias("fts"), F.max("symbol").alias("symbol"), F.max("path_score").alias("path_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"))
-    return one, text, syms
+    return cut_lineage(one), text, syms
 
 
 def seeds(signals: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def import_specifiers(sources: DataFrame) -> DataFrame:
     """(path, spec) of static imports and re-exports in TypeScript and JavaScript texts."""
     lang = S.detect_language(F.col("path"))
     src = sources.filter(lang.isin("typescript", "tsx", "javascript") & F.col("text").isNotNull())
-    spec = F.regexp_extract_all("text", F.lit(r"""(?m)^\s*(?:import|export)\b(?:[^;"'\n]|\n(?!\n))*?["']([^"'\n]+)["']"""), 1)
+    spec = F.regexp_extract_all("text", F.lit(r"""(?m)^[ \t\ufeff]*(?:import|export)\s(?:[\w$*{},\s]*\sfrom\s*)?["']([^"'\n]+)["']"""), 1)
     return src.select("path", F.explode(F.array_distinct(spec)).alias("spec"))
 
 

@@ -188,9 +188,9 @@ def a8_omissions(spark, d):
     return packing.omissions(packing.pack(_items(spark, d), BUDGET, TOP))
 
 
-@query(f"WITH RECURSIVE {sql_items()} SELECT path, first_value(path) OVER (PARTITION BY content_hash ORDER BY pos) AS duplicate_of FROM items WHERE content_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY pos) > 1")
+@query(f"WITH {SQL_FILES} SELECT path, first_value(path) OVER (PARTITION BY content_hash ORDER BY path) AS duplicate_of FROM live WHERE content_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY path) > 1")
 def j11_duplicates(spark, d):
-    return packing.duplicates(_items(spark, d))
+    return packing.duplicates(live_files(spark, d).select("path", "content_hash", F.col("path").alias("pos")))
 
 
 # -- outline and spans
