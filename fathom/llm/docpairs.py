@@ -11,117 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexing import clean_doc, extract_functions
 from ..session import spread, tune
 
 FUNCTION_KINDS = ("function", "method", "route")
 
-_STRINGS = r"""`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`|'(?:[^'\\\n]|\\[\s\S])*'"""
-_MASK_SCRIPT = re.compile(rf"""(?P<doc>/\*[\s\S]*?(?:\*/|$)|//[^\n]*)|(?P<text>"(?:[^"\\\n]|\\[\s\S])*"|{_STRINGS})|(?P<lead>(?:[=(,:\[!&|?{{}};>]|\breturn)\s*)(?P<regex>/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/)""")
-_MASK_CS = re.compile(r'''(?P<doc>/\*[\s\S]*?(?:\*/|$)|//[^\n]*)|(?P<text>\$*"""[\s\S]*?"""|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\[^'\n]+|\\')')''')
-_CALLED = re.compile(r"(?<![\w$#.])([A-Za-z_$#][\w$]*)[ \t]*(?:<[^(){}=;\n]*>)?\(")
-_ARROW = re.compile(r"(?:\bexport\s+)?\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=;{}\n]+)?=\s*(?:async\b\s*)?(?:function\b\s*\*?\s*[\w$]*\s*)?(?:<[^(){}=;\n]*>)?\(")
-_SCRIPT_FUNCTION = re.compile(r"(?:(?:export|default|async|declare)\s+)*function\s*\*?")
-_SCRIPT_MODS = re.compile(r"(?:(?:public|private|protected|static|async|override|abstract|get|set|\*)\s*)*")
-_CS_PREFIX = re.compile(r"(?:\[[^\[\]]*\]\s*)*(?!(?:return|await|throw|new|else|in|is|case|yield|when|where)\b)(?:[\w.?,<>:]|\[,*\]|(?<=[\w>?,])\s)+")
-_NO_NAMES = frozenset("if for while switch catch function return with do else new typeof await using lock foreach fixed sizeof nameof when constructor super import".split())
-_AFTER_SCRIPT = re.compile(r"\s*(?::[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?)?\s*(\{|=>\s*\{?|;)")
-_AFTER_CS = re.compile(r"\s*(?:where[^{};]*?)?\s*(\{|=>|;)")
-_BETWEEN = re.compile(r"(?:\s|\[[^\[\]]*\]|@[\w.]+(?:\([^()]*\))?|\b(?:export|default|public|private|protected|internal|static|async|abstract|override|virtual|sealed)\b)*")
-
-
-def mask(text: str, csharp: bool) -> tuple[str, list[tuple[int, int]]]:
-    """The code with comments and literals blanked, and the spans of the comments."""
-    comments: list[tuple[int, int]] = []
-
-    def blank(m):
-        s = m.group()
-        if m.lastgroup == "doc":
-            comments.append(m.span())
-        lead = m.group("lead") if not csharp and m.lastgroup == "regex" else ""
-        return lead + re.sub(r"[^\n]", " ", s[len(lead) :])
-
-    return (_MASK_CS if csharp else _MASK_SCRIPT).sub(blank, text), comments
-
-
-def _partners(code: str) -> dict[int, int]:
-    """Offset of each opening bracket or brace -> offset of its partner."""
-    out, stacks = {}, {")": [], "}": []}
-    for m in re.finditer(r"[(){}]", code):
-        c = m.group()
-        if c in "({":
-            stacks[")" if c == "(" else "}"].append(m.start())
-        elif stacks[c]:
-            out[stacks[c].pop()] = m.start()
-    return out
-
-
-def extract_functions(text: str, csharp: bool) -> list[dict]:
-    """Functions with a body (or an arrow or a semicolon after the parameters), in order of appearance.
-
-    Each has name, signature, doc (cleaned, '' without one), start and end offsets. A function whose
-    braces aren't closed ends with the text.
-    """
-    code, comments = mask(text, csharp)
-    partner = _partners(code)
-    ends = [e for _, e in comments]
-    out = []
-    heads = [(m.start(), m.end() - 1, m.group(1), "const") for m in _ARROW.finditer(code)] if not csharp else []
-    for m in _CALLED.finditer(code):
-        if m.group(1) in _NO_NAMES:
-            continue
-        line = max(code.rfind(c, 0, m.start()) for c in "\n;{}") + 1
-        before = code[line : m.start()]
-        begin, before = line + len(before) - len(before.lstrip()), before.strip()
-        if csharp:
-            if before and _CS_PREFIX.fullmatch(before):
-                heads.append((begin, m.end() - 1, m.group(1), "member"))
-        elif _SCRIPT_FUNCTION.fullmatch(before):
-            heads.append((begin, m.end() - 1, m.group(1), "function"))
-        elif _SCRIPT_MODS.fullmatch(before):
-            heads.append((begin, m.end() - 1, m.group(1), "member" if before else "bare"))
-    for start, paren, name, form in sorted(heads):
-        close = partner.get(paren)
-        if close is None:
-            continue
-        after = (_AFTER_CS if csharp else _AFTER_SCRIPT).match(code, close + 1)
-        if after is None:
-            continue
-        sign = after.group(1)
-        # a const needs an arrow or a body, a bare name a body: else it is a value or a call
-        if form == "const" and sign == ";" or form == "bare" and sign != "{" or form in ("function", "member") and not csharp and sign[0] == "=":
-            continue
-        brace = after.end() - 1 if sign[-1] == "{" else None
-        end = partner.get(brace, len(text)) + 1 if brace is not None else code.find(";", after.end() - 1) + 1 or len(text)
-        sig = re.sub(r"\s+", " ", text[start : after.start(1)]).strip()
-        k = bisect_left(ends, start + 1) - 1
-        doc = ""
-        if k >= 0 and _BETWEEN.fullmatch(code, ends[k], start):
-            first = k
-            while first > 0 and text.startswith("//", comments[first][0]) and text.startswith("//", comments[first - 1][0]) and code[ends[first - 1] : comments[first][0]].strip() == "" and code[ends[first - 1] : comments[first][0]].count("\n") <= 1:
-                first -= 1
-            doc = clean_doc(text[comments[first][0] : comments[k][1]])
-        out.append({"name": name, "signature": sig, "doc": doc, "start": start, "end": min(end, len(text))})
-    return out
-
-
-def clean_doc(comment: str) -> str:
-    """The text of a comment without its marks, tags and tag lines."""
-    lines = []
-    for line in comment.split("\n"):
-        line = re.sub(r"^\s*(?:/\*+!?|///?|\*+/?)|\*+/\s*$", "", line.rstrip())
-        lines.append(re.sub(r"\*/\s*$", "", line).strip())
-    kept = [x for x in lines if not re.match(r"@(?:param|returns?|throws|type|typeparam|template|see|since|author)\b", x)]
-    text = "\n".join(kept)
-    text = re.sub(r"<(param|typeparam|returns|exception)\b[\s\S]*?(?:</\1>|/>)", "", text)
-    return re.sub(r"</?[A-Za-z][^<>]*>", "", text).strip()
-
-
 # Words that add nothing to a name, and words that only stand in for a description.
 _FILLERS = frozenset("""
 a an the this that these those it its is are was be been being will would can does do did done of to for from in on at by with and or as into via
