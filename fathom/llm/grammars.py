@@ -16,10 +16,10 @@ Stmt = Compound | Simple End ;
 Last = Simple | 'if' PAREN N? Last | 'if' PAREN N? Stmt Skip 'else' N? Last | 'for' 'await'? FORHEAD N? Last | 'while' PAREN N? Last ;
 Compound = BLOCK | 'if' PAREN N? Body (N? 'else' N? Body)? | 'for' 'await'? FORHEAD N? Body | 'while' PAREN N? Body
   | 'do' N? Body N? 'while' PAREN | 'try' BLOCK N? ('catch' CATCH? BLOCK N?)? ('finally' BLOCK)? | 'switch' PAREN SWITCH
-  | 'with' PAREN N? Body | ID ':' N? Body | Function | Class | 'export' ('default')? (Function | Class) @COMPOUND ;
+  | 'with' PAREN N? Body | ID ':' N? Body | Function | Class | Deco* 'export' ('default')? (Function | Class) @COMPOUND ;
 Body = Stmt | ';' ;
 Simple = Expr | Var | 'return' Expr? | 'throw' Expr | ('break' | 'continue') ID? | 'debugger' | Import | Export @SIMPLE ;
-Var = ('const' | 'let' | 'var') Bind (',' Bind)* ;
+Var = ('const' | 'let' | 'var' | 'await'? 'using') Bind (',' Bind)* ;
 Bind = (ID | OBJPAT | ARRPAT) @BANG @ANN ('=' Assign)? ;
 Import = 'import' @TYPEWORD (STR | Clause 'from' STR) (('with' | 'assert') OBJ)? ;
 Clause = ID (',' (NAMED | '*' 'as' ID))? | NAMED | '*' 'as' ID ;
@@ -28,7 +28,7 @@ Function = 'async'? 'function' '*'? ID? @TPARAMS PARAMS @RET (BLOCK @BODILESS) ;
 Class = Deco* @ABSTRACT 'class' ID? @TPARAMS ('extends' Operand)? @IMPLEMENTS CLASSBODY ;
 Deco = '@' Primary Suffix* N? ;
 Expr = Assign (',' Assign)* ;
-Assign = Operand (Bin Operand @AS)* (Q Assign ':' Assign | '=' Assign | ASSIGN Assign)? | Arrow | 'yield' '*'? Assign? ;
+Assign = Operand (Bin Operand @AS)* (Q Assign ':' Assign | '=' Assign | ASSIGN Assign | '>'+ GE Assign)? | Arrow | 'yield' '*'? Assign? ;
 Q = '?' ;
 Bin = OP | '+' | '-' | '*' | '<' | '>' | '>' '>' | '>' '>' '>' | '|' | '&' | 'in' | 'instanceof' ;
 Operand = Prefix* Primary Suffix* ;
@@ -98,7 +98,7 @@ Child = JTEXT | JEXPR | Jsx ;
 
 _PLAIN = dict.fromkeys("COMPOUND SIMPLE BANG ANN TYPEWORD EXPORT TPARAMS RET BODILESS ABSTRACT IMPLEMENTS AS CAST SUFFIX JSX PARAMMOD OPT INDEXSIG MODS".split(), "")
 _TYPED = _PLAIN | {
-    "COMPOUND": "| 'export'? 'default'? 'declare'? (Interface | Enum | Namespace | 'abstract'? Class | Function)", "SIMPLE": "| Alias | Ambient | 'import' ID '=' Operand | 'export' '=' Expr",
+    "COMPOUND": "| Deco* 'export'? 'default'? 'declare'? (Interface | Enum | Namespace | Class | Function)", "SIMPLE": "| Alias | Ambient | 'import' ID '=' Operand | 'export' '=' Expr",
     "BANG": "'!'?", "ANN": "Ann?", "TYPEWORD": "'type'?", "EXPORT": "| 'export' (Alias | Ambient) | 'export' 'as' 'namespace' ID", "TPARAMS": "TParams?", "RET": "Ret?", "BODILESS": "| End",
     "ABSTRACT": "'abstract'?", "IMPLEMENTS": "('implements' Type (',' Type)*)?", "AS": "(('as' | 'satisfies') ('const' | Type))*", "CAST": "| '<' Type '>'", "SUFFIX": "| '!' | TArgs",
     "PARAMMOD": "('public' | 'private' | 'protected' | 'readonly' | 'override')*", "OPT": "'?'?", "INDEXSIG": "| Mod* INDEXKEY Ann? End",
@@ -173,7 +173,7 @@ CatchHead = Type ID? ;
 UsingHead = LocalDecl ;
 Decon = ID (',' ID)+ | DECON ;
 
-Expr = Operand (Bin Operand | 'is' Pattern | 'as' Type | 'switch' ARMS | 'with' INIT)* ('?' Expr ':' Expr | ('=' | ASSIGN) ('ref'? Expr | INIT))? | Lambda | 'throw' Expr | Query | 'ref' Expr ;
+Expr = Operand (Bin Operand | 'is' Pattern | 'as' Type | 'switch' ARMS | 'with' INIT)* ('?' Expr ':' Expr | ('=' | ASSIGN | '>'+ GE) ('ref'? Expr | INIT))? | Lambda | 'throw' Expr | Query | 'ref' Expr ;
 Bin = OP | '+' | '-' | '*' | '<' | '>' | '>' '>' | '>' '>' '>' | '..' ;
 Operand = Prefix* Primary Suffix* | Prefix* '..' Operand? | Primary Suffix* '..' ;
 Prefix = '+' | '-' | '!' | '~' | '^' | '*' | '&' | INC | 'await' | CAST ;

@@ -38,7 +38,7 @@ _TEMPLATE = r"`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"
 _REGEX = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
 _NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[A-Za-z]*)"
 _JS_TOKEN = "|".join([
-    rf"(?:=>|&&|\|\||\?\?|[!=]==?|[=(,:\[!&|?{{}};~^<>+\-*%]|\breturn|\btypeof|\bcase)\s*{_REGEX}",
+    rf"(?:=>|&&|\|\||\?\?|[!=]==?|[=(,:\[!&|?{{;~^<>+\-*%]|\breturn|\btypeof|\bcase)\s*{_REGEX}",
     r"[^\W\d][\w$]*|\$[\w$]*", r"\n\s*", r"[(){}\[\];,:]", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*",
     r"=>|===?|!==?|=|!", r"\.\.\.|\?\.(?!\d)|\.(?!\d)", r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", _NUMBER, _TEMPLATE,
     r"\*\*=?|&&=?|\|\|=?|\?\?=?|\+\+|--|<<=?|[+\-*/%&|^]=?|<=?|>=?|\?", r"#[\w$]+", r"\S",
@@ -48,7 +48,7 @@ _CS_TOKEN = "|".join([
     r"@?[^\W\d]\w*", r"[(){}\[\];,]", r"\n[ \t]*#[^\n]*", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\.\.|\?\.(?!\d)|\.(?!\d)|->|::|:", r"=>|==|!=|=",
     r'\$*"""(?!")[\s\S]*?"""(?!")|\$*""""(?!")[\s\S]*?""""(?!")',
     r'(?:\$@|@\$)"(?:[^"{}]|""|\{\{|\}\}|\{(?:[^{}"]|"[^"]*")*\})*"', r'\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|\{[^{}]*\})*\})*"', r'@"(?:[^"]|"")*"', _STR_CS,
-    r"'(?:[^'\\\n]|\\[^'\n]+|\\')'", _NUMBER, r"\+\+|--|\?\?=?|&&|\|\||<<=?|[+\-*/%&|^]=?|<=?|>=?|[!~?]", r"\S",
+    r"'(?:[^'\\\n]|\\[^'\n]+|\\')'", _NUMBER.replace(r"\d[\d_]*\.?[\d_]*", r"\d[\d_]*(?:\.\d[\d_]*)?"), r"\+\+|--|\?\?=?|&&|\|\||<<=?|[+\-*/%&|^]=?|<=?|>=?|[!~?]", r"\S",
 ])
 _JSON_TOKEN = r'[{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-])|(?:true|false|null)(?!\w)|[^ \t\r\n]'
 
@@ -110,7 +110,8 @@ class Dialect:
         self.TEMPLATE, self.REGEX, self.PRIVATE, self.N = a.add("TEMPLATE"), a.add("REGEX"), a.add("PRIVATE"), a.add("N")
         single = [".", "...", "?.", "=", "=>", "?", "!", "~", "+", "-", "*", "<", ">", "|", "&", "@", "^", "->", "::", ".."]
         self.punct = {p: a.add(p) for p in single} | {p: a.add(p) for p in ";,:"} | {b: b for b in "()[]{}"}
-        for op in "** && || ?? == != === !== <= >= << / %".split():
+        self.punct[">="] = a.add("OP", "GE")  # also the end of >>=
+        for op in "** && || ?? == != === !== <= << / %".split():
             self.punct[op] = a.add("OP")
         for op in "+= -= *= /= %= **= &= |= ^= <<= &&= ||= ??=".split():
             self.punct[op] = a.add("ASSIGN")
@@ -134,7 +135,7 @@ class Dialect:
         if not self.newlines:
             return
         before = [x for x in p.values() if x not in (")", "]", "}", p["!"], p["++"], p[">"])] + [c for w, c in s.items() if w in _RESERVED_JS and w not in ("return", "break", "continue", "throw", "this", "super", "null", "true", "false", "default")]
-        after = [p[x] for x in (".", "?.", ",", ";", ":", "=", "=>", "?", "+", "-", "*", "<", ">", "|", "&", "^", "&&", "+=")] + ["(", "[", ")", "]", "}", "{", self.TEMPLATE] + [s[w] for w in ("instanceof", "in", "else", "catch", "finally") if w in s]
+        after = [p[x] for x in (".", "?.", ",", ";", ":", "=", "=>", "?", "+", "-", "*", "<", ">", "|", "&", "^", "&&", "+=")] + ["(", "[", ")", "]", "}", "{", self.TEMPLATE] + [s[w] for w in ("instanceof", "in", "catch", "finally") if w in s]
         esc = lambda xs: "".join(re.escape(x) for x in sorted(set(xs)))
         self.idle = re.compile(f"(?<=[{esc(before)}]){self.N}+|^{self.N}+|{self.N}+(?=[{esc(after)}]|$)|{self.N}(?={self.N})")
 
@@ -145,8 +146,10 @@ class Dialect:
         c = t[0]
         if self.name == "csharp":
             return self._classify_cs(t, c)
+        if self.name == "json":
+            return self.STR if c == '"' and len(t) > 1 else self.NUM if t[-1].isdigit() and (c == "-" or c.isdigit()) else _ERROR
         if t[-1:] and "/" in t and c not in "/'\"`#\n" and not c.isspace() and re.search(r"/[A-Za-z]*$", t) and len(t) > 2:
-            head = re.match(r"=>|&&|\|\||\?\?|[!=]==?|[=(,:\[!&|?{};~^<>+\-*%]|return|typeof|case", t)
+            head = re.match(r"=>|&&|\|\||\?\?|[!=]==?|[=(,:\[!&|?{;~^<>+\-*%]|return|typeof|case", t)
             return self.kinds[head.group()] + self.REGEX
         if c == "\n":
             return self.N
@@ -274,6 +277,8 @@ class Tsx(Dialect):
 
     _TAG = re.compile(r"\s+|//[^\n]*|/\*[\s\S]*?\*/|[^\W\d][\w$]*|\$[\w$]*|\"[^\"]*\"|'[^']*'|/|>|.")
     _TEXT = re.compile(r"[^<{]+")
+    #: Type arguments of an element's name.
+    _GIVEN = re.compile(r"<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>")
 
     def _setup(self):
         super()._setup()
@@ -371,7 +376,8 @@ class Tsx(Dialect):
         out.append(self.open + "".join(self._name(m.group(1))))
         tags.append(m.group(1))
         modes.append("tag")
-        return m.end()
+        given = self._GIVEN.match(text, m.end())
+        return given.end() if given and m.group(1) else m.end()
 
 
 _dialects: dict[str, list[Dialect]] = {}
