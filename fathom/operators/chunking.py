@@ -38,13 +38,13 @@ def markdown(texts: DataFrame) -> DataFrame:
     """
     t = texts.filter(F.length("text") > 0).select("path", S.lines(F.col("text")).alias("l"))
     is_head = lambda x: x.rlike("^#{1,6} ")
-    at = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: is_head(F.element_at("l", i)))
+    at = F.filter(F.transform("l", lambda x, i: F.when(is_head(x), i + 1)), lambda i: i.isNotNull())
     t = t.withColumn("at", at).filter("size(l) > 0")
-    starts = F.when((F.size("at") > 0) & (F.element_at("at", 1) == 1), F.col("at")).otherwise(F.concat(F.array(F.lit(1)), F.col("at")))
+    starts = F.when((F.size("at") > 0) & (F.try_element_at("at", F.lit(1)) == 1), F.col("at")).otherwise(F.concat(F.array(F.lit(1)), F.col("at")))
     t = t.withColumn("s", starts)
     c = t.select("path", "l", "s", F.posexplode("s").alias("i", "start_line"))
     end = F.coalesce(F.try_element_at("s", F.col("i") + 2) - 1, F.size("l"))
-    line = F.element_at("l", F.col("start_line"))
+    line = F.try_element_at("l", F.col("start_line"))
     head = is_head(line)
     return c.select(
         "path", F.when(head, "markdownheading").otherwise("preamble").alias("kind"), "start_line", end.alias("end_line"),
