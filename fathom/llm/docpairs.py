@@ -41,7 +41,7 @@ _SHOWS = re.compile(r"(?i)\b(?:show|display|render)(?:s|ing)?\b")
 _COMPONENT = re.compile(r"[a-z](?:Panel|Badge|List|View|Page|Dialog|Card|Form|Row|Item|Icon|Menu|Button|Widget)$")
 _TODO = re.compile(r"(?i)\b(?:todo|fixme|xxx|hack)\b\s*(?:\([^)]*\))?\s*:?.*?(?:\.(?=\s|$)|$)", re.S)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])|[_\W]+")
 
 
 def _stem(w: str) -> str:

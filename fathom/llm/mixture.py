@@ -84,8 +84,9 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     """
     spark = sized.sparkSession
     want = {r["source"]: (r["s"], r["m"]) for r in targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("s"), F.max("max_repeats").alias("m")).collect()}
-    live = sized.filter((F.col("n_tokens") > 0) & F.col("source").isNotNull())
+    live = sized.select("doc_id", "source", "n_tokens").filter((F.col("n_tokens") > 0) & F.col("source").isNotNull())
     place = F.xxhash64(F.lit(seed), "doc_id")
+    # records of one id (repeated rows) share a place and follow one another
     live = live.withColumn("place", place).withColumn("block", F.pmod(F.shiftrightunsigned("place", 40), F.lit(BLOCKS)).cast("int"))
     by_block = live.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     # at most BLOCKS rows for each source that the parameter table names
