@@ -177,9 +177,14 @@ def is_ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
 # -- text
 
 
+#: What a full-text token is made of.
+TOKEN = r"[\p{L}\p{N}\p{Co}]"
+NO_TOKEN = r"[^\p{L}\p{N}\p{Co}]"
+
+
 def fold(c: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without the accents of Latin letters; plain ASCII skips the slow translation."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.lower(c), ACCENTED, PLAIN))
 
 
 def words(c: Column) -> Column:

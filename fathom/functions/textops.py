@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from typing import Protocol
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import tune, widen
 from .lexing import clean_doc, extract_functions, mask
 
 
@@ -73,10 +74,6 @@ _PROPERTY_CS = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|s
 _ROUTE_VERBS = frozenset("GET POST PUT PATCH DELETE HEAD OPTIONS".split())
 
 
-def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
-
-
 def _end(code: str, at: int) -> int:
     """Where the braces that open after an offset close; the end of the line where none open first."""
     brace, semi = code.find("{", at), code.find(";", at)
@@ -91,14 +88,13 @@ def _end(code: str, at: int) -> int:
     return len(code)
 
 
-def _doc_before(text: str, code: str, comments: list[tuple[int, int]], start: int) -> str | None:
-    before = [c for c in comments if c[1] <= start]
-    if not before or re.search(r"[^\s\[\]()\w@\",.]", code[before[-1][1] : start]) or code[before[-1][1] : start].strip():
+def _doc_before(text: str, code: str, comments: list[tuple[int, int]], ends: list[int], start: int) -> str | None:
+    k = last = bisect_right(ends, start) - 1
+    if k < 0 or code[ends[k] : start].strip():
         return None
-    k = len(before) - 1
-    while k > 0 and text.startswith("//", before[k][0]) and text.startswith("//", before[k - 1][0]) and not code[before[k - 1][1] : before[k][0]].strip():
+    while k > 0 and text.startswith("//", comments[k][0]) and text.startswith("//", comments[k - 1][0]) and not code[ends[k - 1] : comments[k][0]].strip():
         k -= 1
-    return clean_doc(text[before[k][0] : before[-1][1]]) or None
+    return clean_doc(text[comments[k][0] : ends[last]]) or None
 
 
 def extract_symbols(path: str, text: str | None) -> list[tuple]:
@@ -114,6 +110,8 @@ def extract_symbols(path: str, text: str | None) -> list[tuple]:
         return []
     text = text.replace("\r\n", "\n")
     code, comments = mask(text, csharp)
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    ends = [e for _, e in comments]
     out, types = [], []
     for m in (_TYPE_CS if csharp else _TYPE_SCRIPT).finditer(code):
         start = m.start() + len(m.group()) - len(m.group().lstrip())
@@ -121,11 +119,11 @@ def extract_symbols(path: str, text: str | None) -> list[tuple]:
         kind = "typealias" if m.group(1) == "type" else m.group(1)
         controller = csharp and (m.group(2).endswith("Controller") or "[ApiController]" in text[max(0, start - 400) : m.end()])
         types.append((start, end, controller, kind))
-        out.append((m.group(2), kind, start, end, _doc_before(text, code, comments, start)))
+        out.append((m.group(2), kind, start, end, _doc_before(text, code, comments, ends, start)))
     if csharp:
         for m in _PROPERTY_CS.finditer(code):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            out.append((m.group(2), "property", start, _end(code, m.end()), _doc_before(text, code, comments, start)))
+            out.append((m.group(2), "property", start, _end(code, m.end()), _doc_before(text, code, comments, ends, start)))
     route_file = bool(re.search(r"(?:^|/)app/(?:.*/)?route\.(?:ts|tsx|js)$", path))
     for f in extract_functions(text, csharp):
         inside = [t for t in types if t[0] < f["start"] < t[1] and t[3] in ("class", "struct", "record", "interface")]
@@ -135,8 +133,8 @@ def extract_symbols(path: str, text: str | None) -> list[tuple]:
         out.append((f["name"], kind, f["start"], f["end"] - 1, f["doc"] or None))
     rows = []
     for name, kind, start, end, doc in sorted(out, key=lambda r: (r[2], r[0])):
-        first = text[start:].split("\n", 1)[0].split("{", 1)[0]
-        rows.append((name, kind, _line(text, start), _line(text, min(end, len(text))), re.sub(r"\s+", " ", first).strip(), doc))
+        first = text[start : start + 4000].split("\n", 1)[0].split("{", 1)[0]
+        rows.append((name, kind, bisect_left(breaks, start) + 1, bisect_left(breaks, min(end, len(text))) + 1, re.sub(r"\s+", " ", first).strip(), doc))
     return rows
 
 
@@ -150,7 +148,7 @@ def symbols(texts: DataFrame) -> DataFrame:
             rows = [(p, *s) for p, t in zip(df["path"], df["text"]) for s in extract_symbols(p, t)]
             yield pd.DataFrame(rows, columns=["path", "name", "kind", "start_line", "end_line", "signature", "doc"])
 
-    return texts.select("path", F.col("text").cast("string")).mapInPandas(run, schema)
+    return widen(texts.select("path", F.col("text").cast("string"))).mapInPandas(run, schema)
 
 
 # -- comments and differences

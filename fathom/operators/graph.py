@@ -6,9 +6,7 @@ AQE's skew handling, as a join result has one row for each link in any case.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -30,34 +28,53 @@ def neighbors(edges: DataFrame, files: DataFrame, kind: str, outgoing: bool) ->
     return e.join(files.select(F.col("path").alias("neighbor")).distinct(), "neighbor", "left_semi")
 
 
+#: (kind, outgoing) -> relation of a file to its neighbour, why, and how an expansion names the step
+FORMS = {("import", True): ("imports", "import-edge", "imported-by:"), ("import", False): ("imported_by", "reverse-import-edge", "imports:"), ("test", True): ("tests", "test-link", "tested-by:"), ("test", False): ("tested_by", "test-link", "test-of:")}
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(from, to, relation, why, how): each edge as a step in either direction, in one pass over the edges."""
+
+    def pick(outgoing: bool, i: int) -> Column:
+        return F.when(F.col("kind") == "import", FORMS["import", outgoing][i]).when(F.col("kind") == "test", FORMS["test", outgoing][i])
+
+    def step(a: str, b: str, outgoing: bool) -> Column:
+        return F.struct(F.col(a).alias("from"), F.col(b).alias("to"), pick(outgoing, 0).alias("relation"), pick(outgoing, 1).alias("why"), pick(outgoing, 2).alias("how"))
+
+    e = edges.filter("kind IN ('import', 'test')").select("src", "dst", "kind").distinct()
+    return e.select(F.explode(F.array(step("src", "dst", True), step("dst", "src", False))).alias("s")).select("s.*")
+
+
+def _known(df: DataFrame, files: DataFrame, column: str) -> DataFrame:
+    return df.join(files.select(F.col("path").alias(column)).distinct(), column, "left_semi")
+
+
 def related(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, relation, neighbor, reason) of every file in all four relations."""
-    forms = [("import", True, "imports", "import-edge"), ("import", False, "imported_by", "reverse-import-edge"), ("test", True, "tests", "test-link"), ("test", False, "tested_by", "test-link")]
-    parts = [neighbors(edges, files, k, out).select("path", F.lit(rel).alias("relation"), "neighbor", F.lit(why).alias("reason")) for k, out, rel, why in forms]
-    return reduce(DataFrame.unionByName, parts)
+    """(path, relation, neighbor, reason) of every file in all four relations; neighbours are known files."""
+    steps = both_ways(edges).select(F.col("from").alias("path"), "relation", F.col("to").alias("neighbor"), F.col("why").alias("reason"))
+    return _known(steps, files, "neighbor").select("path", "relation", "neighbor", "reason")
 
 
 def links(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(from, to, how): every link in both directions, as a step of the expansion takes it."""
-    forms = [("import", True, "imported-by:"), ("import", False, "imports:"), ("test", True, "tested-by:"), ("test", False, "test-of:")]
-    parts = [neighbors(edges, files, k, out).select(F.col("path").alias("from"), F.col("neighbor").alias("to"), F.lit(how).alias("how")) for k, out, how in forms]
-    return reduce(DataFrame.unionByName, parts)
+    return _known(both_ways(edges).select("from", "to", "how"), files, "to").select("from", "to", "how")
 
 
 def expand(seeds: DataFrame, edges: DataFrame, files: DataFrame, hops: int = 2, decay: float = 0.5) -> DataFrame:
     """(path, reason, hop, gain) of every link taken from ``seeds`` (path, strength).
 
     A file is expanded once, in the first round that reaches it, with the greatest strength that reaches
-    it in that round; each round's strength is the one before times ``decay``.
+    it in that round; each round's strength is the one before times ``decay``. Known files are looked up
+    after a round's join, for what the frontier reaches only.
     """
-    step = links(edges, files)
-    known = files.select("path").distinct()
-    frontier = seeds.join(known, "path", "left_semi").select("path", "strength")
+    step = both_ways(edges).select("from", "to", "how")
+    frontier = _known(seeds.select("path", "strength"), files, "path").select("path", "strength")
     done, out = frontier.select("path"), None
     for hop in range(1, hops + 1):
         taken = frontier.join(step, frontier["path"] == step["from"]).select(
             F.col("to").alias("path"), F.concat("how", "from").alias("reason"), F.lit(hop).alias("hop"), (F.col("strength") * decay).alias("gain")
         )
+        taken = _known(taken, files, "path").select("path", "reason", "hop", "gain")
         out = taken if out is None else out.unionByName(taken)
         if hop < hops:
             frontier = taken.groupBy("path").agg(F.max("gain").alias("strength")).join(done, "path", "left_anti")

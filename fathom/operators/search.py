@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import widen
 
 PER_FILE, OVERALL = 8, 500
 K1, B = 1.2, 0.75
@@ -33,14 +34,20 @@ def analyze(query: str, synonyms: dict[str, list[str]] | None = None, stop: bool
 
 
 def matches(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Chunks with ``dl`` (tokens) and ``tf`` (occurrences of each term). A null content has no tokens."""
-    toks = S.words(F.col("content"))
+    """Chunks with ``dl`` (tokens) and ``tf`` (occurrences of each term). A null content has no tokens.
 
-    def count(term: str) -> Column:
-        return F.size(F.filter(toks, lambda x: x == F.lit(term)))
+    One pass of a regular expression puts two blanks between tokens; after that tokens and terms are
+    counted by the bytes that plain replacements take away.
+    """
+    spaced = F.trim(F.regexp_replace(S.fold(F.coalesce("content", F.lit(""))), rf"{S.NO_TOKEN}+", "  "))
+    wide = chunks.withColumn("spaced", F.concat(F.lit(" "), spaced, F.lit(" ")))
 
-    tf = F.array(*map(count, terms))
-    return chunks.withColumns({"dl": F.size(toks), "tf": tf})
+    def taken(what: str) -> Column:
+        return F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(what), F.lit("")))
+
+    dl = F.when(F.octet_length("spaced") <= 2, 0).otherwise(taken("  ") / 2 + 1).cast("int")
+    tf = [(taken(f" {t} ") / (len(t.encode()) + 2)).cast("int") for t in terms]
+    return wide.withColumns({"dl": dl, "tf": F.array(*tf)}).drop("spaced")
 
 
 def bm25(tf: Column, dl: Column, n_docs: int, total: int, df: list[int]) -> Column:
@@ -57,13 +64,24 @@ def bm25(tf: Column, dl: Column, n_docs: int, total: int, df: list[int]) -> Colu
 
 
 def scored_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Matching chunks with their score; no terms, no rows."""
+    """Matching chunks, without their content, with their score; no terms, no rows.
+
+    Repeated rows of a chunk_id count once; they are dropped after counting, so texts are not shuffled.
+    """
     if not terms:
-        return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    m = matches(chunks, terms)
+        return chunks.drop("content").withColumn("score", F.lit(0.0)).limit(0)
+
+    def counted(c: DataFrame, hits: bool = False) -> DataFrame:
+        m = matches(widen(c), terms).drop("content")
+        if hits:
+            m = m.filter(F.exists("tf", lambda x: x > 0))
+        return m.dropDuplicates(["chunk_id"]) if "chunk_id" in c.columns else m
+
+    m = counted(chunks.select("content", *(["chunk_id"] if "chunk_id" in chunks.columns else [])))
     s = m.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     df = [s[f"df{i}"] or 0 for i in range(len(terms))]
-    hit = m.filter(F.exists("tf", lambda x: x > 0))
+    some = reduce(lambda a, b: a | b, (S.fold(F.coalesce("content", F.lit(""))).contains(t) for t in terms))
+    hit = counted(chunks.filter(some), hits=True)
     # equal scores stay equal on any engine: nine decimals
     score = F.floor(bm25(F.col("tf"), F.col("dl"), s["n"], s["total"] or 0, df) * 1e9 + 0.5) / 1e9
     return hit.withColumn("score", score).drop("tf", "dl")

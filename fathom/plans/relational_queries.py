@@ -258,5 +258,5 @@ def u2_merged_receipts(spark, d):
 
 @query()
 def a6_u5_context_signals(spark, d):
-    sig, _, _ = context.candidates(chunks(spark, d), live_files(spark, d), TERMS)
+    sig, _, _ = context.candidates(table(spark, d, "chunks"), live_files(spark, d), TERMS)
     return sig.select("path", S.round4(F.col("fts")).alias("fts"), S.round4(F.col("symbol")).alias("symbol"), "reasons")

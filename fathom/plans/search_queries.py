@@ -42,12 +42,12 @@ SELECT path, kind, start_line, end_line, heading, floor(score * 1e4 + 0.5) / 1e4
 
 @query(_sql_search(PLAIN_TERMS, 10))
 def t5_search(spark, d):
-    return search.search(chunks(spark, d), PLAIN_TERMS, 10)
+    return search.search(table(spark, d, "chunks"), PLAIN_TERMS, 10)
 
 
 @query(_sql_search(["merge", "forecast"], 10, "kind = 'symbol'"))
 def t5_search_symbols(spark, d):
-    return search.search(chunks(spark, d), ["merge", "forecast"], 10, symbols_only=True)
+    return search.search(table(spark, d, "chunks"), ["merge", "forecast"], 10, symbols_only=True)
 
 
 @query(f"SELECT unnest({_list(TERMS)}) AS term, unnest(range({len(TERMS)}))::INT AS place")
@@ -57,7 +57,7 @@ def t1_t2_query_terms(spark, d):
 
 @query(f"WITH {sql_scored(TERMS)} SELECT chunk_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM scored")
 def t4_bm25(spark, d):
-    return search.scored_chunks(chunks(spark, d), TERMS).select("chunk_id", S.round4(F.col("score")).alias("score"))
+    return search.scored_chunks(table(spark, d, "chunks"), TERMS).select("chunk_id", S.round4(F.col("score")).alias("score"))
 
 
 def _sql_evidence(where: str) -> str:
@@ -66,7 +66,7 @@ def _sql_evidence(where: str) -> str:
 
 @query(f"WITH {sql_scored(TERMS)}, a AS ({_sql_evidence(chr(107) + 'ind <> ' + chr(39) + 'symbol' + chr(39))}), b AS ({_sql_evidence(chr(107) + 'ind = ' + chr(39) + 'symbol' + chr(39))}) SELECT 'text' AS channel, chunk_id FROM a UNION ALL SELECT 'symbol', chunk_id FROM b")
 def t6_w2_evidence(spark, d):
-    s = search.scored_chunks(chunks(spark, d), TERMS)
+    s = search.scored_chunks(table(spark, d, "chunks"), TERMS)
     a, b = search.evidence(s), search.evidence(s, symbols_only=True)
     return a.select(F.lit("text").alias("channel"), "chunk_id").unionByName(b.select(F.lit("symbol").alias("channel"), "chunk_id"))
 
@@ -119,7 +119,7 @@ ranked AS (SELECT *, {nine("score * 0.9 ** (row_number() OVER (PARTITION BY rege
 
 
 def _ranked(spark, d):
-    return context.rank(chunks(spark, d), live_files(spark, d), edges(spark, d), TERMS)
+    return context.rank(table(spark, d, "chunks"), live_files(spark, d), edges(spark, d), TERMS)
 
 
 _r4 = lambda c: f"floor({c} * 1e4 + 0.5) / 1e4 AS {c}"
@@ -137,14 +137,14 @@ def q5_o2_context_top(spark, d):
 
 @query(f"WITH {sql_ranked(TERMS)} SELECT path, hop, f AS via, {_r4('gain')} FROM steps")
 def g3_a12_expansion(spark, d):
-    sig, _, _ = context.candidates(chunks(spark, d), live_files(spark, d), TERMS)
+    sig, _, _ = context.candidates(table(spark, d, "chunks"), live_files(spark, d), TERMS)
     steps = graph.expand(context.seeds(sig), edges(spark, d), live_files(spark, d))
     return steps.select("path", "hop", F.regexp_replace("reason", "^[a-z-]+:", "").alias("via"), S.round4(F.col("gain")).alias("gain"))
 
 
 @query(f"WITH {sql_ranked(TERMS)} SELECT path, (fts > 0)::INT + (symbol > 0)::INT + (path_score > 0)::INT AS channels FROM sig")
 def u5_a11_candidates(spark, d):
-    sig, _, _ = context.candidates(chunks(spark, d), live_files(spark, d), TERMS)
+    sig, _, _ = context.candidates(table(spark, d, "chunks"), live_files(spark, d), TERMS)
     return sig.select("path", sum(((F.col(c) > 0).cast("int") for c in ("fts", "symbol", "path_score")), F.lit(0)).alias("channels"))
 
 
@@ -217,7 +217,7 @@ def w5_outline_matched(spark, d):
 def w6_spans(spark, d):
     from pyspark.sql import Window
 
-    text = search.evidence(search.scored_chunks(chunks(spark, d), TERMS))
+    text = search.evidence(search.scored_chunks(table(spark, d, "chunks"), TERMS))
     w = Window.partitionBy("path").orderBy(F.desc("score"), "start_line", "end_line", "chunk_id")
     return context.select_spans(text.select("path", F.row_number().over(w).alias("rank"), "start_line", "end_line"))
 

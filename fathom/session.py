@@ -56,3 +56,15 @@ def spread(df: DataFrame, *keys, minimum: int = 12) -> DataFrame:
     """Repartition by ``keys`` into as many parts as the session shuffles into."""
     n = max(minimum, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan of few, large partitions over all cores before costly Python work.
+
+    Inputs with as many partitions as half of the cores, and inputs that a shuffle has made, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or 2 * plan.execute().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
