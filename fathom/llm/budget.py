@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_path
-from ..session import cut_lineage, tune
+from ..session import cut_lineage, tune, widen
 from .tokenize import encode, vocabulary
 
 FEATURES = ["n_bytes", "letters", "words", "humps", "digits", "numbers", "punctuation", "signs", "spaces", "gaps", "lines", "two_byte", "three_byte", "four_byte", "scripts"]
@@ -79,7 +79,7 @@ def features(docs: DataFrame, sample: Column, ranks: str | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.array(m[:, i]) for i in range(len(FEATURES))), pa.array(n, pa.int64())], names=[*keep, *FEATURES, "n_tokens"])
 
     schema = "doc_id bigint, source string, path string, language string, " + ", ".join(f"{f} double" for f in FEATURES) + ", n_tokens bigint"
-    return docs.select(F.col("text").cast("string"), F.coalesce(sample, F.lit(False)).alias("sampled"), *keep).mapInArrow(run, schema)
+    return widen(docs.select(F.col("text").cast("string"), F.coalesce(sample, F.lit(False)).alias("sampled"), *keep)).mapInArrow(run, schema)
 
 
 def fit(rows, holdout: float = 0.5) -> dict[str, tuple[np.ndarray, float]]:

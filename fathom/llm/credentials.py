@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import tune, widen
 
 PLACEHOLDER = "REDACTED"
 #: Windows of a long text and their overlap, in characters; a value that begins in a window is read to its end.
@@ -306,7 +306,7 @@ def find_credentials(df: DataFrame, tab: str, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.int32())], names=["id", "line"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") > 0)
-    return rows.mapInArrow(run, "id bigint, line int").distinct().select(F.lit(tab).alias("tab"), "id", "line")
+    return widen(rows).mapInArrow(run, "id bigint, line int").distinct().select(F.lit(tab).alias("tab"), "id", "line")
 
 
 def redact_credentials(df: DataFrame, text_col: str) -> DataFrame:
@@ -324,4 +324,4 @@ def redact_credentials(df: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[*keep, text_col, "n_credentials"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{text_col}` string", "n_credentials int"])
-    return df.select(F.col(text_col).cast("string"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return widen(df.select(F.col(text_col).cast("string"), *(F.col(f"`{c}`") for c in keep))).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import clean_doc, extract_functions
-from ..session import spread, tune
+from ..session import spread, tune, widen
 
 FUNCTION_KINDS = ("function", "method", "route")
 
@@ -159,4 +159,4 @@ def source_pairs(docs: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "name", "signature", "doc", "start", "end"])
 
-    return src.mapInArrow(run, "path string, name string, signature string, doc string, start int, `end` int")
+    return widen(src).mapInArrow(run, "path string, name string, signature string, doc string, start int, `end` int")

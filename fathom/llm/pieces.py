@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import tune, widen
 from .tokenize import encode, token_bytes, vocabulary
 
 #: Fixed value: the characters that the pre-tokenizer counts as white space.
@@ -210,4 +210,4 @@ def split_documents(df: DataFrame, limits: list[tuple[str, int, int]], id_col: s
 
     types = [to_arrow_type(kind), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
     schema = f"`{id_col}` {kind.simpleString()}, profile string, piece int, start int, `end` int, n_tokens int, overlap_tokens int, cut string, text string"
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return widen(df.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, schema)

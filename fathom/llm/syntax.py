@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import tune, widen
 from .gll import compiled, recognise
 from .grammars import ROLES
 
@@ -431,7 +431,7 @@ def check_syntax(docs: DataFrame, path_col: str = "path", text_col: str = "text"
             ok = [is_valid(t, lang) if t and not t.isspace() else None for t, lang in zip(text.to_pylist(), language.to_pylist())]
             yield pa.RecordBatch.from_arrays([path, source, language, pa.array(ok, pa.bool_())], names=["path", "source", "language", "valid"])
 
-    return rows.mapInArrow(run, "path string, source string, language string, valid boolean")
+    return widen(rows).mapInArrow(run, "path string, source string, language string, valid boolean")
 
 
 def failure_rates(checked: DataFrame) -> DataFrame:

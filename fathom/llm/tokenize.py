@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import tune, widen
 
 #: Where vocabulary files are looked for; a path can be given to every operator instead.
 FOLDER = os.environ.get("FATHOM_TOKENIZERS", "/opt/tokenizers")
@@ -98,7 +98,7 @@ def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return widen(df.select(id_col, F.col(text_col).cast("string"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -130,4 +130,4 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", r
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*keep, out])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` bigint"])
-    return df.select(F.col(text_col).cast("string"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return widen(df.select(F.col(text_col).cast("string"), *(F.col(f"`{c}`") for c in keep))).mapInArrow(run, schema)
