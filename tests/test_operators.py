@@ -242,3 +242,23 @@ def test_evaluation(spark):
     labels = df(spark, [("q", "a", 0, False), ("q", "b", 1, False), ("q", "x", 0, True)], "query string, path string, place int, forbidden boolean")
     m = evaluation.metrics(ranked, labels).first()
     assert (m["recall_1"], m["recall_3"], m["leaked"]) == (0.5, 1.0, True) and 0.9 < m["ndcg_8"] < 1.0
+
+
+def test_command_line_and_server(spark, repo, tmp_path, capsys):
+    import io
+
+    from fathom import cli
+    from fathom.api import Repository
+
+    where = ["--root", str(repo), "--home", str(tmp_path / "h")]
+    assert cli.main([*where, "search", "login"], spark) == 3
+    assert cli.main([*where, "index"], spark) == 0
+    assert cli.main([*where, "search", "login"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["kind"] == "search"
+    assert cli.main([*where, "search", "nothinglikethis"], spark) == 1
+    assert cli.main([*where, "memory", "add", " "], spark) == 2
+    out = io.StringIO()
+    asks = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "login"}}}, {"id": 4, "method": "tools/call", "params": {"name": "nope"}}, {"id": 5, "method": "x"}]
+    cli.serve(Repository(spark, str(repo), str(tmp_path / "h")), [json.dumps(a) for a in asks] + ["", "not json"], out)
+    got = [json.loads(x) for x in out.getvalue().strip().split("\n")]
+    assert len(got[1]["result"]["tools"]) == 7 and not got[2]["result"]["isError"] and got[3]["result"]["isError"] and got[4]["error"]
