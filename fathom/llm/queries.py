@@ -128,3 +128,12 @@ def p7_reasons(spark, d):
 @query
 def p7_mined_patterns(spark, d):
     return provenance.mine_patterns(provenance.classify_files(table(spark, d, "documents"), table(spark, d, "thirdparty")))
+
+
+@query
+def p9_shares_of_everything(spark, d):
+    """Shares where the mix is as large as all wanted sources: caps bind, so the weights are tempered."""
+    sized, targets = mixture.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    wanted = sized.join(targets.filter("target_share > 0").select("source").distinct(), "source", "left_semi")
+    total = wanted.selectExpr("coalesce(sum(n_tokens), 0) AS n").first()["n"]
+    return mixture.shares(sized, mixture.mix(sized, targets, total=total), targets)
