@@ -90,7 +90,7 @@ def a3_languages(spark, d):
 
 
 @query(f"""WITH {SQL_FILES}, up AS (SELECT unnest(list_transform(range(0, len(string_split(path, '/'))), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS dir, line_count FROM live)
-SELECT dir, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth, count(*) AS files, sum(line_count)::BIGINT AS loc FROM up GROUP BY dir""")
+SELECT dir, (CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END)::INT AS depth, count(*) AS files, sum(line_count)::BIGINT AS loc FROM up GROUP BY dir""")
 def a4_directory_tree(spark, d):
     return architecture.tree(live_files(spark, d))
 
@@ -140,7 +140,7 @@ def j8_j14_changed(spark, d):
 
 
 @query(f"""WITH {_DIFF}, {SQL_EDGES}, t AS (SELECT DISTINCT src AS path, CASE kind WHEN 'test' THEN 'test-of:' ELSE 'imports:' END || dst AS reason FROM ued JOIN df ON dst = df.path AND status IN ('modified', 'deleted'))
-SELECT path, CASE WHEN count(*) > 2 THEN 3 ELSE count(*) END AS reasons FROM t WHERE path NOT IN (SELECT path FROM df WHERE status <> 'unchanged') GROUP BY path""")
+SELECT path, (CASE WHEN count(*) > 2 THEN 3 ELSE count(*) END)::INT AS reasons FROM t WHERE path NOT IN (SELECT path FROM df WHERE status <> 'unchanged') GROUP BY path""")
 def j9_impacted(spark, d):
     i = changes.impacted(changes.diff(live_files(spark, d, 1), live_files(spark, d)), edges(spark, d))
     return i.select("path", F.size("reasons").alias("reasons"))

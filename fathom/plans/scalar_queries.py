@@ -82,9 +82,9 @@ def f8_containment(spark, d):
     return a.join(b, (F.col("a.path") == F.col("b.path")) & inside).select(F.col("a.symbol_id").alias("outer_id"), F.col("b.symbol_id").alias("inner_id"))
 
 
-@query(r"SELECT symbol_id, list_filter(string_split_regex(lower(signature), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS tokens FROM (SELECT DISTINCT symbol_id, signature FROM symbols) WHERE signature IS NOT NULL")
+@query(r"SELECT symbol_id, array_to_string(list_filter(string_split_regex(lower(signature), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''), ' ') AS tokens FROM (SELECT DISTINCT symbol_id, signature FROM symbols) WHERE signature IS NOT NULL")
 def f11_query_tokens(spark, d):
-    return table(spark, d, "symbols").select("symbol_id", "signature").distinct().filter("signature IS NOT NULL").select("symbol_id", S.tokenize(F.col("signature")).alias("tokens"))
+    return table(spark, d, "symbols").select("symbol_id", "signature").distinct().filter("signature IS NOT NULL").select("symbol_id", F.array_join(S.tokenize(F.col("signature")), " ").alias("tokens"))
 
 
 def _ignore_sql() -> str:
@@ -101,18 +101,18 @@ def s3_s4_ignored(spark, d):
     return table(spark, d, "documents").select("doc_id", "path", S.is_ignored(F.col("path"), S.ignore_rules(IGNORE)).alias("ignored"))
 
 
-@query(r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10))) END AS n_lines, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END END AS line_count FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)))::BIGINT END AS n_lines, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END END AS line_count FROM documents WHERE text IS NOT NULL")
 def x1_x4_lines(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(S.lines(t)).alias("n_lines"), S.count_lines(t).alias("line_count"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(S.lines(t)).cast("long").alias("n_lines"), S.count_lines(t).cast("long").alias("line_count"))
 
 
 _split = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'))"
 
 
-@query(f"WITH p AS (SELECT DISTINCT symbol_id, list_filter(string_split({_split}, ' '), lambda x: x <> '') AS q FROM symbols) SELECT symbol_id, list_filter(q, lambda x, i: list_position(q, x) = i) AS parts FROM p")
+@query(f"WITH p AS (SELECT DISTINCT symbol_id, list_filter(string_split({_split}, ' '), lambda x: x <> '') AS q FROM symbols) SELECT symbol_id, array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i), ' ') AS parts FROM p")
 def x7_identifier_parts(spark, d):
-    return table(spark, d, "symbols").select("symbol_id", "name").distinct().select("symbol_id", S.split_identifier(F.col("name")).alias("parts"))
+    return table(spark, d, "symbols").select("symbol_id", "name").distinct().select("symbol_id", F.array_join(S.split_identifier(F.col("name")), " ").alias("parts"))
 
 
 @query(f"""WITH {SQL_SYMBOLS} SELECT symbol_id, trim(regexp_replace(string_split(string_split(signature, chr(10))[1], '{{')[1], '\\s+', ' ', 'g')) AS signature, left(trim(string_split(doc, chr(10))[1]), 140) AS summary FROM usy""")
@@ -129,10 +129,10 @@ _cents = "floor(abs(n) * 5 / 1e4 + 0.5)::BIGINT"
 
 
 @query(f"""WITH u AS (SELECT DISTINCT usage_id, served, replaced, replaced - served AS n FROM usage_log WHERE served >= 0)
-SELECT usage_id, CASE WHEN n < 0 AND {_cents} > 0 THEN '-' ELSE '' END || '$' || ({_cents} // 100)::VARCHAR || '.' || lpad(({_cents} % 100)::VARCHAR, 2, '0') AS price, CASE WHEN replaced > 0 THEN floor(n * 100.0 / replaced + 0.5)::INT END AS percent FROM u""")
+SELECT usage_id, CASE WHEN n < 0 AND {_cents} > 0 THEN '-' ELSE '' END || '$' || ({_cents} // 100)::VARCHAR || '.' || lpad(({_cents} % 100)::VARCHAR, 2, '0') AS price, CASE WHEN replaced > 0 THEN floor(n * 100.0 / replaced + 0.5)::INT::VARCHAR || '%' ELSE '' END AS percent FROM u""")
 def x21_x22_price(spark, d):
     u = table(spark, d, "usage_log").select("usage_id", "served", "replaced").distinct().filter("served >= 0").withColumn("n", F.col("replaced") - F.col("served"))
-    return u.select("usage_id", S.price(F.col("n"), 5.0).alias("price"), F.when(F.col("replaced") > 0, F.floor(F.col("n") * 100.0 / F.col("replaced") + 0.5).cast("int")).alias("percent"))
+    return u.select("usage_id", S.price(F.col("n"), 5.0).alias("price"), F.when(F.col("replaced") > 0, F.concat(F.floor(F.col("n") * 100.0 / F.col("replaced") + 0.5).cast("int").cast("string"), F.lit("%"))).otherwise("").alias("percent"))
 
 
 @query("""WITH t AS (SELECT line_no, unnest(tags) AS tag, len(tags) <= 8 AS few FROM (SELECT DISTINCT line_no, tags FROM memory_log))
