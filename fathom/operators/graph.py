@@ -101,19 +101,29 @@ def script_edges(sources: DataFrame, files: DataFrame) -> DataFrame:
     return dedupe(hit.groupBy("path", "base").agg(F.min_by("dst", "pos").alias("dst")).select(F.col("path").alias("src"), "dst", F.lit("import").alias("kind")))
 
 
+def _with_repo(df: DataFrame) -> DataFrame:
+    return df if "repo" in df.columns else df.withColumn("repo", F.lit(""))
+
+
 def csharp_edges(sources: DataFrame, types: DataFrame) -> DataFrame:
-    """Import edges from a C# file to the nearest file that defines a type it names.
+    """Import edges from a C# file to the nearest file of its repository that defines a type it names.
 
-    ``types`` is (path, name). Names are matched by an equi-join; of several definitions the one with the
-    smallest directory distance counts, then the smallest path.
+    ``types`` is (path, name); both sides may have a column repo. Of several definitions the one with the
+    smallest directory distance counts, then the smallest path. Uses and definitions of a name are never
+    paired: under each directory only the shallowest definition is kept, and a use looks that up for each
+    directory above it, as the nearest definition is the shallowest one below some common directory.
     """
-    src = sources.filter((S.detect_language(F.col("path")) == "csharp") & F.col("text").isNotNull())
-    used = src.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("name"))
-    t = types.select(F.col("path").alias("dst"), "name").distinct()
-    own = types.select("path", "name").distinct()
-    j = used.join(own, ["path", "name"], "left_anti").join(t, "name").withColumn("far", S.dir_distance(S.dirname(F.col("path")), S.dirname(F.col("dst"))))
-    near = j.groupBy("path", "name").agg(F.min_by("dst", F.struct("far", "dst")).alias("dst"))
-    return dedupe(near.select(F.col("path").alias("src"), "dst", F.lit("import").alias("kind")))
+    src = _with_repo(sources).filter((S.detect_language(F.col("path")) == "csharp") & F.col("text").isNotNull())
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)))
+    t = _with_repo(types).select("repo", "path", "name").distinct()
+    used = src.select("repo", "path", names.alias("name")).join(t.select("repo", "name").distinct(), ["repo", "name"], "left_semi").join(t, ["repo", "path", "name"], "left_anti")
+    up = S.ancestors(F.col("path"))
+    depth = F.size(up) - 1
+    below = t.select("repo", "name", depth.alias("deep"), F.col("path").alias("dst"), F.explode(up).alias("dir")).groupBy("repo", "name", "dir").agg(F.min(F.struct("deep", "dst")).alias("d"))
+    above = used.select("repo", "path", "name", depth.alias("mine"), F.posexplode(up).alias("level", "dir"))
+    far = F.col("mine") + F.col("d.deep") - 2 * F.col("level")
+    near = above.join(below, ["repo", "name", "dir"]).groupBy("repo", "path", "name").agg(F.min(F.struct(far.alias("far"), F.col("d.dst").alias("dst"))).alias("x"))
+    return dedupe(near.select(F.col("path").alias("src"), F.col("x.dst").alias("dst"), F.lit("import").alias("kind")))
 
 
 def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:

@@ -25,15 +25,29 @@ def join_records(records: Iterable[str]) -> str:
     return "".join(f"{len(r.encode())}:{r}" for r in records)
 
 
+def _record() -> Column:
+    rec = F.concat(F.octet_length("path").cast("string"), F.lit(":"), F.col("path"), F.octet_length("content_hash").cast("string"), F.lit(":"), F.col("content_hash"))
+    return F.concat(F.octet_length(rec).cast("string"), F.lit(":"), rec)
+
+
+def _ordered(key: str, value: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
+
+
 def content_state(files: DataFrame) -> DataFrame:
-    """(repo, state): a fingerprint over all (path, content_hash) of a repository in path order.
+    """(repo, state): a fingerprint over all (path, content_hash) of a repository, as a tree of hashes.
 
-    A repository's records are ordered and joined in one row; a hundred bytes a file.
+    Files fall into 4096 buckets by the hash of their path; a bucket's records are hashed in path order and
+    the buckets' hashes in theirs, so no row ever holds all records of a large repository.
     """
-    rec = F.concat(F.octet_length("path").cast("string"), F.lit(":"), F.col("path"), F.octet_length("content_hash").cast("string"), F.lit(":"), F.col("content_hash"))
-    one = files.select("repo", "path", F.concat(F.octet_length(rec).cast("string"), F.lit(":"), rec).alias("rec"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "rec"))), lambda x: x["rec"]), "")
-    return one.groupBy("repo").agg(all_.alias("all")).select("repo", S.canonical_hash(F.lit("content_state.v3"), F.col("all")).alias("state"))
+    one = files.select("repo", "path", F.substring(F.sha2("path", 256), 1, 3).alias("bucket"), _record().alias("rec"))
+    leaves = one.groupBy("repo", "bucket").agg(F.sha2(_ordered("path", "rec"), 256).alias("h")).select("repo", "bucket", F.concat("bucket", "h").alias("leaf"))
+    return leaves.groupBy("repo").agg(_ordered("bucket", "leaf").alias("all")).select("repo", S.canonical_hash(F.lit("content_state.tree"), F.col("all")).alias("state"))
+
+
+def flat_content_state(files: list[tuple[str, str]]) -> str:
+    """The same over one list of (path, content_hash) as a single sequence, for a tree small enough for the driver."""
+    return canonical("content_state.v3", "".join(f"{len(r.encode())}:{r}" for r in (join_records(f) for f in sorted(files))))
 
 
 def unit_receipt(path: str, file_hash: str, detail: str, kind: str, start: int | None, end: int | None, symbol: str | None, evidence: str, producer: str) -> str:

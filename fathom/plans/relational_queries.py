@@ -60,15 +60,15 @@ def j6_script_edges(spark, d):
 _PARTS = lambda c: f"list_filter(string_split(regexp_replace({c}, '/?[^/]*$', ''), '/'), lambda s: s <> '')"
 
 
-@query(rf"""WITH {SQL_SYMBOLS}, types AS (SELECT DISTINCT path, name FROM usy WHERE kind IN ('class', 'interface') AND path LIKE '%.cs'),
-used AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM documents WHERE path LIKE '%.cs'),
-j AS (SELECT u.path, u.name, t.path AS dst, {_PARTS('u.path')} AS a, {_PARTS('t.path')} AS b FROM used u JOIN types t ON u.name = t.name WHERE NOT EXISTS (SELECT 1 FROM types o WHERE o.path = u.path AND o.name = u.name)),
+@query(rf"""WITH {SQL_SYMBOLS}, types AS (SELECT DISTINCT repo, path, name FROM usy WHERE kind IN ('class', 'interface') AND path LIKE '%.cs'),
+used AS (SELECT DISTINCT source AS repo, path, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM documents WHERE path LIKE '%.cs'),
+j AS (SELECT u.path, u.name, t.path AS dst, {_PARTS('u.path')} AS a, {_PARTS('t.path')} AS b FROM used u JOIN types t ON u.name = t.name AND u.repo = t.repo WHERE NOT EXISTS (SELECT 1 FROM types o WHERE o.path = u.path AND o.name = u.name)),
 n AS (SELECT path, name, dst, len(a) + len(b) - 2 * len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: list_slice(a, 1, i) = list_slice(b, 1, i))) AS far FROM j),
 near AS (SELECT path, dst FROM n QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY far, dst) = 1)
 SELECT DISTINCT path AS src, dst, 'import' AS kind FROM near WHERE path <> dst""")
 def j5_j3_w4_csharp_edges(spark, d):
-    types = symbols(spark, d).filter("kind IN ('class', 'interface') AND path LIKE '%.cs'").select("path", "name")
-    return graph.csharp_edges(table(spark, d, "documents"), types)
+    types = symbols(spark, d).filter("kind IN ('class', 'interface') AND path LIKE '%.cs'").select("repo", "path", "name")
+    return graph.csharp_edges(table(spark, d, "documents").withColumn("repo", F.col("source")), types)
 
 
 @query(rf"""WITH {_GE}, t AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/?[^/]*$', '') AS folder FROM live WHERE kind = 'test'),
@@ -120,9 +120,10 @@ def a1_s7_counts(spark, d):
 # -- identity
 
 
-@query(f"""WITH {SQL_FILES}, r AS (SELECT repo, path, strlen(path) || ':' || path || strlen(content_hash) || ':' || content_hash AS rec FROM live WHERE content_hash IS NOT NULL),
-j AS (SELECT repo, string_agg(strlen(rec) || ':' || rec, '' ORDER BY path) AS all_ FROM r GROUP BY repo)
-SELECT repo, sha256(strlen('content_state.v3') || ':content_state.v3' || strlen(all_) || ':' || all_) AS state FROM j""")
+@query(f"""WITH {SQL_FILES}, r AS (SELECT repo, path, left(sha256(path), 3) AS bucket, strlen(path) || ':' || path || strlen(content_hash) || ':' || content_hash AS rec FROM live WHERE content_hash IS NOT NULL),
+b AS (SELECT repo, bucket, sha256(string_agg(strlen(rec) || ':' || rec, '' ORDER BY path)) AS h FROM r GROUP BY repo, bucket),
+j AS (SELECT repo, string_agg(bucket || h, '' ORDER BY bucket) AS all_ FROM b GROUP BY repo)
+SELECT repo, sha256(strlen('content_state.tree') || ':content_state.tree' || strlen(all_) || ':' || all_) AS state FROM j""")
 def a14_content_state(spark, d):
     from ..operators.identity import content_state
 

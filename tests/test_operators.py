@@ -262,3 +262,40 @@ def test_command_line_and_server(spark, repo, tmp_path, capsys):
     cli.serve(Repository(spark, str(repo), str(tmp_path / "h")), [json.dumps(a) for a in asks] + ["", "not json"], out)
     got = [json.loads(x) for x in out.getvalue().strip().split("\n")]
     assert len(got[1]["result"]["tools"]) == 7 and not got[2]["result"]["isError"] and got[3]["result"]["isError"] and got[4]["error"]
+
+
+def test_nearest_types_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    folders = ["", "a", "a/b", "a/b/c", "a/d", "e", "e/f"]
+    paths = [f"{f}/F{i}.cs".lstrip("/") for i, f in enumerate(rnd.choices(folders, k=40))]
+    types = [(p, rnd.choice(["Tx", "Ty", "Tz"])) for p in paths[:20]]
+    src = [(p, "uses Tx Ty and Tz") for p in paths]
+    got = {(r["src"], r["dst"]) for r in graph.csharp_edges(df(spark, src, "path string, text string"), df(spark, types, "path string, name string")).collect()}
+
+    def far(a, b):
+        x, y = a.split("/")[:-1], b.split("/")[:-1]
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return len(x) + len(y) - 2 * n
+
+    want = set()
+    for p, _ in src:
+        for name in ("Tx", "Ty", "Tz"):
+            at = [q for q, n in types if n == name]
+            if p not in at and at:
+                want.add((p, min(at, key=lambda q: (far(p, q), q))))
+    assert got == want
+
+
+def test_content_state(spark):
+    from fathom.operators import identity
+
+    f = df(spark, [("r", f"p{i}", f"{i:064x}") for i in range(500)] + [("s", "p1", "a" * 64)], "repo string, path string, content_hash string")
+    a = {r["repo"]: r["state"] for r in identity.content_state(f).collect()}
+    assert a == {r["repo"]: r["state"] for r in identity.content_state(f.repartition(7)).collect()}
+    b = {r["repo"]: r["state"] for r in identity.content_state(f.filter("path <> 'p7'")).collect()}
+    assert a["s"] == b["s"] and a["r"] != b["r"]
+    assert identity.flat_content_state([("b", "2"), ("a", "1")]) == identity.flat_content_state([("a", "1"), ("b", "2")])
