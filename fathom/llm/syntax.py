@@ -23,7 +23,7 @@ from .gll import compiled, recognise
 from .grammars import ROLES
 
 #: Kept results of a worker are dropped when there are so many.
-KEEP = 400_000
+KEEP = 200_000
 _GROUPS = {"(": 0xE000, "[": 0xE800, "{": 0xF000}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _ERROR = "\x00"

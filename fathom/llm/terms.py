@@ -48,6 +48,18 @@ def degree(seq: list[str], term: str) -> int:
         return len(near)
 
 
+def degrees_of(seq: list[str]) -> dict[str, int]:
+    """The degree of every term of a record, in one pass."""
+    near: dict[str, set[str]] = {}
+    for i, t in enumerate(seq):
+        around = seq[max(0, i - WINDOW) : i + WINDOW + 1]
+        if t in near:
+            near[t].update(around)
+        else:
+            near[t] = set(around)
+    return {t: len(s) - 1 for t, s in near.items()}
+
+
 def _records(chunks: DataFrame) -> DataFrame:
     """Each record once, in the partition of its id."""
     tune(chunks.sparkSession, 2000)
@@ -126,18 +138,25 @@ def score_terms(chunks: DataFrame, top: int | None = None) -> DataFrame:
     n = chunks.select("chunk_id").distinct().count()
 
     def run(batches):
-        rows: list[tuple] = []
+        ids, names, counts, degrees, lengths = columns = [], [], [], [], []
+
+        def out():
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk_id", "term", "tf", "degree", "length"])
+
         for key, seq in _once(batches):
-            rows += [(key, t, c, degree(seq, t), len(seq)) for t, c in Counter(seq).items()]
-            if len(rows) > 50_000:
-                yield batch(rows)
-                rows = []
-        yield batch(rows)
-
-    def batch(rows):
-        cols = list(zip(*rows)) or [(), (), (), (), ()]
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["chunk_id", "term", "tf", "degree", "length"])
+            tf = Counter(seq)
+            near = degrees_of(seq)
+            ids += [key] * len(tf)
+            names += tf
+            counts += tf.values()
+            degrees += [near[t] for t in tf]
+            lengths += [len(seq)] * len(tf)
+            if len(ids) > 50_000:
+                yield out()
+                for c in columns:
+                    c.clear()
+        yield out()
 
     pairs = records.mapInArrow(run, "chunk_id bigint, term string, tf int, degree int, length int")
     floor = max(2, n // 2000)

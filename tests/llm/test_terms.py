@@ -24,6 +24,7 @@ def test_terms():
 
 def test_degree():
     seq = "alpha bravo charl alpha delta".split()
+    assert terms.degrees_of(seq) == {t: terms.degree(seq, t) for t in seq}
     assert terms.degree(seq, "alpha") == 3 and terms.degree(["alpha", "alpha"], "alpha") == 0
 
 
