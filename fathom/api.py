@@ -265,6 +265,25 @@ class Repository:
         return {"json": lambda: render.to_json(kind, items), "text": lambda: render.to_text(items), "md": lambda: render.to_markdown(kind, items), "html": lambda: render.to_html(kind, items)}[fmt]()
 
 
+def discover(start: str, marker: str = os.path.join(".index", "config.json")) -> str | None:
+    """The nearest directory at or above ``start`` that holds a configuration, None without one."""
+    at = os.path.abspath(start)
+    while True:
+        if os.path.exists(os.path.join(at, marker)):
+            return at
+        up = os.path.dirname(at)
+        if up == at:
+            return None
+        at = up
+
+
+def to_relative(root: str, path: str, cwd: str = ".") -> str | None:
+    """A path with forward slashes relative to the root, None outside it."""
+    full = os.path.normpath(os.path.join(os.path.abspath(cwd), path))
+    rel = os.path.relpath(full, os.path.abspath(root)).replace(os.sep, "/")
+    return None if rel == ".." or rel.startswith("../") else rel
+
+
 def valid_session(name: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z0-9._-]{1,64}", name)) and name not in (".", "..")
 

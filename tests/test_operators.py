@@ -299,3 +299,16 @@ def test_content_state(spark):
     b = {r["repo"]: r["state"] for r in identity.content_state(f.filter("path <> 'p7'")).collect()}
     assert a["s"] == b["s"] and a["r"] != b["r"]
     assert identity.flat_content_state([("b", "2"), ("a", "1")]) == identity.flat_content_state([("a", "1"), ("b", "2")])
+
+
+def test_discovery(tmp_path):
+    from fathom import api
+
+    (tmp_path / "r/.index").mkdir(parents=True)
+    (tmp_path / "r/.index/config.json").write_text("{}")
+    (tmp_path / "r/a/b").mkdir(parents=True)
+    root = str(tmp_path / "r")
+    assert api.discover(str(tmp_path / "r/a/b")) == root and api.discover(str(tmp_path)) is None
+    assert api.to_relative(root, "../x.ts", str(tmp_path / "r/a/b")) == "a/x.ts"
+    assert api.to_relative(root, "../../../x", str(tmp_path / "r/a/b")) is None
+    assert [api.valid_session(n) for n in ("a-1", "..", "", "a/b", "x" * 65)] == [True, False, False, False, False]
