@@ -213,7 +213,15 @@ def w5_outline_matched(spark, d):
     return context.outline_symbols(s, m, 4).select("path", "name", "symbol_id", "role")
 
 
-@query()
+_TEXT = "kind <> 'symbol'"
+
+
+@query(f"""WITH RECURSIVE {sql_scored(TERMS)}, a AS ({_sql_evidence(_TEXT)}),
+r AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY score DESC, start_line, end_line, chunk_id) AS n, start_line AS s, least(end_line, start_line + 79) AS e FROM (SELECT * EXCLUDE (n) FROM a)),
+f AS (SELECT DISTINCT path, 0::BIGINT AS n, []::STRUCT(s INTEGER, e INTEGER)[] AS acc FROM r
+  UNION ALL SELECT f.path, r.n, CASE WHEN len(acc) < 3 AND len(list_filter(acc, lambda x: x.s <= r.e AND r.s <= x.e)) = 0 THEN list_append(acc, {{'s': r.s::INTEGER, 'e': r.e::INTEGER}}) ELSE acc END FROM f JOIN r ON r.path = f.path AND r.n = f.n + 1),
+fin AS (SELECT path, unnest(acc) AS x FROM f QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1)
+SELECT path, x.s AS start_line, x.e AS end_line FROM fin""")
 def w6_spans(spark, d):
     from pyspark.sql import Window
 
