@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tokenize import count_tokens
 
-BLOCKS = 4096
+BLOCKS = 1 << 16
 
 
 def tempered(shares: dict[str, float], targets: dict[str, float], a: float) -> dict[str, float]:
@@ -89,22 +89,16 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     # records of one id (repeated rows) share a place and follow one another
     live = live.withColumn("place", place).withColumn("block", F.pmod(F.shiftrightunsigned("place", 40), F.lit(BLOCKS)).cast("int"))
     by_block = live.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
-    # at most BLOCKS rows for each source that the parameter table names
-    have: dict[str, dict[int, int]] = {}
-    for r in by_block.filter(F.col("source").isin(*want)).collect() if want else []:
-        have.setdefault(r["source"], {})[r["block"]] = r["tokens"]
-    budget, _ = plan({s: sum(b.values()) for s, b in have.items()}, want, total)
-    cuts = []
-    for s, tokens in budget.items():
-        passes, left = divmod(tokens, sum(have[s].values()))
-        end = BLOCKS
-        for block in sorted(have[s]):
-            if have[s][block] > left:
-                end = block
-                break
-            left -= have[s][block]
-        cuts.append((s, passes, end, left))
-    cut = spark.createDataFrame(cuts, "source string, passes long, end_block int, room long")
+    # a row for each source that the parameter table names
+    have = {r["source"]: r["n"] for r in live.filter(F.col("source").isin(*want)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()} if want else {}
+    budget, _ = plan(have, want, total)
+    todo = [(s, *divmod(tokens, have[s])) for s, tokens in budget.items()]
+    passes = F.broadcast(spark.createDataFrame(todo, "source string, passes long, left long"))
+    # of at most BLOCKS rows a source: the block in which the budget ends, and what is left of it there
+    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    over = by_block.join(passes, "source").withColumn("upto", F.sum("tokens").over(upto)).filter("upto > left")
+    ends = over.groupBy("source").agg(F.min(F.struct("block", (F.col("left") - F.col("upto") + F.col("tokens")).alias("room"))).alias("e"))
+    cut = passes.join(ends, "source", "left").select("source", "passes", F.coalesce("e.block", F.lit(BLOCKS)).alias("end_block"), F.coalesce("e.room", F.lit(0)).alias("room"))
     joined = live.join(F.broadcast(cut), "source")  # a row per source of the parameter table
     inside = joined.filter(F.col("block") == F.col("end_block"))
     run = Window.partitionBy("source").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
