@@ -13,6 +13,7 @@ carries the size of the white space it leaves behind and takes along.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,17 @@ def _space(s: str, path: str) -> int:
     return len(encode(s, path))
 
 
+@lru_cache(maxsize=100_000)
+def _run(run: str, path: str) -> tuple[int, int, int, int]:
+    """Of a run of white space with a line break: where a line starts in it, how many characters at its end
+    go with what follows, and the sizes of what the cut leaves behind and takes along."""
+    k = run.rindex("\n") + 1
+    if k == len(run):
+        return k, 0, _space(run, path), 0
+    # what follows keeps its last blank with the next word; any other last character stands alone
+    return k, 1, _space(run[:k], path), _space(run[k:-1], path)
+
+
 class Ruler:
     """Boundaries of one text and the sizes between them."""
 
@@ -54,27 +66,25 @@ class Ruler:
     def _line_starts(self):
         cut, start, stop, tail, lead = [], [], [], [], []
         for m in _RUN.finditer(self.text):
-            run = m.group()
-            k = run.rindex("\n") + 1
-            cut.append(m.start() + k)
-            start.append(m.start())
-            whole = k == len(run)
-            stop.append(m.end() if whole else m.end() - 1)
-            tail.append(_space(run[:k], self.path))
-            # what follows keeps its last blank with the next word; any other last character stands alone
-            lead.append(0 if whole else _space(run[k:-1], self.path))
+            at = m.start()
+            k, back, before, after = _run(m.group(), self.path)
+            cut.append(at + k)
+            start.append(at)
+            stop.append(m.end() - back)
+            tail.append(before)
+            lead.append(after)
         return cut, start, stop, tail, lead
 
     def _measure(self, cut, start, stop, tail, lead):
         """Columns: offset, tokens up to the cut, tokens at which what follows goes on, extra before, extra after."""
-        arr = [np.asarray(x, np.int64) for x in (cut, start, stop, tail, lead)]
-        return arr[0], self._prefix(arr[1]), self._prefix(arr[2]), arr[3], arr[4]
+        # lists, as single look-ups by bisection are far quicker there than in arrays
+        return cut, self._prefix(np.asarray(start, np.int64)).tolist(), self._prefix(np.asarray(stop, np.int64)).tolist(), tail, lead
 
     @property
     def words(self):
         if self._words is None:
-            at = np.asarray([m.start() for m in _WORD.finditer(self.text)], np.int64)
-            pre, zero = self._prefix(at), np.zeros(len(at), np.int64)
+            at = [m.start() for m in _WORD.finditer(self.text)]
+            pre, zero = self._prefix(np.asarray(at, np.int64)).tolist(), [0] * len(at)
             self._words = (at, pre, pre, zero, zero)
         return self._words
 
@@ -87,13 +97,13 @@ class Ruler:
     @staticmethod
     def size(p, q) -> int:
         """Tokens of the text between two boundaries, encoded by itself."""
-        return int(p[4] + q[1] - p[2] + q[3])
+        return p[4] + q[1] - p[2] + q[3]
 
     def furthest(self, table, p, beyond: int, most: int):
         """The last boundary of ``table`` past the offset ``beyond`` with at most ``most`` tokens from p."""
-        k = int(np.searchsorted(table[1], most + p[2] - p[4], side="right")) - 1
+        k = bisect_right(table[1], most + p[2] - p[4]) - 1
         while k >= 0 and table[0][k] > beyond:
-            q = tuple(int(c[k]) for c in table)
+            q = (table[0][k], table[1][k], table[2][k], table[3][k], table[4][k])
             if q[1] >= p[2] and self.size(p, q) <= most:
                 return q
             k -= 1
@@ -101,9 +111,9 @@ class Ruler:
 
     def nearest(self, table, q, after: int, most: int):
         """The first boundary past ``after`` from which at most ``most`` tokens lead to q."""
-        k = int(np.searchsorted(table[2], q[1] + q[3] - most, side="left"))
+        k = bisect_left(table[2], q[1] + q[3] - most)
         while k < len(table[0]) and table[0][k] < q[0]:
-            p = tuple(int(c[k]) for c in table)
+            p = (table[0][k], table[1][k], table[2][k], table[3][k], table[4][k])
             if p[0] > after and p[2] <= q[1] and self.size(p, q) <= most:
                 return p
             k += 1
