@@ -96,18 +96,30 @@ class Repository:
             if any(p == r["path"] and len(k) >= 8 and h.lower().startswith(k.lower()) for p, k in known.items()):
                 reused.append({"path": r["path"], "why": "known"})
                 continue
-            kind = {"paths": "pointer", "outline": "outline", "slices": "span"}[detail]
-            receipt = identity.unit_receipt(r["path"], h, detail, kind, None, None, None, "", index.PRODUCER)
+            receipt = identity.unit_receipt(r["path"], h, detail, "pointer")
             if receipt in seen:
                 reused.append({"path": r["path"], "receipt": receipt, "why": "seen"})
                 continue
             item = {"path": r["path"], "score": round(r["adjusted"], 4), "reasons": r["reasons"], "tokens": textops_scale(r["token_count"], self.cfg.token_factor), "receipt": receipt}
             if h in first:
-                item |= {"duplicate_of": first[h], "tokens": 0}
-            elif detail == "slices":
-                item["spans"] = spans.get(r["path"]) or None
-            elif detail == "outline":
-                item["symbols"] = outline.get(r["path"]) or None
+                own = identity.join_records(["duplicate_of", first[h]])
+                item |= {"duplicate_of": first[h], "tokens": 0, "receipt": identity.unit_receipt(r["path"], h, detail, "pointer", evidence=own)}
+            elif detail != "paths":
+                units, old = [], 0
+                for u in (spans if detail == "slices" else outline).get(r["path"], []):
+                    if detail == "slices":
+                        u["receipt"] = identity.unit_receipt(r["path"], h, detail, "span", u["start_line"], u["end_line"], u.get("symbol") or "", u["text"])
+                    else:
+                        shown = identity.join_records([u["signature"] or "", u["doc"] or ""])
+                        u["receipt"] = identity.unit_receipt(r["path"], h, detail, "symbol", u["start_line"], u["end_line"], u["name"], shown)
+                    if u["receipt"] in seen:
+                        old += 1
+                        reused.append({"path": r["path"], "start_line": u["start_line"], "end_line": u["end_line"], "receipt": u["receipt"], "why": "seen"})
+                    else:
+                        units.append(u)
+                if old and not units:
+                    continue  # everything of this file was delivered before
+                item["spans" if detail == "slices" else "symbols"] = units or None
             first.setdefault(h, r["path"])
             items.append(item)
         notes = [x.asDict() for x in self._bundle_memories(ranked, terms)] if memories else []
@@ -119,7 +131,9 @@ class Repository:
         if budget is not None and not chosen and items:
             out["retry_budget_tokens"] = packing.retry_budget(items[:top], budget, self.counter.count)
         if session:
-            self.save_session(session, {r["path"]: r["content_hash"][:12] for r in rows if r["path"] in {i["path"] for i in chosen}}, [i["receipt"] for i in chosen])
+            # what the caller says it knows, and what was delivered or acknowledged; a file is never known by itself
+            own = [u["receipt"] for x in chosen for u in (x.get("spans") or x.get("symbols") or [x])]
+            self.save_session(session, known, [*seen, *own, *(u["receipt"] for u in reused if "receipt" in u)])
         return out
 
     def _evidence(self, t: index.Tables, text: DataFrame, syms: DataFrame, paths: list[str], detail: str) -> tuple[dict, dict]:
@@ -130,9 +144,11 @@ class Repository:
             r = s.select("path", F.lit(0).alias("g"), -F.col("score"), "start_line", "end_line").toDF("path", "g", "s", "start_line", "end_line")
             r = r.unionByName(text.filter(F.col("path").isin(paths)).select("path", F.lit(1).alias("g"), (-F.col("score")).alias("s"), "start_line", "end_line"))
             ranges = r.select("path", F.struct("g", "s", "start_line").alias("rank"), "start_line", "end_line")
-            for x in context.select_spans(ranges).collect():
+            heads = syms.filter(F.col("path").isin(paths)).select("path", "start_line", "end_line", "heading").orderBy("heading").collect()
+            for x in context.select_spans(ranges).orderBy("path", "start_line").collect():
                 lines = search.source_slice(t.chunks, x["path"], x["start_line"], x["end_line"]).orderBy("line").collect()
-                spans.setdefault(x["path"], []).append({"start_line": x["start_line"], "end_line": x["end_line"], "text": "\n".join(y["text"] or "" for y in lines)})
+                named = [y["heading"] for y in heads if (y["path"], y["start_line"], y["end_line"]) == (x["path"], x["start_line"], x["end_line"])]
+                spans.setdefault(x["path"], []).append({"start_line": x["start_line"], "end_line": x["end_line"], "symbol": named[0] if named else None, "text": "\n".join(y["text"] or "" for y in lines)})
         if detail == "outline" and paths:
             m = syms.filter(F.col("path").isin(paths)).select("path", F.col("heading").alias("name"))
             o = context.outline_symbols(t.symbols.filter(F.col("path").isin(paths)), m).orderBy("path", "start_line", "name")

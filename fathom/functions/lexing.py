@@ -18,7 +18,7 @@ _SCRIPT_FUNCTION = re.compile(r"(?:(?:export|default|async|declare)\s+)*function
 _SCRIPT_MODS = re.compile(r"(?:(?:public|private|protected|static|async|override|abstract|get|set|\*)\s*)*")
 _CS_PREFIX = re.compile(r"(?:\[[^\[\]]*\]\s*)*(?!(?:return|await|throw|new|else|in|is|case|yield|when|where)\b)(?:[\w.?,<>:]|\[,*\]|(?<=[\w>?,])\s)+")
 _NO_NAMES = frozenset("if for while switch catch function return with do else new typeof await using lock foreach fixed sizeof nameof when constructor super import".split())
-_AFTER_SCRIPT = re.compile(r"\s*(?::[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?)?\s*(\{|=>\s*\{?|;)")
+_AFTER_SCRIPT = re.compile(r"\s*(?::(?:\s*\{[^{}]*\}[^;{}=]*|[^;{}=]*))?\s*(\{|=>\s*\{?|;)")
 _AFTER_CS = re.compile(r"\s*(?:where[^{};]*?)?\s*(\{|=>|;)")
 _BETWEEN = re.compile(r"(?:\s|\[[^\[\]]*\]|@[\w.]+(?:\([^()]*\))?|\b(?:export|default|public|private|protected|internal|static|async|abstract|override|virtual|sealed)\b)*")
 

@@ -50,26 +50,37 @@ def flat_content_state(files: list[tuple[str, str]]) -> str:
     return canonical("content_state.v3", "".join(f"{len(r.encode())}:{r}" for r in (join_records(f) for f in sorted(files))))
 
 
-def unit_receipt(path: str, file_hash: str, detail: str, kind: str, start: int | None, end: int | None, symbol: str | None, evidence: str, producer: str) -> str:
-    """The receipt of a delivered unit: 43 characters that are safe in addresses."""
-    digest = canonical("r1", path, file_hash, detail, kind, "" if start is None else str(start), "" if end is None else str(end), symbol or "", hashlib.sha256(evidence.encode()).hexdigest(), producer)
+# The producers that a unit's receipt depends on; another one would make old receipts worthless.
+PRODUCERS = {"pointer": "pointer.v1", "span": "dec1.ev1", "symbol": "dec1.par1.ev1"}
+
+
+def unit_receipt(path: str, file_hash: str, detail: str, kind: str, start: int = 0, end: int = 0, symbol: str = "", evidence: str = "") -> str:
+    """The receipt of a delivered unit, 43 characters that are safe in addresses.
+
+    ``kind`` is pointer, span or symbol; ``evidence`` is the text as delivered, for a symbol its signature and
+    doc as joined records. Lines are 0 for a pointer.
+    """
+    digest = canonical("r1", path.replace("\\", "/"), file_hash, detail, kind, str(start), str(end), symbol, hashlib.sha256(evidence.encode()).hexdigest(), PRODUCERS[kind])
     return base64.urlsafe_b64encode(bytes.fromhex(digest)).decode().rstrip("=")
 
 
-def analysis_state(state: str, producer: str, schema: str, config_hash: str) -> str:
-    return canonical("analysis_state.v2", state, producer, schema, "rank1", "ev1", config_hash)
+def analysis_state(state: str, producer: str, schema: int, config_hash: str) -> str:
+    return canonical("analysis_state.v1", state, producer, str(schema), "rank1", "ev1", config_hash)
 
 
 def worktree_state(state: str, changes: Iterable[tuple[str, str, str | None]]) -> str:
-    return canonical("worktree_state.v1", state, join_records(sorted(join_records([s, p, h or "-"]) for s, p, h in changes)))
+    """Over (status, path, hash) of the local changes in path order; a deleted file has '-' for its hash."""
+    ordered = sorted(changes, key=lambda c: (c[1], c[0]))
+    return canonical("worktree_state.v1", state, join_records(join_records([s, p, h or "-"]) for s, p, h in ordered))
 
 
 def evidence_id(analysis: str, query: str, options: str, records: Iterable[str]) -> str:
-    return canonical("evidence.v1", analysis, query, options, join_records(records))
+    return canonical("evidence_id.v1", analysis, query, options, join_records(records))
 
 
 def representation_id(evidence: str, fmt: str, profile: str, encoding: str, surface: str, body: str) -> str:
-    return canonical("representation.v1", evidence, "3", "rep1", fmt, profile, encoding, surface, hashlib.sha256(body.encode()).hexdigest())
+    """``body`` is the rendered response without its own id."""
+    return canonical("representation_id.v1", evidence, "3", "rep1", fmt, profile, encoding, surface, hashlib.sha256(body.encode()).hexdigest())
 
 
 def hashed(column: Column) -> Column:

@@ -208,8 +208,12 @@ def test_commands(spark, repo, tmp_path):
     assert {x["path"] for x in again["reused"]} >= {x["path"] for x in got["results"]}
     small = r.context("login", budget=30)
     assert small["results"] == [] and small["retry_budget_tokens"] > 30
-    cut = r.context("login session", detail="slices", budget=400)
-    assert cut["results"]
+    cut = r.context("login session", detail="slices", budget=1500, session="s2")
+    assert cut["results"] and any(x.get("spans") for x in cut["results"])
+    more = r.context("login session", detail="slices", budget=1500, session="s2")
+    assert {u["receipt"] for u in more["reused"]} & {s["receipt"] for x in cut["results"] for s in x.get("spans") or []}
+    lines = r.context("login session", detail="outline")
+    assert any(s["signature"] for x in lines["results"] for s in x.get("symbols") or [])
     assert r.context("the")["results"] == []
     mid = r.remember("login uses sessions", "decision", ["src/auth/login.ts"], ["auth"])
     assert [x["id"] for x in r.recall("login").collect()] == [mid]
@@ -312,3 +316,18 @@ def test_discovery(tmp_path):
     assert api.to_relative(root, "../x.ts", str(tmp_path / "r/a/b")) == "a/x.ts"
     assert api.to_relative(root, "../../../x", str(tmp_path / "r/a/b")) is None
     assert [api.valid_session(n) for n in ("a-1", "..", "", "a/b", "x" * 65)] == [True, False, False, False, False]
+
+
+def test_receipts():
+    """Receipts of known units under this form."""
+    from fathom.operators import identity as i
+
+    login = "4cc4440f076b0550de341a7c9831513a1b332b61787381d40de7b954961a91ef"
+    session = "073c7177b93912ba82b2ca2c374e453342621f0037b9a761c23659667a3ba303"
+    assert i.unit_receipt("src/auth/login.ts", login, "paths", "pointer") == "Db-cluQLInxMNskR0CdKcFi_UrhbEF00ei9mF999d3w"
+    assert i.unit_receipt("src\\auth\\session.ts", session, "paths", "pointer") == "GNoqHyipiM7JDtmH2YaJxEfsS5vdPPufKDifJ_cN6oE"
+    shown = i.join_records(["function createSession(userId: string, ttlSeconds: number): Session", "Creates a session for a user with a fixed lifetime."])
+    assert i.unit_receipt("src/auth/session.ts", session, "outline", "symbol", 9, 11, "createSession", shown) == "X8OnTHbsnWJtu2HiRj8EAyUWPZcQWTfq-qpsUPawZYM"
+    text = "export function isSessionValid(session: Session, now: number): boolean {\n  return session.expiresAt > now;\n}"
+    assert i.unit_receipt("src/auth/session.ts", session, "slices", "span", 16, 18, "isSessionValid", text) == "CrzXyjrMb4m4Y_l-AvHEhB6EfvJhfb5-Y9k6CKgDNt4"
+    assert i.worktree_state("s", [("a", "x", "1"), ("d", "b", None)]) == i.worktree_state("s", [("d", "b", None), ("a", "x", "1")])

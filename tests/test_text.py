@@ -42,6 +42,11 @@ def test_symbols_of_typescript():
     assert got == [("createSession", "function", 4, 7, "Makes a session."), ("Store", "class", 9, 15, None), ("read", "method", 14, 14, "Reads one."), ("go", "function", 16, 18, None)]
 
 
+def test_functions_end_where_their_braces_close():
+    src = "function a(x: S): boolean {\n  return x > 1;\n}\n\nfunction b(): { c: number } {\n  return { c: 1 };\n}\n"
+    assert [(f["name"], src[f["start"] : f["end"]].count("\n")) for f in extract_functions(src, False)] == [("a", 2), ("b", 2)]
+
+
 def test_symbols_of_csharp():
     got = {n: (k, d) for n, k, _, _, _, d in T.extract_symbols("a/B.cs", CS)}
     assert got == {"UserController": ("class", "Keeps users."), "Count": ("property", None), "Find": ("route", "Finds one.")}
