@@ -99,9 +99,11 @@ def _vocabulary(records: DataFrame, min_tf: int | None, max_n: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[t] for t in names], pa.int64()), pa.array(hits, _FOUND)], names=["term", "n", "found"])
 
         for key, seq in _once(batches):
-            tf = Counter(seq)
-            count.update(tf.keys())
-            if min_tf is not None:
+            if min_tf is None:
+                count.update(set(seq))
+            else:
+                tf = Counter(seq)
+                count.update(tf.keys())
                 for t, n in tf.items():
                     if n >= min_tf and count[t] <= max_n:
                         found.setdefault(t, []).append({"chunk_id": key, "tf": n, "degree": degree(seq, t)})
