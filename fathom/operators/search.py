@@ -71,17 +71,16 @@ def scored_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
     if not terms:
         return chunks.drop("content").withColumn("score", F.lit(0.0)).limit(0)
 
-    def counted(c: DataFrame, hits: bool = False) -> DataFrame:
+    def counted(c: DataFrame) -> DataFrame:
         m = matches(widen(c), terms).drop("content")
-        if hits:
-            m = m.filter(F.exists("tf", lambda x: x > 0))
         return m.dropDuplicates(["chunk_id"]) if "chunk_id" in c.columns else m
 
     m = counted(chunks.select("content", *(["chunk_id"] if "chunk_id" in chunks.columns else [])))
     s = m.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     df = [s[f"df{i}"] or 0 for i in range(len(terms))]
     some = reduce(lambda a, b: a | b, (S.fold(F.coalesce("content", F.lit(""))).contains(t) for t in terms))
-    hit = counted(chunks.filter(some), hits=True)
+    # the aggregate above keeps Catalyst from pushing this filter down, where it would count every term anew
+    hit = counted(chunks.filter(some)).filter(F.exists("tf", lambda x: x > 0))
     # equal scores stay equal on any engine: nine decimals
     score = F.floor(bm25(F.col("tf"), F.col("dl"), s["n"], s["total"] or 0, df) * 1e9 + 0.5) / 1e9
     return hit.withColumn("score", score).drop("tf", "dl")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import context, graph, packing, search
+from ..session import cut_lineage
 from ..sources.tables import SQL_CHUNKS, SQL_EDGES, SQL_FILES, SQL_SYMBOLS, chunks, edges, live_files, symbols, table
 from .registry import query
 
@@ -118,8 +119,13 @@ sc AS (SELECT *, {nine(f"(0.4 * {part('fts')} + 0.3 * {part('symbol')} + 0.2 * {
 ranked AS (SELECT *, {nine("score * 0.9 ** (row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, path) - 1)")} AS adjusted FROM sc)"""
 
 
+def _paths(spark, d):
+    """The live paths, derived once: an expansion looks them up after each of its rounds."""
+    return cut_lineage(live_files(spark, d).select("path"))
+
+
 def _ranked(spark, d):
-    return context.rank(table(spark, d, "chunks"), live_files(spark, d), edges(spark, d), TERMS)
+    return context.rank(table(spark, d, "chunks"), _paths(spark, d), edges(spark, d), TERMS)
 
 
 _r4 = lambda c: f"floor({c} * 1e4 + 0.5) / 1e4 AS {c}"
@@ -137,8 +143,9 @@ def q5_o2_context_top(spark, d):
 
 @query(f"WITH {sql_ranked(TERMS)} SELECT path, hop, f AS via, {_r4('gain')} FROM steps")
 def g3_a12_expansion(spark, d):
-    sig, _, _ = context.candidates(table(spark, d, "chunks"), live_files(spark, d), TERMS)
-    steps = graph.expand(context.seeds(sig), edges(spark, d), live_files(spark, d))
+    paths = _paths(spark, d)
+    sig, _, _ = context.candidates(table(spark, d, "chunks"), paths, TERMS)
+    steps = graph.expand(context.seeds(sig), edges(spark, d), paths)
     return steps.select("path", "hop", F.regexp_replace("reason", "^[a-z-]+:", "").alias("via"), S.round4(F.col("gain")).alias("gain"))
 
 
