@@ -187,6 +187,8 @@ def test_machine_made(spark):
     lib = spark.createDataFrame([(LIB,), (None,), (LIB,)], "text string")
     got = {(r["path"], r["reason"]) for r in provenance.machine_made(df, lib).collect()}
     assert got == {("r/dist/a.js", "vendored"), ("r/gen/c.ts", "declared generated")}
+    two = spark.createDataFrame([(".gitattributes", "x", "a.ts linguist-generated"), ("a.ts", "x", HAND), (".gitattributes", "y", ""), ("a.ts", "y", HAND), ("a.ts", None, HAND)], "path string, source string, text string")
+    assert [r["source"] for r in provenance.machine_made(two, lib).collect()] == ["x"]
     assert provenance.machine_made(df.limit(0), lib).count() == 0
     assert ("r/dist/a.js", "vendored") not in {(r["path"], r["reason"]) for r in provenance.machine_made(df, lib.limit(0)).collect()}
     with pytest.raises(ValueError):
