@@ -60,7 +60,8 @@ def p10_pieces(spark, d):
 
 @query
 def p2_found(spark, d):
-    return terms.rare_terms(table(spark, d, "chunks"), min_tf=3, min_records=2, max_records=6).select("chunk_id", "term")
+    """The cases among the rows of the operator: every term of every chunk is weighed, then the exact counts decide."""
+    return terms.score_terms(table(spark, d, "chunks")).filter("tf >= 3 AND records BETWEEN 2 AND 6").select("chunk_id", "term")
 
 
 SQL["p2_found"] = r"""

@@ -60,3 +60,15 @@ def test_nothing(spark):
     df = spark.createDataFrame([(1, None, None, "", 0), (None, "a", "b", "", 0)], SCHEMA)
     assert terms.rare_terms(df, 1, 1, 9).count() == 0
     assert terms.rare_terms(df.limit(0), 1, 1, 9).count() == terms.score_terms(df.limit(0)).count() == 0
+
+
+def test_found_rows_are_rows_of_the_operator(spark, tiny, monkeypatch):
+    from fathom.llm import queries
+
+    whole, rare = terms.score_terms, terms.rare_terms
+    want = {(r["chunk_id"], r["term"]) for r in rare(queries.table(spark, tiny, "chunks"), 3, 2, 6).collect()}
+    assert want and {tuple(r) for r in queries.p2_found(spark, tiny).collect()} == want
+    # without the operator's rows of a term there is no case of it
+    gone = min(t for _, t in want)
+    monkeypatch.setattr(terms, "score_terms", lambda *a, **k: whole(*a, **k).filter(f"term <> '{gone}'"))
+    assert {tuple(r) for r in queries.p2_found(spark, tiny).collect()} == {x for x in want if x[1] != gone}
