@@ -87,7 +87,7 @@ class Repository:
             return {"results": [], "reused": [], "memories": [], "omitted": 0}
         signals, text, syms = context.candidates(t.chunks, t.files, terms)
         ranked = context.diversify(context.score(signals, graph.expand(context.seeds(signals), t.edges, t.files), self.cfg.weights)).filter("adjusted > 0")
-        rows = ranked.join(t.files.select("path", "content_hash", "token_count", "line_count"), "path").orderBy(F.desc("adjusted"), "path").limit(packing.LIMIT).collect()
+        rows = ranked.join(t.files.select("path", "content_hash", "token_count", "line_count"), "path").orderBy(F.desc("adjusted"), "path").collect()
         paths = [r["path"] for r in rows[: 8 * top]]
         spans, outline = self._evidence(t, text, syms, paths, detail)
         items, reused, first = [], [], {}

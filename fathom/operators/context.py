@@ -54,7 +54,8 @@ def seeds(signals: DataFrame) -> DataFrame:
 def score(signals: DataFrame, steps: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Signals and graph gains as one weighted score; each component is divided by its greatest value.
 
-    At most a thousand candidates and their neighbours are left here, so the unpartitioned maximum is small.
+    Candidates by evidence are a thousand at most; those by paths and links grow with the data, and the
+    unpartitioned maximum puts a row for each into one task.
     """
     g = steps.groupBy("path").agg(F.sum("gain").alias("graph"), F.array_sort(F.collect_set("reason")).alias("links"))
     c = signals.join(g, "path", "full_outer").fillna(0.0, ["fts", "symbol", "path_score", "graph"])

@@ -1,7 +1,7 @@
-"""Packing ranked items into budgets: greedy, exact and bounded by the ranked cut.
+"""Packing ranked items into budgets: greedy and exact, for any number of items.
 
-``pack`` folds at most a ranked cut of items (``LIMIT`` of them) in order, so a single row holds them. The
-functions that depend on the rendered text of a response run on the driver over the same bounded cut.
+``taken`` folds only items that can be taken, whose number depends on ``budget`` and ``top`` alone; all others are
+classified by where they stand. The functions that depend on the rendered text of a response run on the driver.
 """
 
 from __future__ import annotations
@@ -9,30 +9,54 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The evidence caps leave at most so many candidates (500 of each channel) and their neighbours.
-LIMIT = 20_000
+from ..session import cut_lineage
+
 ITEM_OVERHEAD, SYMBOL_OVERHEAD, MEMORY_OVERHEAD, MEMORY_SHARE, MAX_MEMORIES = 40, 26, 24, 5, 3
 
 
-def pack(items: DataFrame, budget: int, top: int) -> DataFrame:
-    """(path, cost, pos, chosen, full) in rank order of (path, cost, pos): an item that does not fit is skipped, not the end.
+def _item() -> Column:
+    return F.struct(F.col("pos").cast("long").alias("pos"), "path", F.col("cost").cast("long").alias("cost"))
 
-    ``full`` says that ``top`` items had been taken before.
+
+def _fold(items: DataFrame, budget: int, top: int) -> DataFrame:
+    """One row: ``out``, the items taken in rank order. Costs are not negative and each ``pos`` occurs once.
+
+    As the room only shrinks, an item that is taken has only taken ones of its cost before it: so the first
+    ``top`` items of each cost are enough, at most ``top * (budget + 1)`` of them.
     """
-    one = items.filter(F.col("pos") <= LIMIT).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "path", F.col("cost").cast("long").alias("cost")))).alias("r"))
-    kind = "struct<used:bigint,taken:bigint,out:array<struct<pos:bigint,path:string,cost:bigint,chosen:boolean,full:boolean>>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<struct<pos:bigint,path:string,cost:bigint,chosen:boolean,full:boolean>>").alias("out")).cast(kind)
+    w = Window.partitionBy("cost").orderBy("pos", "path")
+    possible = items.filter(F.col("cost") <= budget).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= top)
+    one = possible.agg(F.array_sort(F.collect_list(_item())).alias("r"))
+    kind = "struct<used:bigint,out:array<struct<pos:bigint,path:string,cost:bigint>>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:bigint,path:string,cost:bigint>>").alias("out")).cast(kind)
 
     def step(acc, x):
-        full = acc["taken"] >= top
-        ok = ~full & (acc["used"] + x["cost"] <= budget)
-        row = F.struct(x["pos"].alias("pos"), x["path"].alias("path"), x["cost"].alias("cost"), ok.alias("chosen"), full.alias("full"))
-        return F.struct((acc["used"] + F.when(ok, x["cost"]).otherwise(0)).alias("used"), (acc["taken"] + F.when(ok, 1).otherwise(0)).alias("taken"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
+        ok = (F.size(acc["out"]) < top) & (acc["used"] + x["cost"] <= budget)
+        return F.when(ok, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], F.array(x)).alias("out")).cast(kind)).otherwise(acc)
+
+    return one.select(F.aggregate("r", start, step, lambda a: a["out"]).alias("out"))
+
 
-    return one.select(F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x")).select("x.*")
+def taken(items: DataFrame, budget: int, top: int) -> DataFrame:
+    """(pos, path, cost) of the items taken: in rank order, an item that does not fit is skipped, not the end."""
+    return _fold(items, budget, top).select(F.explode("out").alias("x")).select("x.*")
+
+
+def pack(items: DataFrame, budget: int, top: int) -> DataFrame:
+    """(pos, path, cost, chosen, full) of every item of (path, cost, pos), chosen as ``taken`` does.
+
+    ``full`` says that ``top`` items had been taken before.
+    """
+    items = cut_lineage(items.select(_item().alias("x")).select("x.*"))  # read twice
+    one = _fold(items, budget, top)
+    chosen = one.select(F.explode("out").alias("x")).select("x.*", F.lit(True).alias("chosen"))
+    # where the last of ``top`` items stands; null while there is room for more
+    end = one.select(F.when(F.size("out") >= top, F.coalesce(F.array_max(F.transform("out", lambda x: x["pos"])), F.lit(-(2**63)))).alias("last"))
+    every = items.join(F.broadcast(chosen), ["pos", "path", "cost"], "left").crossJoin(F.broadcast(end))
+    return every.select("pos", "path", "cost", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.coalesce(F.col("pos") > F.col("last"), F.lit(False)).alias("full"))
 
 
 def omissions(packed: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def _items(spark, d):
 
     f = live_files(spark, d).select("path", F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)).cast("long").alias("cost"), "content_hash")
     j = _ranked(spark, d).join(f, "path").filter("adjusted > 0 AND cost < 1000000")
-    # a thousand candidates at most reach this rank
+    # one task numbers all candidates: a thousand by evidence, and any number by paths and links
     return j.select("path", "cost", "content_hash", F.row_number().over(Window.orderBy(F.desc("adjusted"), "path")).alias("pos"))
 
 
@@ -187,7 +187,7 @@ _PACK = f"""pack AS (SELECT 0::BIGINT AS pos, 0::BIGINT AS used, 0 AS taken, fal
 
 @query(f"WITH RECURSIVE {sql_items()}, {_PACK} SELECT path, cost, pos AS place FROM pack WHERE chosen")
 def a7_packed(spark, d):
-    return packing.pack(_items(spark, d), BUDGET, TOP).filter("chosen").select("path", "cost", F.col("pos").cast("long").alias("place"))
+    return packing.taken(_items(spark, d), BUDGET, TOP).select("path", "cost", F.col("pos").alias("place"))
 
 
 @query(f"WITH RECURSIVE {sql_items()}, {_PACK} SELECT CASE WHEN chosen THEN 'selected' WHEN taken >= {TOP} THEN 'top' ELSE 'budget_tokens' END AS outcome, count(*) AS items, sum(cost)::BIGINT AS tokens FROM pack WHERE pos > 0 GROUP BY 1")

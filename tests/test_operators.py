@@ -75,6 +75,32 @@ def test_pack_skips_but_goes_on(spark):
     assert packing.pack(items.limit(0), 100, 3).count() == 0
 
 
+def greedy(items, budget, top):
+    used, chosen, out = 0, [], {}
+    for path, cost, pos in sorted(items, key=lambda x: x[2]):
+        full = len(chosen) >= top
+        if not full and used + cost <= budget:
+            used += cost
+            chosen.append(path)
+        how = "selected" if path in chosen[-1:] else "top" if full else "budget_tokens"
+        n, t = out.get(how, (0, 0))
+        out[how] = n + 1, t + cost
+    return chosen, out
+
+
+@pytest.mark.parametrize("budget, top, high", [(3000, 8, 900), (100, 30, 60), (90, 4, 200), (50, 0, 9), (0, 3, 2)])
+def test_pack_any_number_of_items(spark, budget, top, high):
+    import random
+
+    rnd = random.Random(budget)
+    items = [(f"p{i}", rnd.randint(0, high), i) for i in range(1, 20_051)]
+    chosen, want = greedy(items, budget, top)
+    d = df(spark, items, "path string, cost long, pos int").repartition(5)
+    p = packing.pack(d, budget, top)
+    assert {r["outcome"]: (r["items"], r["tokens"]) for r in packing.omissions(p).collect()} == want
+    assert [r["path"] for r in packing.taken(d, budget, top).orderBy("pos").collect()] == chosen
+
+
 def test_fit_and_retry():
     count = len
     items = [{"path": "a", "spans": ["x" * 300, "y" * 20]}, {"path": "b"}]
