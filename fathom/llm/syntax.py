@@ -13,6 +13,7 @@ lists make a whole list. If any piece fails, the full content decides.
 from __future__ import annotations
 
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ KEEP = 200_000
 _GROUPS = {"(": 0xE000, "[": 0xE800, "{": 0xF000}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _ERROR = "\x00"
+#: The opening quote of a literal whose holes need more than a token's expression; never left in a lexed text.
+_OPEN = "\x01"
 
 _RESERVED_JS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
 _WORDS_JS = "let static yield await async of get set as from type interface namespace module declare abstract readonly private protected public implements keyof infer is asserts satisfies unique override accessor global out assert using".split()
@@ -34,7 +37,8 @@ _RESERVED_CS = "abstract as base break case catch checked class const continue d
 _WORDS_CS = "var dynamic record get set init add remove where when with and or not async await partial file required scoped global alias from select group by into join let on equals orderby ascending descending notnull unmanaged allows".split()
 _PREDEF_CS = "bool byte sbyte char decimal double float int uint long ulong short ushort object string void nint nuint".split()
 
-_TEMPLATE = r"`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"
+# literals whose holes have no quotes, comments or braces; of any other only the opening is a token
+_TEMPLATE = r"`(?:\\[\s\S]|\$\{[^{}`'\"/]*\}|\$(?!\{)|[^`\\$])*`"
 _REGEX = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
 _NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[A-Za-z]*)"
 _JS_TOKEN = "|".join([
@@ -46,8 +50,8 @@ _JS_TOKEN = "|".join([
 _STR_CS = r'"(?:[^"\\\n]|\\.)*"(?:u8)?'
 _CS_TOKEN = "|".join([
     r"@?[^\W\d]\w*", r"[(){}\[\];,]", r"\n[ \t]*#[^\n]*", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\.\.|\?\.(?!\d)|\.(?!\d)|->|::|:", r"=>|==|!=|=",
-    r'\$*"""(?!")[\s\S]*?"""(?!")|\$*""""(?!")[\s\S]*?""""(?!")',
-    r'(?:\$@|@\$)"(?:[^"{}]|""|\{\{|\}\}|\{(?:[^{}"]|"[^"]*")*\})*"', r'\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|\{[^{}]*\})*\})*"', r'@"(?:[^"]|"")*"', _STR_CS,
+    r'"""(?!")[\s\S]*?"""(?!")|""""(?!")[\s\S]*?""""(?!")', r'\$+"{3,}',
+    r'''(?:\$@|@\$)"(?:[^"{}]|""|\{\{|\}\}|\{[^{}"'/@$]*\})*"(?!")''', r'''\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{[^{}"'\n/@$]*\})*"''', r'\$@?"|@\$"', r'@"(?:[^"]|"")*"', _STR_CS,
     r"'(?:[^'\\\n]|\\[^'\n]+|\\')'", _NUMBER.replace(r"\d[\d_]*\.?[\d_]*", r"\d[\d_]*(?:\.\d[\d_]*)?"), r"\+\+|--|\?\?=?|&&|\|\||<<=?|[+\-*/%&|^]=?|<=?|>=?|[!~?]", r"\S",
 ])
 _JSON_TOKEN = r'[{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-])|(?:true|false|null)(?!\w)|[^ \t\r\n]'
@@ -57,7 +61,7 @@ class Alphabet:
     """Characters for tokens and the terminals that each can be."""
 
     def __init__(self):
-        self.classes: dict[str, frozenset] = {_ERROR: frozenset()}
+        self.classes: dict[str, frozenset] = {_ERROR: frozenset(), _OPEN: frozenset()}
         self.chars: dict[frozenset, str] = {}
         self._next = 0x100
 
@@ -92,7 +96,9 @@ class Dialect:
         text, self.starts, self.roles = ROLES[name]
         self.name, self.grammar, self.newlines = name, compiled(text), newlines
         self.alpha = a = Alphabet()
-        self.find = re.compile(token).findall
+        self.scan = re.compile(token)
+        self.find = self.scan.findall
+        self.holes: dict[str, bool] = {}
         self.special = {w: a.add(w, "NAME") for w in reserved} | {w: a.add(w, "NAME", "ID") for w in words}
         self.punct: dict[str, str] = {}
         self.kinds = Kinds(self._classify)
@@ -158,7 +164,7 @@ class Dialect:
         if c in "\"'":
             return self.STR if len(t) > 1 and t[-1] == c else _ERROR
         if c == "`":
-            return (self.TEMPLATE if self._template(t) else _ERROR) if len(t) > 1 else _ERROR
+            return self._template(t, 0)[0] if len(t) > 1 else _OPEN
         if c.isdigit() or (c == "." and len(t) > 1):
             return self.NUM if self._number(t) else _ERROR
         if c == "#":
@@ -171,9 +177,105 @@ class Dialect:
     def _number(t: str) -> bool:
         return bool(re.fullmatch(r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?", t))
 
-    def _template(self, t: str) -> bool:
-        """Whether the expressions inside a template literal are valid."""
-        return all(self.fits("Expr", self._collapse(self.lex(e))) for e in re.findall(r"(?<!\\)\$\{((?:[^{}`]|\{[^{}]*\}|`[^`]*`)*)\}", t))
+    # -- literals with expressions in them
+
+    _TEMPLATE_TEXT = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$]+)*")
+    _STRING_TEXT = re.compile(r'(?:[^"\\{}\n]+|\\.|\{\{|\}\})*')
+    _VERBATIM_TEXT = re.compile(r'(?:[^"{}]+|""|\{\{|\}\})*')
+    _RUN = re.compile(r'"+|\{+|\}+')
+
+    def _literal(self, text: str, at: int) -> tuple[str, int]:
+        """The character of a literal that starts at ``at``, and its end; that of the text where it has none."""
+        return self._interpolated(text, at) if self.name == "csharp" else self._template(text, at)
+
+    def _template(self, text: str, at: int) -> tuple[str, int]:
+        ok, at = True, at + 1
+        while True:
+            at = self._TEMPLATE_TEXT.match(text, at).end()
+            if text[at : at + 1] == "`":
+                return self.TEMPLATE if ok else _ERROR, at + 1
+            end, _ = self._hole_end(text, at + 1) if text[at : at + 2] == "${" else (None, None)
+            if end is None:
+                return _ERROR, len(text)
+            ok = self._fits_hole(text[at + 1 : end]) and ok
+            at = end
+
+    def _interpolated(self, text: str, at: int) -> tuple[str, int]:
+        head = re.compile(r'[$@]+"').match(text, at).group()
+        raw = re.compile(r'(\$+)("{3,})').match(text, at)
+        if raw:
+            return self._raw(text, raw.end(), len(raw.group(1)), len(raw.group(2)))
+        ok, at, verbatim = True, at + len(head), "@" in head
+        while True:
+            at = (self._VERBATIM_TEXT if verbatim else self._STRING_TEXT).match(text, at).end()
+            if text[at : at + 1] == '"':
+                return self.STR if ok else _ERROR, at + 1
+            end, code = self._hole_end(text, at, '"' if verbatim else '"\n') if text[at : at + 1] == "{" else (None, None)
+            if end is None:
+                return _ERROR, len(text)
+            ok = self._fits_hole(text[at + 1 : code]) and ok
+            at = end
+
+    def _raw(self, text: str, at: int, braces: int, quotes: int) -> tuple[str, int]:
+        """A raw string: as many braces as it has dollar signs open a hole, fewer are text."""
+        ok = True
+        while m := self._RUN.search(text, at):
+            c, n, at = m.group()[0], len(m.group()), m.end()
+            if c == '"' and n >= quotes:
+                return self.STR if ok and n == quotes else _ERROR, at
+            if c == '"' or n < braces:
+                continue
+            end, code = self._hole_end(text, at - 1) if c == "{" and n < 2 * braces else (None, None)
+            if end is None or text[end : end + braces - 1] != "}" * (braces - 1):
+                break
+            ok = self._fits_hole(text[at:code]) and ok
+            at = end + braces - 1
+        return _ERROR, len(text)
+
+    def _hole_end(self, text: str, at: int, never: str = "") -> tuple[int | None, int | None]:
+        """Behind the brace that matches the one at ``at``, and where the code ends: there or at a C# format.
+
+        A format has none of the characters ``never``. None where the hole has no end.
+        """
+        braces = others = 0
+        while m := self.scan.search(text, at):
+            t, at = m.group(), m.end()
+            if self.kinds[t] == _OPEN:
+                at = self._literal(text, m.start())[1]
+            elif t[0] == "{":
+                braces += 1
+            elif t == "}":
+                braces -= 1
+                if not braces:
+                    return at, at - 1
+            elif t[0] in "([":
+                others += 1
+            elif t in (")", "]"):
+                others -= 1
+            elif t == ":" and self.name == "csharp" and braces == 1 and others <= 0:
+                end = text.find("}", at)
+                given = text[at:end].replace('""', "") if "\n" not in never else text[at:end]
+                return (None, None) if end <= at or "{" in given or any(c in given for c in never) else (end + 1, m.start())
+        return None, None
+
+    def _fits_hole(self, code: str) -> bool:
+        """Whether a hole (of a template with its braces, of a C# string without its format) is an expression."""
+        got = self.holes.get(code)
+        if got is None:
+            if self.name == "csharp":
+                s = self._collapse(self.lex(code))
+            else:
+                s = self.lex(code)  # with its braces, as a regular expression may follow the first
+                s = self._collapse(s[1:-1]).replace(self.N, "") if s[:1] == "{" and s[-1:] == "}" else _ERROR
+            got = _ERROR not in s and not any(b in s for b in "()[]{}")
+            if got and not self.fits("Expr", s):
+                # an alignment may follow the value
+                value, comma, width = s.rpartition(self.punct[","])
+                got = self.name == "csharp" and bool(comma) and self.fits("Expr", value) and self.fits("Expr", width)
+            if len(self.holes) > KEEP:
+                self.holes.clear()
+            self.holes[code] = got
+        return got
 
     def _classify_cs(self, t: str, c: str) -> str:
         if c == "\n":
@@ -182,6 +284,10 @@ class Dialect:
             return "" if t[1] == "/" or len(t) >= 4 else _ERROR
         if c == "'":
             return self.STR if len(t) > 2 else _ERROR
+        if c == "$" or t[:2] == "@$":
+            if t in ('$"', '$@"', '@$"') or t[-3:] == '"""' and not t.strip('$"'):
+                return _OPEN
+            return self._interpolated(t, 0)[0] if len(t) > 1 else _ERROR
         if t[-1] == '"' or t.endswith('"u8'):
             return self.STR if len(t.lstrip("$@")) > 1 else _ERROR
         if c.isdigit() or (c == "." and len(t) > 1):
@@ -192,7 +298,22 @@ class Dialect:
 
     def lex(self, text: str) -> str:
         kinds = self.kinds
-        return "".join([kinds[t] for t in self.find(text)])
+        s = "".join([kinds[t] for t in self.find(text)])
+        return self._lex_literals(text) if _OPEN in s else s
+
+    def _lex_literals(self, text: str) -> str:
+        out: list[str] = []
+        at, kinds = 0, self.kinds
+        while at is not None:
+            start, at = at, None
+            for m in self.scan.finditer(text, start):
+                c = kinds[m.group()]
+                if c == _OPEN:
+                    c, at = self._literal(text, m.start())
+                    out.append(c)
+                    break
+                out.append(c)
+        return "".join(out)
 
     # -- parsing
 
@@ -292,13 +413,26 @@ class Tsx(Dialect):
     def lex(self, text: str) -> str:
         if "<" not in text:
             return super().lex(text)
+        return self._walk(text, 0, False)[0]
+
+    def _hole_end(self, text, at, never=""):
+        end = self._walk(text, at, True)[1]
+        return end, end and end - 1
+
+    def _walk(self, text: str, at: int, hole: bool) -> tuple[str, int | None]:
+        """The characters from ``at`` on and their end: of the text, or of the hole whose brace is there (None if open)."""
         out: list[str] = []
-        at, n, kinds = 0, len(text), self.kinds
+        n, kinds = len(text), self.kinds
         #: modes: a number is the depth of braces of script code, "tag" and "text" belong to the innermost element
         modes: list = [0]
         tags: list[str] = []
         match = self.match
-        while at < n:
+        if hole:
+            m = match(text, at)
+            out.append(kinds[m.group()])
+            at = m.end()
+            modes.append(1)
+        while at < n and not (hole and len(modes) == 1):
             mode = modes[-1]
             if mode == "text":
                 m = self._TEXT.match(text, at)
@@ -343,7 +477,7 @@ class Tsx(Dialect):
                 elif t[0] in "\"'":
                     out.append(self.STR if len(t) > 1 else _ERROR)
                 elif not t.isspace() and t[:2] not in ("//", "/*"):
-                    out.append(kinds[t])
+                    out.append(_ERROR if kinds[t] == _OPEN else kinds[t])
                 continue
             m = match(text, at)
             if m is None:
@@ -356,7 +490,11 @@ class Tsx(Dialect):
                     at = self._open(text, at, out, modes, tags)
                     continue
             at = m.end()
-            if t == "{" and mode:
+            if kinds[t] == _OPEN:
+                c, at = self._literal(text, m.start())
+                out.append(c)
+                continue
+            if t[0] == "{" and mode:
                 modes[-1] += 1
             elif t == "}" and mode:
                 modes[-1] -= 1
@@ -365,7 +503,8 @@ class Tsx(Dialect):
             out.append(kinds[t])
         if len(modes) > 1:
             out.append(_ERROR)
-        return "".join(out)
+            at = None
+        return "".join(out), at
 
     def _name(self, name: str):
         for part in re.findall(r"[\w$]+|[.:-]", name):
@@ -387,6 +526,7 @@ _LANGUAGE = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "cs": "csharp
 def dialects(language: str) -> list[Dialect]:
     """The grammars a language is tried with, built once per worker."""
     if language not in _dialects:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # literals in literals
         if language == "tsx":
             own = [Tsx("tsx", _JS_TOKEN, _RESERVED_JS, _WORDS_JS, True)]
         elif language == "csharp":

@@ -73,6 +73,36 @@ def test_invalid(language, text):
     assert not syntax.is_valid(text, language)
 
 
+CS = "class A { string s = %s; }"
+HOLES = {
+    True: [
+        ("csharp", CS % t) for t in (
+            '$"a {x} {{b}} {{{y,-10:F2}}} {d["k"]}"', '$"{(a ? "x" : "}")} {f(new { A = 1 })} {xs.Select(x => { return $"{x["{"]}"; })}"', '$@"a "" {d["k"]} {t:hh""mm} \n"', '@$"{x}"', '$""', '$@""',
+            '$"{x switch { 1 => "a", _ => new B { C = { D = 1 } } }}"', '$"""\n {x} "" {d["}"]:N2}\n """', '$$"""{"a": {{x}}, {b} }"""', '$"{t:hh\\:mm} {\'}\'} {g::N.X}"', '$"{F<int, string>(x)}"')
+    ] + [
+        (k, t) for k in ("javascript", "typescript", "tsx") for t in (
+            "let x = `a ${f({ a: { b: { c: `}${1}` } } })} ${s.replace(/[`}\"]/g, '}')} \\${ $ {`;", "let x = `${/}/.test(s)}${(() => { let a = 1\nlet b = 2\nreturn { a, b } })()}`;", "f`${a, b}${\n c\n}`;")
+    ] + [("tsx", "const A = <p a={`x ${f({ b: {} })}`}>{`${<b>{c}</b>}`}</p>;")],
+    False: [
+        ("csharp", CS % t) for t in (
+            '$"{a +}"', '$"{}"', '$"{x y}"', '$"{x"', '$"x}"', '$"{a ? b : c}"', '$"{x:}"', '$"{d["k" +]}"', '$@"{a +}"', '$"""{a +}"""', '$$"""{{x y}}"""', '$$"""{{x}"""', '$"{f(new { A = })}"', '$"{f(}"', '$"{$"{a +}"}"', '$"{x:a"')
+    ] + [
+        (k, t) for k in ("javascript", "typescript", "tsx") for t in (
+            "let x = `${f({ a: { b: { c: + } } })}`;", "let x = `${}`;", "let x = `${a b}`;", "let x = `${f(}`;", "let x = `${`${`${a b}`}`}`;", "let x = `${a", "let x = `${() => { if (a) { b c } }}`;")
+    ] + [("tsx", "const A = <p a={`x ${f({ b: {}, c: + })}`}/>;")],
+}
+
+
+@pytest.mark.parametrize("want, language, text", [(w, k, t) for w, v in HOLES.items() for k, t in v])
+def test_expressions_in_literals(want, language, text):
+    assert syntax.is_valid(text, language) == want
+
+
+def test_literals_in_literals():
+    deep = "`${" * 300 + "1" + "}`" * 300
+    assert syntax.is_valid(deep, "javascript") and not syntax.is_valid(deep.replace("1", "1 2"), "javascript")
+
+
 def test_long_and_deep_texts():
     assert syntax.is_valid("const a = [" + "1, " * 20_000 + "];", "typescript")
     assert syntax.is_valid("(" * 200 + "1" + ")" * 200, "javascript")
