@@ -179,7 +179,7 @@ class Repository:
             "languages": [r.asDict() for r in architecture.languages(t.files).collect()],
             "tree": [r.asDict() for r in architecture.tree(t.files, depth).orderBy("dir").collect()],
             "central": [r.asDict() for r in graph.centrality(t.edges, top).collect()],
-            "entrypoints": [r["path"] for r in architecture.entrypoints(t.files, t.edges).orderBy("path").limit(1000).collect()],
+            "entrypoints": [r["path"] for r in architecture.entrypoints(t.files, t.edges).orderBy("path").collect()],
         }
 
     def prime(self, files: int = 5) -> dict:

@@ -265,6 +265,23 @@ def test_commands(spark, repo, tmp_path):
         r.tables
 
 
+def test_architecture_lists_all_entrypoints(spark):
+    from types import SimpleNamespace
+
+    from fathom.api import Repository
+
+    class Given(Repository):
+        def __init__(self):
+            pass
+
+        tables = SimpleNamespace(
+            files=df(spark, [(f"p{i:04}/main.ts", "typescript", "source", 1, "h") for i in range(1005)], "path string, language string, kind string, line_count int, content_hash string"),
+            edges=df(spark, [], "src string, dst string, kind string"),
+        )
+
+    assert Given().architecture()["entrypoints"] == [f"p{i:04}/main.ts" for i in range(1005)]
+
+
 def test_evaluation(spark):
     from fathom.operators import evaluation
 
