@@ -73,6 +73,12 @@ SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE n >= 3
 """
 
 
+@query
+def p2_scores(spark, d):
+    """Every term of every chunk with its score; p2_top_terms is a report on it."""
+    return terms.score_terms(table(spark, d, "chunks"))
+
+
 @query
 def p2_top_terms(spark, d):
     return terms.score_terms(table(spark, d, "chunks"), top=10)

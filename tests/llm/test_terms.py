@@ -72,3 +72,12 @@ def test_found_rows_are_rows_of_the_operator(spark, tiny, monkeypatch):
     gone = min(t for _, t in want)
     monkeypatch.setattr(terms, "score_terms", lambda *a, **k: whole(*a, **k).filter(f"term <> '{gone}'"))
     assert {tuple(r) for r in queries.p2_found(spark, tiny).collect()} == {x for x in want if x[1] != gone}
+
+
+def test_scores_of_every_term(spark, tiny):
+    from fathom.llm import queries
+
+    rows = [(r["chunk_id"], r["heading"], r["content"]) for r in queries.table(spark, tiny, "chunks").select("chunk_id", "heading", "content").collect()]
+    _, tf, freq = brute(rows)
+    got = queries.QUERIES["p2_scores"](spark, tiny).collect()
+    assert len(got) == len(tf) and {(r["chunk_id"], r["term"]): (r["tf"], r["records"]) for r in got} == {k: (n, freq[k[1]]) for k, n in tf.items()}
