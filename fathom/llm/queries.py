@@ -60,7 +60,7 @@ def p10_pieces(spark, d):
 
 @query
 def p2_found(spark, d):
-    """The cases among the rows of the operator: every term of every chunk is weighed, then the exact counts decide."""
+    """The cases among the rows of the operator: exact counts decide, the score (in p2_scores) does not."""
     return terms.score_terms(table(spark, d, "chunks")).filter("tf >= 3 AND records BETWEEN 2 AND 6").select("chunk_id", "term")
 
 
