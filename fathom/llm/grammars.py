@@ -113,6 +113,9 @@ def _fill(text: str, marks: dict[str, str]) -> str:
 
 
 JAVASCRIPT = _fill(_SCRIPT, _PLAIN)
+#: Strict code with imports and exports, and sloppy code without them.
+MODULE = JAVASCRIPT.replace("| 'with' PAREN N? Body ", "")
+CLASSIC = JAVASCRIPT.replace(" | Import | Export", "").replace(" | Deco* 'export' ('default')? (Function | Class)", "")
 TYPESCRIPT = _fill(_SCRIPT, _TYPED).replace("Assign = Operand (Bin", "Assign = Operand (('as' | 'satisfies') ('const' | Type))* (Bin") + _TYPES
 TSX = _fill(_SCRIPT, _TYPED | {"JSX": "| Jsx", "CAST": ""}).replace("Assign = Operand (Bin", "Assign = Operand (('as' | 'satisfies') ('const' | Type))* (Bin") + _TYPES + _JSX
 
@@ -222,7 +225,8 @@ _JSON_ROLES: dict = {"(": {}, "[": {"ARRAY": "Array"}, "{": {"OBJ": "Obj"}}
 
 #: grammar -> (text, start symbols, roles of each bracket)
 ROLES = {
-    "javascript": (JAVASCRIPT, ["List"], _SCRIPT_ROLES),
+    "module": (MODULE, ["List"], _SCRIPT_ROLES),
+    "classic": (CLASSIC, ["List"], _SCRIPT_ROLES),
     "typescript": (TYPESCRIPT, ["List"], {b: _SCRIPT_ROLES[b] | _TYPE_ROLES[b] for b in "([{"}),
     "tsx": (TSX, ["List"], {b: _SCRIPT_ROLES[b] | _TYPE_ROLES[b] for b in "([{"}),
     "csharp": (CSHARP, ["Unit"], {

@@ -91,7 +91,7 @@ def p5_found(spark, d):
 
 @query
 def p5_rates(spark, d):
-    return syntax.failure_rates(syntax.check_syntax(table(spark, d, "documents")))
+    return syntax.failure_rates(syntax.check_syntax(table(spark, d, "documents")), budget.newest_files(table(spark, d, "files")))
 
 
 @query

@@ -1,13 +1,13 @@
 """Source files that do not parse (problem 5).
 
-A file is lexed into one character per token. Bracketed groups are then replaced from the inside out:
-the content of a group is recognised by generalised LL against every role that its bracket can have,
-and the group becomes a single token that stands for the roles it fits. What is left at the top must be
-a whole file under one of the language's grammars; a file is flagged when all of them reject it.
+A file is lexed into one character per token. Bracketed groups are then replaced in one pass with a
+stack: the content of a group is recognised by generalised LL against every role that its bracket can
+have, and the group becomes a single token that stands for the roles it fits. What is left at the top
+must be a whole file under one of the language's grammars; a file is flagged when all of them reject it.
 
 Contents repeat a lot, within and across files, so results are kept by content in each worker. Long
-lists of statements or members are first tried in pieces, cut where one may end: pieces that are whole
-lists make a whole list. If any piece fails, the full content decides.
+lists of statements, members or items are first tried in pieces, cut where one may end: pieces that are
+whole lists make a whole list. If any piece fails, the full content decides.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from .grammars import ROLES
 KEEP = 200_000
 _GROUPS = {"(": 0xE000, "[": 0xE800, "{": 0xF000}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
+_BRACKET = re.compile(r"[()\[\]{}]")
+#: Rules that are lists with commas between their items; in JSON none may end with a comma.
+_ITEMS = frozenset("Args Params Array ArrPat Obj ObjPat Named Tuple EnumBody InitList ListExpr Arms Anon Attrs Index Ranked ListPat PosPat".split())
+_ENDS_WITH_COMMA = frozenset("EnumBody InitList ListExpr Arms Anon Attrs".split())
 _ERROR = "\x00"
 #: The opening quote of a literal whose holes need more than a token's expression; never left in a lexed text.
 _OPEN = "\x01"
@@ -43,13 +47,13 @@ _REGEX = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
 _NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[A-Za-z]*)"
 _JS_TOKEN = "|".join([
     rf"(?:=>|&&|\|\||\?\?|[!=]==?|[=(,:\[!&|?{{;~^<>+\-*%]|\breturn|\btypeof|\bcase)\s*{_REGEX}",
-    r"[^\W\d][\w$]*|\$[\w$]*", r"\n\s*", r"[(){}\[\];,:]", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*",
+    r"[^\W\d][\w$]*|\$[\w$]*", r"\n\s*", r"[(){}\[\];,:]", r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\Z)",
     r"=>|===?|!==?|=|!", r"\.\.\.|\?\.(?!\d)|\.(?!\d)", r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", _NUMBER, _TEMPLATE,
     r"\*\*=?|&&=?|\|\|=?|\?\?=?|\+\+|--|<<=?|[+\-*/%&|^]=?|<=?|>=?|\?", r"#[\w$]+", r"\S",
 ])
 _STR_CS = r'"(?:[^"\\\n]|\\.)*"(?:u8)?'
 _CS_TOKEN = "|".join([
-    r"@?[^\W\d]\w*", r"[(){}\[\];,]", r"\n[ \t]*#[^\n]*", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\.\.|\?\.(?!\d)|\.(?!\d)|->|::|:", r"=>|==|!=|=",
+    r"@?[^\W\d]\w*", r"[(){}\[\];,]", r"\n[ \t]*#[^\n]*", r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\Z)", r"\.\.|\?\.(?!\d)|\.(?!\d)|->|::|:", r"=>|==|!=|=",
     r'"""(?!")[\s\S]*?"""(?!")|""""(?!")[\s\S]*?""""(?!")', r'\$+"{3,}',
     r'''(?:\$@|@\$)"(?:[^"{}]|""|\{\{|\}\}|\{[^{}"'/@$]*\})*"(?!")''', r'''\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{[^{}"'\n/@$]*\})*"''', r'\$@?"|@\$"', r'@"(?:[^"]|"")*"', _STR_CS,
     r"'(?:[^'\\\n]|\\[^'\n]+|\\')'", _NUMBER.replace(r"\d[\d_]*\.?[\d_]*", r"\d[\d_]*(?:\.\d[\d_]*)?"), r"\+\+|--|\?\?=?|&&|\|\||<<=?|[+\-*/%&|^]=?|<=?|>=?|[!~?]", r"\S",
@@ -103,9 +107,8 @@ class Dialect:
         self.punct: dict[str, str] = {}
         self.kinds = Kinds(self._classify)
         self.known: dict[tuple[str, str], bool] = {}
-        self.group: dict[tuple[str, str], str] = {}
+        self.group: dict[str, dict[str, str]] = {b: {} for b in _CLOSE}
         self.by_roles: dict[tuple[str, frozenset], str] = {}
-        self.inner = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
         self._setup()
 
     # -- lexing
@@ -126,6 +129,12 @@ class Dialect:
         self.punct["++"] = self.punct["--"] = a.add("INC")
         comma = self.punct[","]
         self.repeats = re.compile(f"([^{comma}]{{1,8}}{comma})\\1\\1+")
+        # chains of the same accesses, calls or operators; no type argument, condition or keyword is in them
+        links = "".join(re.escape(self.punct[x]) for x in (".", "+", "-", "*", "&", "|", "&&", "==", "/"))
+        groups = re.escape(self.TEMPLATE) + "\ue000-\uf7ff"
+        parts = "".join(map(re.escape, (self.ID, self.NUM, self.STR))) + groups
+        self.chains = re.compile(f"([{groups}]|[{parts}]{{0,4}}[{links}][{parts}]{{0,4}}?)\\1\\1+")
+        self.links = re.compile("[" + "".join(re.escape(self.punct[x]) for x in ("+", "-", "*", "&", "|", "&&", "==", "/")) + "]")
         self._cuts()
 
     def _cuts(self):
@@ -160,21 +169,26 @@ class Dialect:
         if c == "\n":
             return self.N
         if c == "/":
-            return (self.N if "\n" in t else "") if t[:2] in ("//", "/*") and len(t) >= (4 if t[1] == "*" else 2) else _ERROR
+            return (self.N if "\n" in t else "") if t[:2] == "//" or self._closed(t) else _ERROR
         if c in "\"'":
             return self.STR if len(t) > 1 and t[-1] == c else _ERROR
         if c == "`":
             return self._template(t, 0)[0] if len(t) > 1 else _OPEN
         if c.isdigit() or (c == "." and len(t) > 1):
-            return self.NUM if self._number(t) else _ERROR
+            return self.NUM if self._number(t) and not (self.name == "module" and re.match(r"0[0-9_]", t)) else _ERROR
         if c == "#":
             return self.PRIVATE if len(t) > 1 else _ERROR
         if c == "_" or c == "$" or c.isalpha():
             return self.ID
         return _ERROR
 
+    @staticmethod
+    def _closed(t: str) -> bool:
+        return t[:2] == "/*" and len(t) >= 4 and t.endswith("*/")
+
     @staticmethod
     def _number(t: str) -> bool:
+        """A number of any script dialect; the strict one has no octals that begin with 0."""
         return bool(re.fullmatch(r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?", t))
 
     # -- literals with expressions in them
@@ -267,7 +281,7 @@ class Dialect:
             else:
                 s = self.lex(code)  # with its braces, as a regular expression may follow the first
                 s = self._collapse(s[1:-1]).replace(self.N, "") if s[:1] == "{" and s[-1:] == "}" else _ERROR
-            got = _ERROR not in s and not any(b in s for b in "()[]{}")
+            got = _ERROR not in s
             if got and not self.fits("Expr", s):
                 # an alignment may follow the value
                 value, comma, width = s.rpartition(self.punct[","])
@@ -281,7 +295,7 @@ class Dialect:
         if c == "\n":
             return ""
         if c == "/" and t[:2] in ("//", "/*"):
-            return "" if t[1] == "/" or len(t) >= 4 else _ERROR
+            return "" if t[1] == "/" or self._closed(t) else _ERROR
         if c == "'":
             return self.STR if len(t) > 2 else _ERROR
         if c == "$" or t[:2] == "@$":
@@ -329,21 +343,64 @@ class Dialect:
                 if len(content) > 16 and symbol in ("List", "ClassBody", "TypeBody", "SpaceBody"):
                     parts = self.cut.split(content)
                     got = len(parts) > 1 and all(self.fits(symbol, x) for x in parts)
+                    if not got and len(parts) == 1 and symbol == "List" and len(content) > 64:
+                        got = self._long_statement(content)
+                elif len(content) > 64 and symbol == "Expr":
+                    got = self._long_expression(content)
+                elif len(content) > 64 and symbol in _ITEMS:
+                    got = self._each_item(symbol, content)
+                    if not got and self.name == "json":
+                        self.known[key] = False  # a comma is nothing else there
+                        return False
                 if not got:
-                    # in every list of these grammars two equal items in a row stand for any number
-                    short = self.repeats.sub(r"\1\1", content) if len(content) > 64 else content
-                    cls = self.alpha.classes
-                    got = recognise(self.grammar, [symbol], [cls[c] for c in short])
+                    got = recognise(self.grammar, [symbol], [self.alpha.classes[c] for c in self._short(content)])
             self.known[key] = got
         return got
 
-    def _group(self, m) -> str:
-        content = m.group()
-        got = self.group.get(content)
+    def _short(self, content: str) -> str:
+        """The content with long repetitions shortened.
+
+        In every list of these grammars two equal items in a row stand for any number.
+        """
+        while len(content) > 64:
+            short = self.chains.sub(r"\1\1", self.repeats.sub(r"\1\1", content))
+            if len(short) == len(content):
+                break
+            content = short
+        return content
+
+    def _each_item(self, symbol: str, content: str) -> bool:
+        """Whether all that stands between the commas of a content is an item of the list by itself."""
+        items = content.split(self.punct[","])
+        if len(items) > 1 and not items[-1] and (symbol in _ENDS_WITH_COMMA if self.name == "csharp" else self.name != "json"):
+            items.pop()
+        return len(items) > 1 and all(items) and all(self.fits(symbol, x) for x in set(items))
+
+    def _long_statement(self, content: str) -> bool:
+        """Whether a content is one declaration whose items are declarations by themselves, or one expression."""
+        body = content.rstrip(self.N) if self.newlines else content
+        body = body.removesuffix(self.punct[";"])
+        if self.newlines and body[:1] in [self.special[w] for w in ("var", "let", "const")]:
+            items = body[1:].split(self.punct[","])
+            return len(items) > 1 and all(items) and all(self.fits("List", body[0] + x) for x in set(items))
+        return body != content and self.fits("Expr", body)
+
+    def _long_expression(self, content: str) -> bool:
+        """Whether an expression is made of smaller ones at its commas, its first assignment or its plain operators."""
+        if self.newlines and self.punct[","] in content:
+            return all(x and self.fits("Expr", x) for x in set(content.split(self.punct[","])))
+        left, equals, right = content.partition(self.punct["="])
+        if equals:
+            return self.fits("Operand", left) and self.fits("Expr", right)
+        parts = self.links.split(content)
+        return len(parts) > 1 and all(x and self.fits("Operand", x) for x in set(parts))
+
+    def _role(self, bracket: str, content: str) -> str:
+        """The character that stands for a group."""
+        known = self.group[bracket]
+        got = known.get(content)
         if got is None:
-            bracket, inner = content[0], content[1:-1]
-            if self.newlines and bracket != "{":
-                inner = inner.replace(self.N, "")
+            inner = content.replace(self.N, "") if self.newlines and bracket != "{" else content
             roles = frozenset(role for role, symbol in self.roles[bracket].items() if self.fits(symbol, inner))
             if not roles:
                 got = _ERROR
@@ -353,20 +410,40 @@ class Dialect:
                     c = chr(_GROUPS[bracket] + sum(b == bracket for b, _ in self.by_roles))
                     self.by_roles[key], self.alpha.classes[c] = c, roles
                 got = self.by_roles[key]
-            if len(self.group) > KEEP:
-                self.group.clear()
-            self.group[content] = got
+            if len(known) > KEEP:
+                known.clear()
+            known[content] = got
         return got
 
     def _collapse(self, s: str) -> str:
+        """The tokens of a text with every group as one character; an error where a group is none or brackets don't match."""
+        if _ERROR in s:
+            return _ERROR
         if self.newlines and self.N in s:
             s = self.idle.sub("", self.idle.sub("", s))
-        n = 1
-        while n:
-            s, n = self.inner.subn(self._group, s)
-            if _ERROR in s:
+        out: list[str] = []
+        above: list[tuple[list[str], str]] = []
+        at = 0
+        for m in _BRACKET.finditer(s):
+            i = m.start()
+            c = s[i]
+            if at < i:
+                out.append(s[at:i])
+            at = i + 1
+            if c in _CLOSE:
+                above.append((out, c))
+                out = []
+                continue
+            if not above or _CLOSE[above[-1][1]] != c:
+                return _ERROR
+            inner = "".join(out)
+            out, bracket = above.pop()
+            role = self._role(bracket, inner)
+            if role == _ERROR:
                 return _ERROR
-        return s
+            out.append(role)
+        out.append(s[at:])
+        return _ERROR if above else "".join(out)
 
     def valid(self, text: str) -> bool:
         if text[:1] == "\ufeff":
@@ -376,7 +453,7 @@ class Dialect:
         if self.name == "csharp" and text[:1] == "#":
             text = "\n" + text
         s = self._collapse(self.lex(text))
-        if s == _ERROR or _ERROR in s or any(b in s for b in "()[]{}"):
+        if _ERROR in s:
             return False
         return any(self._whole(start, s) for start in self.starts)
 
@@ -536,14 +613,47 @@ def dialects(language: str) -> list[Dialect]:
         elif language == "json":
             own = [Dialect("json", _JSON_TOKEN, ["true", "false", "null"], [], False)]
         else:
-            own = [Dialect(language, _JS_TOKEN, _RESERVED_JS, _WORDS_JS, True)]
+            own = [Dialect(name, _JS_TOKEN, _RESERVED_JS, _WORDS_JS, True) for name in (("module", "classic") if language == "javascript" else (language,))]
         _dialects[language] = own
     return _dialects[language]
 
 
+_CONDITION = re.compile(r"(?m)^[ \t]*#[ \t]*(if|elif|else|endif)\b[^\n]*")
+
+
+def branches(text: str, last: bool) -> str:
+    """A C# text with the first (or the last) branch of every condition of the preprocessor, and blanks for the others.
+
+    What is nested in a branch that is left out goes with it.
+    """
+    out, at, taken = [], 0, []  # per open condition whether its present branch is kept
+    spans = [(m.start(), m.end(), m.group(1)) for m in _CONDITION.finditer(text)]
+    after, ends = [], {}  # directive -> whether another branch of its condition follows
+    for i, (_, _, kind) in enumerate(spans):
+        if kind in ("elif", "else", "endif") and after:
+            ends[after.pop()] = kind == "endif"
+        if kind != "endif":
+            after.append(i)
+    for i, (s, e, kind) in enumerate(spans):
+        out.append(text[at:s] if all(taken) else "\n")
+        at = e
+        if kind == "if":
+            taken.append(ends.get(i, True) if last else True)
+        elif taken:
+            taken.pop()
+            if kind != "endif":
+                taken.append(ends.get(i, True) if last else False)
+    out.append(text[at:] if all(taken) else "\n")
+    return "".join(out)
+
+
 def is_valid(text: str, language: str) -> bool:
-    """Whether any dialect of the language accepts the whole text."""
-    return any(d.valid(text) for d in dialects(language))
+    """Whether any dialect of the language accepts the whole text: for JavaScript modules and classic scripts, for C#
+    the text with all branches of its conditions, with the first ones or with the last ones."""
+    own = dialects(language)
+    if any(d.valid(text) for d in own):
+        return True
+    return language == "csharp" and bool(_CONDITION.search(text)) and any(own[0].valid(branches(text, last)) for last in (False, True))
 
 
 def claimed_language(path: Column) -> Column:
@@ -574,6 +684,14 @@ def check_syntax(docs: DataFrame, path_col: str = "path", text_col: str = "text"
     return widen(rows).mapInArrow(run, "path string, source string, language string, valid boolean")
 
 
-def failure_rates(checked: DataFrame) -> DataFrame:
-    """Per repository and language: files with text, files that don't parse, and their rate."""
-    return checked.filter(F.col("valid").isNotNull()).groupBy("source", "language").agg(F.count("*").alias("files"), F.sum((~F.col("valid")).cast("long")).alias("invalid")).withColumn("rate", F.col("invalid") / F.col("files"))
+def failure_rates(checked: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Per repository and language: files with text, files that don't parse, and their rate.
+
+    ``files`` is (path, language), a row a path: where it names a language for a path, the file counts
+    there; else under the language of its ending.
+    """
+    c = checked.filter(F.col("valid").isNotNull())
+    if files is not None:
+        said = files.select("path", F.nullif(F.lower(F.trim("language")), F.lit("")).alias("said"))
+        c = c.join(said, "path", "left").withColumn("language", F.coalesce("said", "language"))
+    return c.groupBy("source", "language").agg(F.count("*").alias("files"), F.sum((~F.col("valid")).cast("long")).alias("invalid")).withColumn("rate", F.col("invalid") / F.col("files"))
