@@ -1,9 +1,13 @@
 """Credentials embedded in source code and configuration (problem 6).
 
-One Aho-Corasick automaton over token prefixes, key armor, connection-string keys and credential names
-scans a text in overlapping windows; only around its hits are the grammars of the four families tried.
-Spans are absolute and deduplicated, so windows may overlap as they like. A span is the literal value
-alone: quotes, keys and addresses around it stay, and a placeholder is spliced in for it.
+One deterministic automaton (Aho-Corasick) over the token prefixes, the key armor, the keys of connection
+strings in plain and base64 form, and credential names scans a text in overlapping windows. Each of its
+words names the grammars that may follow it, and only those are tried, on the line of the hit. Spans are
+absolute and deduplicated, so windows may overlap as they like. A span is the literal value alone: quotes,
+keys and addresses around it stay, and a placeholder is spliced in for it. Tokens of unknown issuers, a
+short prefix and a long random body, have no word of their own; one more expression finds those.
+
+Each grammar takes time in proportion to the line, however long.
 """
 
 from __future__ import annotations
@@ -23,21 +27,57 @@ PLACEHOLDER = "REDACTED"
 #: Windows of a long text and their overlap, in characters; a value that begins in a window is read to its end.
 WINDOW, OVERLAP = 1 << 16, 1 << 12
 
-# Anchors of the automaton, all in lower case.
-_NAMES = ["password", "passwd", "passwort", "passphrase", "passcode", "pwd", "kennwort", "bearer ", "accountkey", "sharedaccess", '"key"']
+# Grammars that a word of the automaton calls for.
+NAMED, PAIR, ADDRESS, ARMOR, FORMAT, PLAIN, ENCODED = (1 << i for i in range(7))
+
+# Words of the automaton, all in lower case.
+_NAMES = "password passwd passwort passphrase passcode pass pwd kennwort token tok secret hdr authorization authheader auth_header auth-header credential bearer".split()
 _KEYS = ["api", "app", "access", "signing", "subscription", "private", "encryption", "account", "shared", "master", "auth", "secret", "storage", "service", "client", "license", "deploy", "session", "hmac", "jwt", "webhook", "consumer"]
-_SHORT = ["pass", "token", "secret", "hdr", "authorization", "authheader", "auth_header", "auth-header", "credential", "credentials", "tok"]
-_TOKENS = ["eyj", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_", "sk-proj-", "aiza", "npm_", '"sg.', "'sg.", "=sg.", " sg.", "lfk_", "qvk_", "zpt-", "hb."]
-#: What follows a name: the end of a quoted or indexed name, an assignment, a table cell or a running number.
-_FOLLOWS = ["=", ":", " =", " :", " |", " to `", " ?", '"', "'", "`", "|", ",", ")", "]", "_", "-", *"0123456789"]
-_ANCHORS = [*_NAMES, *(k + sep + "key" for k in _KEYS for sep in ("", "_", "-")), *(w + f for w in _SHORT for f in _FOLLOWS), *_TOKENS, "-----begin", "://"]
+_PAIR_KEYS = ["password", "passwd", "pwd", "accountkey", "sharedaccess", "sharedsecret"]
+_TOKENS = ["eyj", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_", "sk-", "aiza", "npm_", "sg."]
+#: Words whose base64 forms are looked for, in the spellings that are usual.
+_WITHIN = ["password", "Password", "PASSWORD", "passwd", "Passwd", "pwd", "Pwd", "PWD", "AccountKey", "SharedAccess", "SharedSecret", "://"]
+
+
+def base64_forms(word: str) -> set[str]:
+    """What a word looks like inside base64, in lower case, wherever in a group of three bytes it begins."""
+    out = set()
+    for shift in range(3):
+        body = base64.b64encode(bytes(shift) + word.encode()).decode()
+        out.add(body[-(-shift * 8 // 6) : (shift + len(word)) * 8 // 6].lower())
+    return out
+
+
+def _vocabulary() -> dict[str, int]:
+    words: dict[str, int] = {}
+
+    def add(word: str, grammars: int) -> None:
+        words[word] = words.get(word, 0) | grammars
+
+    for w in _NAMES:
+        add(w, NAMED | ENCODED)
+    for k in _KEYS:
+        for sep in ("", "_", "-"):
+            add(k + sep + "key", NAMED | ENCODED)
+    for w in _PAIR_KEYS:
+        add(w, PAIR | NAMED)
+    for w in _TOKENS:
+        add(w, FORMAT)
+    add('"key"', PLAIN)
+    add("-----begin", ARMOR)
+    add("://", ADDRESS)
+    for w in _WITHIN:
+        for form in base64_forms(w):
+            add(form, ENCODED)
+    return words
+
 
 _KEYWORD = (
     r"(?:pass(?:word|wd|wort|phrase|code)?|pwd|kennwort|secret|tok(?:en)?|credentials?|auth[_-]?header|authorization|hdr"
     r"|(?:api|app|access|signing|subscription|private|encryption|account|shared|master|auth|secret|storage|service|client|license|deploy|session|hmac|jwt|webhook|consumer)[_-]?key)"
 )
-#: A name that ends in a credential word; a running number may follow.
-_NAME = rf"(?<![A-Za-z0-9])[\w$.-]*?{_KEYWORD}[_-]?\d{{0,4}}(?![A-Za-z0-9_-])"
+#: The end of a name: a credential word and perhaps a running number. What is before it is looked up after a match.
+_NAME = rf"{_KEYWORD}[_-]?\d{{0,4}}(?![A-Za-z0-9_-])"
 _SCHEME = r"(?:(?:Bearer|Basic|Token|ApiKey|Digest|Negotiate)\s+)?"
 _JOIN = r"[\"'`\]\)]*\s*(?:\?\?=|\|\|=|:=|=>|=|:|,)\s*"
 _QUOTED = re.compile(rf"(?i)(?P<name>{_NAME}){_JOIN}(?:\|?>?[-+]?\s*\n\s*)?(?:new\s*(?:\w*\[\])?\s*)?[{{(\[]?\s*[@$]*(?P<q>[\"'`]){_SCHEME}(?P<v>[^\"'`\n]*)(?P<end>(?P=q)|$|\n)")
@@ -45,16 +85,23 @@ _BARE = re.compile(rf"(?i)(?P<name>{_NAME})[\"']?\s*(?P<op>=|:)\s*(?P<scheme>{_S
 _TABLE = re.compile(rf"(?i)(?P<name>{_NAME})`?\s*(?:\|\s*`?|to `){_SCHEME}(?P<v>[^\s|`]+)")
 _PLAIN_KEY = re.compile(r"(?P<name>\"(?:Key|key)\")\s*:\s*\"(?P<v>[^\"\n]*)\"")
 _PAIR = re.compile(r"(?i)(?<![\w-])(?:password|passwd|pwd|accountkey|sharedaccesskey|sharedaccesssignature|sharedsecret)\s*=\s*(?:'(?P<a>[^'\n;]*)'|\\?\"(?P<b>[^\"\n;\\]*)\\?\"|(?P<c>[^;\"'`\s|<>]+))")
-_LINKED = re.compile(r"(?i)(?:server|host|data source|database|initial catalog|user id|username|uid|user|addr(?:ess)?|endpoint|accountname|sharedaccesskeyname)\s*=[^;\n]*;")
-_URL = re.compile(r"(?<![\w])[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)(?P<end>@|[\"'`])")
+_LINKED = re.compile(r"(?i)(?:server|host|data source|database|initial catalog|user id|username|uid|user|addr(?:ess)?|endpoint|accountname|sharedaccesskeyname)\s*=")
+_URL = re.compile(r"://(?P<user>[^\s/:@\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)(?P<end>@|[\"'`])")
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_ARMOR_BODY = re.compile(r"(?:\\n|\\r|[\s/#*|\"'+>;-])*[A-Za-z0-9+/=:]{16,}|[ \t\r\n`\"']*\Z")
+_ARMOR_LINES = re.compile(r"(?:[ \t\r\n]*(?://|#|\*)?[ \t]*[A-Za-z0-9+/=]{8,}[ \t]*\r?(?:\n|$))+")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _FORMATS = re.compile(
     r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}|A(?:KIA|SIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}"
     r"|xox[abp]-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{32,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}"
-    r"|lfk_[A-Za-z0-9]{24,}|qvk_(?:live|test)_[A-Za-z0-9]{24,}|zpt-[A-Za-z0-9]{24,}|hb\.[A-Za-z0-9]{24,})(?![A-Za-z0-9_])"
+    r")(?![A-Za-z0-9_])"
 )
-_ENCODED = re.compile(r"(?m)^(?P<key>\s*[\"']?[\w.-]+[\"']?\s*:\s*[\"']?)(?P<v>[A-Za-z0-9+/]{8,}={0,2})[\"']?,?\s*$")
+#: A short prefix of small letters, perhaps the environment, and a long body: what most issuers' tokens look like.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_.-])[a-z]{2,6}(?:_(?:live|test|prod))?[_.-](?P<body>[A-Za-z0-9]{24,})(?![A-Za-z0-9_])")
+_ENCODED = re.compile(r"(?P<key>[ \t]*[\"']?[\w.-]+[\"']?[ \t]*:[ \t]*[\"']?)(?P<v>[A-Za-z0-9+/]{8,}={0,2})[\"']?,?[ \t\r]*$", re.M)
+#: What a bare value after a colon may stand behind, unless its name begins the line: a comment, a literal or an argument.
+_OPENS = re.compile(r"//|--|[#*;\"'`(]")
+_BEGINS = re.compile(r"\s*(?:-\s+)?[\"']?")
 _GOES_ON = re.compile(r"\s*(?:\+|\\|\.)\s*\n?\s*[@$]?([\"'`])([^\"'`\n]*)\1")
 _STAND_IN = re.compile(
     r"(?i)\$\{|\$\(|\{\{|\}\}|<[^<>]*>?$|^%[^%]*%$|^\{[\w.]*\}$|^\$\w+$|^[*xX.#?_\-\s]*$|^@\w+\(|^env:|\benv\.|getenv|environ|vault|keyvault|secretsmanager|^ssm:|^op://|^file:"
@@ -67,6 +114,12 @@ def _flips(v: str) -> int:
     return sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:]) if a.isalpha() and b.isalpha())
 
 
+def is_random(v: str) -> bool:
+    """Whether letters of both cases and digits alternate as they do by chance, not as in names or digests."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in v]
+    return "u" in kinds and "l" in kinds and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.4 * (len(v) - 1)
+
+
 def is_literal(v: str, name: str = "", bare: bool = False) -> bool:
     """Whether a value is a credential itself rather than a placeholder, a reference, a hint or code.
 
@@ -74,7 +127,7 @@ def is_literal(v: str, name: str = "", bare: bool = False) -> bool:
     """
     if len(v) < 5 or v.isspace() or _STAND_IN.search(v) or _PUBLIC.search(v) or " " in v.strip():
         return False
-    if v[0] in "/~" and re.fullmatch(r"[/~][\w./-]+", v) and v.count("/") >= 2 and not re.search(r"[A-Z].*\d|\d.*[A-Z]|[+=]", v):
+    if v[0] in "/~" and re.fullmatch(r"[/~][\w./-]+", v) and v.count("/") >= 2 and not (re.search(r"[A-Z]", v) and re.search(r"\d", v)):
         return False  # a path
     if re.match(r"[a-zA-Z][\w+.-]*://", v) or re.search(r"(?i)(?:server|host|data source|database|endpoint)=", v):
         return False  # an address or connection string: its own grammar finds what is in it
@@ -112,8 +165,8 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in _ANCHORS:
-        a.add_word(w, w)
+    for word, grammars in _vocabulary().items():
+        a.add_word(word, grammars)
     a.make_automaton()
     return a
 
@@ -121,19 +174,18 @@ def _automaton():
 _machine: list = []
 
 
-def hits(text: str) -> list[int]:
-    """Offsets at which the automaton ends a word, over overlapping windows, each once."""
+def hits(text: str) -> list[tuple[int, int]]:
+    """(offset, grammars) of each place at which the automaton ends words, in order, over overlapping windows."""
     if not _machine:
         _machine.append(_automaton())
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    step = WINDOW - OVERLAP
     if len(low) <= WINDOW:
-        return [end for end, _ in _machine[0].iter(low)]
+        return list(_machine[0].iter(low))
     found = set()
-    for at in range(0, len(low), step):
-        found.update(at + end for end, _ in _machine[0].iter(low[at : at + WINDOW]))
+    for at in range(0, len(low), WINDOW - OVERLAP):
+        found.update((at + end, grammars) for end, grammars in _machine[0].iter(low[at : at + WINDOW]))
     return sorted(found)
 
 
@@ -152,21 +204,21 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         if end > start and (start not in out or out[start][0] < end):
             out[start] = (end, family)
 
-    last = -1
-    for at in hits(text):
-        if at < last:
-            continue
-        begin = text.rfind("\n", 0, at + 1) + 1
-        line_end = text.find("\n", at)
-        line_end = len(text) if line_end < 0 else line_end
-        last = line_end
-        nxt = text.find("\n", line_end + 1)
-        _line(text, begin, line_end, len(text) if nxt < 0 else nxt, add)
-    if ": " in text and not text.isspace():
-        for m in _ENCODED.finditer(text):
-            raw = decode(m["v"])
-            if raw is not None and len(raw) >= 5 and _encoded(m["key"].strip(" \t\n\"':"), raw):
-                add(m.start("v"), m.end("v"), "encoded")
+    line_end, begin, grammars = -1, 0, 0
+    for at, more in hits(text):
+        if at >= line_end:
+            if grammars:
+                _line(text, begin, line_end, grammars, add)
+            begin = text.rfind("\n", 0, at + 1) + 1
+            line_end = text.find("\n", at)
+            line_end = len(text) if line_end < 0 else line_end
+            grammars = 0
+        grammars |= more
+    if grammars:
+        _line(text, begin, line_end, grammars, add)
+    for m in _ISSUED.finditer(text):
+        if is_random(m["body"]):
+            add(m.start(), m.end(), "format")
     spans, done = [], -1
     for start in sorted(out):
         end, family = out[start]
@@ -182,64 +234,90 @@ def _encoded(key: str, raw: str) -> bool:
     return any(is_literal(m["a"] or m["b"] or m["c"] or "", "password") for m in _PAIR.finditer(raw)) or any(m["end"] == "@" and is_literal(m["v"], "password") for m in _URL.finditer(raw))
 
 
-def _line(text: str, begin: int, line_end: int, next_end: int, add) -> None:
-    """Try the grammars on one line; a quoted value may stand on the line after its name."""
-    for m in _ARMOR.finditer(text, begin, line_end):
-        body = re.match(r"(?:\\n|\\r|[\s/#*|\"'+>;-])*[A-Za-z0-9+/=:]{16,}", text[m.end() : m.end() + 200])
-        end = _ARMOR_END.search(text, m.end())
-        stop = text.find("-----BEGIN", m.end())
-        if body or not text[m.end() :].strip(" \t\r\n`\"'"):
-            add(m.start(), end.end() if end and (stop < 0 or end.start() < stop) else _armor_rest(text, m.end()), "armor")
-    linked = None
-    for m in _PAIR.finditer(text, begin, line_end):
-        g = "a" if m["a"] is not None else "b" if m["b"] is not None else "c"
-        if linked is None:
-            linked = [x.start() for x in _LINKED.finditer(text, begin, line_end)]
-        if linked and linked[0] < m.start() or ";" in text[m.end() : m.end() + 1] and _LINKED.search(text, m.end(), line_end):
-            v = m[g]
-            if is_literal(v + _rest(text, m.end(g)), "password"):
-                add(m.start(g), m.end(g), "pair")
-                _go_on(text, m.end(g), add)
-    for m in _URL.finditer(text, begin, line_end):
-        v, user = m["v"], text[text.index("://", m.start()) + 3 : m.start("v") - 1]
-        if m["end"] == "@" and (is_literal(v, "password") or len(v) >= 5 and not _STAND_IN.search(v)):
-            add(m.start("v"), m.end("v"), "address")
-        elif m["end"] != "@" and not v.isdigit() and "." not in user and _GOES_ON.match(text, m.end()):
-            rest = _GOES_ON.match(text, m.end())
-            if "@" in rest.group(2) and not _STAND_IN.search(v):
+def _name_start(text: str, at: int, begin: int) -> int:
+    """Where the name begins that has its credential word at ``at``."""
+    while at > begin and (text[at - 1] in "$.-_" or text[at - 1].isalnum()):
+        at -= 1
+    return at
+
+
+def _line(text: str, begin: int, line_end: int, grammars: int, add) -> None:
+    """Try grammars on one line; a quoted value may stand on the line after its name."""
+    if grammars & ARMOR:
+        for m in _ARMOR.finditer(text, begin, line_end):
+            stop = text.find("-----BEGIN", m.end())
+            end = _ARMOR_END.search(text, m.end(), stop if stop >= 0 else len(text))
+            if _ARMOR_BODY.match(text, m.end()):
+                rest = end or _ARMOR_LINES.match(text, m.end())
+                add(m.start(), rest.end() if rest else m.end(), "armor")
+    if grammars & PAIR:
+        last = text.rfind(";", begin, line_end)
+        linked = None
+        for m in _PAIR.finditer(text, begin, line_end):
+            g = "a" if m["a"] is not None else "b" if m["b"] is not None else "c"
+            if linked is None:  # other keys of a connection string, with a semicolon somewhere behind
+                linked = [x.start() for x in _LINKED.finditer(text, begin, line_end) if x.end() <= last]
+            if linked and (linked[0] < m.start() or text[m.end() : m.end() + 1] == ";" and linked[-1] >= m.end()):
+                v = m[g]
+                if is_literal(v + _rest(text, m.end(g)), "password"):
+                    add(m.start(g), m.end(g), "pair")
+                    _go_on(text, m.end(g), add)
+    if grammars & ADDRESS:
+        for m in _URL.finditer(text, begin, line_end):
+            scheme = _name_start(text, m.start(), begin)
+            if not re.match(r"[A-Za-z]|.*[.-][A-Za-z]", text[scheme : m.start()]) or not (text[m.start() - 1].isascii() and text[m.start() - 1].isalnum()):
+                continue
+            v, user = m["v"], m["user"]
+            if m["end"] == "@" and (is_literal(v, "password") or len(v) >= 5 and not _STAND_IN.search(v)):
                 add(m.start("v"), m.end("v"), "address")
-                add(rest.start(2), rest.start(2) + rest.group(2).index("@"), "more")
-    for m in _FORMATS.finditer(text, begin, line_end):
-        if _flips(m.group()) >= 3 or any(c.isdigit() for c in m.group()):
-            add(m.start(), m.end(), "format")
-    for m in _QUOTED.finditer(text, begin, next_end):
-        if m.start() <= line_end and is_literal(m["v"] + (_rest(text, m.end("v")) if m["end"] == m["q"] else ""), m["name"]):
+            elif m["end"] != "@" and not v.isdigit() and "." not in user and (rest := _GOES_ON.match(text, m.end())):
+                if "@" in rest.group(2) and not _STAND_IN.search(v):
+                    add(m.start("v"), m.end("v"), "address")
+                    add(rest.start(2), rest.start(2) + rest.group(2).index("@"), "more")
+    if grammars & FORMAT:
+        for m in _FORMATS.finditer(text, begin, line_end):
+            if _flips(m.group()) >= 3 or any(c.isdigit() for c in m.group()):
+                add(m.start(), m.end(), "format")
+    if grammars & PLAIN:
+        for m in _PLAIN_KEY.finditer(text, begin, line_end):
+            if len(m["v"]) >= 20 and is_literal(m["v"], "key") and (_flips(m["v"]) >= 4 or re.fullmatch(r"[0-9a-f]{32,}|[A-Z2-7]{24,}", m["v"])):
+                add(m.start("v"), m.end("v"), "value")
+    if grammars & ENCODED:
+        m = _ENCODED.match(text, begin, line_end)
+        raw = decode(m["v"]) if m else None
+        if raw is not None and len(raw) >= 5 and _encoded(m["key"].strip(" \t\n\"':"), raw):
+            add(m.start("v"), m.end("v"), "encoded")
+    if grammars & NAMED:
+        _named(text, begin, line_end, add)
+
+
+def _named(text: str, begin: int, line_end: int, add) -> None:
+    """Values that are assigned to credential names on a line."""
+    after = text.find("\n", line_end + 1)
+    for m in _QUOTED.finditer(text, begin, len(text) if after < 0 else after):
+        if m.start() > line_end:
+            break
+        name = text[_name_start(text, m.start(), begin) : m.end("name")]
+        if is_literal(m["v"] + (_rest(text, m.end("v")) if m["end"] == m["q"] else ""), name):
             add(m.start("v"), m.end("v"), "value")
             if m["end"] == m["q"]:
                 _go_on(text, m.end() - 1, add)
-    for m in _PLAIN_KEY.finditer(text, begin, line_end):
-        if len(m["v"]) >= 20 and is_literal(m["v"], "key") and (_flips(m["v"]) >= 4 or re.fullmatch(r"[0-9a-f]{32,}|[A-Z2-7]{24,}", m["v"])):
-            add(m.start("v"), m.end("v"), "value")
     for m in _TABLE.finditer(text, begin, line_end):
-        if is_literal(m["v"], m["name"], bare=True):
+        if is_literal(m["v"], text[_name_start(text, m.start(), begin) : m.end("name")], bare=True):
             add(m.start("v"), m.end("v"), "value")
+    opens = None
     for m in _BARE.finditer(text, begin, line_end):
-        v = m["v"].rstrip(";,")
-        before = text[begin : m.start()]
-        if m["op"] == ":" and not (re.match(r"\s*(?:-\s+)?[\"']?$", before) or re.search(r"(?://|#|\*|--|;|[\"'`(])[^\"'`]*$", before)):
-            continue  # a type annotation or a property of an expression
-        if m["op"] == ":" and (text[m.end("v") - 1] == ";" or text[m.start("v") - 1] == ":"):
-            continue
-        if is_literal(v, m["name"], bare=True):
+        v, start = m["v"].rstrip(";,"), _name_start(text, m.start(), begin)
+        if m["op"] == ":":
+            opens = opens or _OPENS.search(text, begin, line_end)
+            if not (opens and opens.end() <= start) and _BEGINS.match(text, begin, start).end() != start:
+                continue  # a type annotation or a property of an expression
+            if text[m.end("v") - 1] == ";" or text[m.start("v") - 1] == ":":
+                continue
+        if is_literal(v, text[start : m.end("name")], bare=True):
             add(m.start("v"), m.start("v") + len(v), "value")
 
 
-def _armor_rest(text: str, at: int) -> int:
-    """The end of a key without its last line: as far as lines of base64 go."""
-    m = re.compile(r"(?:\s*(?://|#|\*)?[ \t]*[A-Za-z0-9+/=]{8,}[ \t]*\r?(?:\n|$))+").match(text, at)
-    return m.end() if m else at
-
-
 def _rest(text: str, at: int) -> str:
     """What concatenated literals add to a value whose closing quote is at ``at``, up to its end in a pair or address."""
     out = ""
