@@ -115,9 +115,12 @@ def _flips(v: str) -> int:
 
 
 def is_random(v: str) -> bool:
-    """Whether letters of both cases and digits alternate as they do by chance, not as in names or digests."""
+    """Whether letters of both cases and digits are mixed as by chance, not as in names (capitals begin words) or digests."""
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in v]
-    return "u" in kinds and "l" in kinds and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.4 * (len(v) - 1)
+    if len(set(kinds)) < 3:
+        return False
+    alone = sum(a == "u" and b != "l" for a, b in zip(kinds, [*kinds[1:], "d"]))
+    return alone >= 4 or sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.4 * (len(v) - 1)
 
 
 def is_literal(v: str, name: str = "", bare: bool = False) -> bool:
