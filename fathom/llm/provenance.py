@@ -5,7 +5,8 @@ their globs are resolved with git's precedence, directory by directory. For repo
 nothing, equivalent path patterns are mined from the corpus: how often files under a pattern prove by
 their content to be what the pattern says. The content itself decides: a tool's notice at the head of a
 file, the shape of minified code, nothing but literals, or the word shingles of a known library. A mined
-pattern only tips the balance for a file whose own content is undecided.
+pattern only tips the balance for a file whose own content is undecided: it shows such a sign, but too
+weakly to count by itself.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import mask
+from ..functions.scalars import ancestors
 from ..session import cut_lineage, tune, widen
 
 CODE = r"\.(?:tsx?|js|cs)\s*$"
 #: A word shingle has five words; a copy shares this part of them.
 SHINGLE, SIMILAR = 5, 0.8
+#: From this part on a file is undecided about being a copy.
+WEAK = 0.5
 #: A mined pattern counts from so many files with content evidence and this rate of it.
 MINED_FILES, MINED_RATE = 20, 0.9
 
@@ -46,7 +50,7 @@ _LITERAL_CS = re.compile(r"\b(?:using|namespace|public|internal|private|protecte
 
 def has_notice(text: str) -> bool:
     """Whether the comments at the head of a file say that a tool wrote it."""
-    m = _HEAD.match(text[:20_000])
+    m = _HEAD.match(text)
     if not m:
         return False
     head = m.group(1)
@@ -57,32 +61,32 @@ def has_notice(text: str) -> bool:
 _MEMBER = re.compile(r"(?m)^[ \t]*(?:[\w<>?\[\]]+[ \t]+)*([A-Za-z_$][\w$]*?)_?(\d+)[ \t]*(?:\([^()\n]*\)|[:=])")
 
 
-def is_numbered(text: str) -> bool:
-    """Whether most of a file is a run of members that differ by a counter only."""
+def is_numbered(text: str, least: int = 5) -> bool:
+    """Whether most of a file is a run of ``least`` members or more that differ by a counter only."""
     runs: dict[str, set[int]] = {}
     for m in _MEMBER.finditer(text):
         runs.setdefault(m.group(1), set()).add(int(m.group(2)))
     name, numbers = max(runs.items(), key=lambda kv: len(kv[1]), default=("", set()))
-    if len(numbers) < 5 or max(numbers) - min(numbers) > 2 * len(numbers):
+    if len(numbers) < least or max(numbers) - min(numbers) > 2 * len(numbers):
         return False
     lines = [re.sub(r"\d+", "0", x.strip()) for x in text.split("\n") if x.strip()]
     return len(set(lines)) < 0.4 * len(lines)
 
 
-def is_minified(text: str) -> bool:
-    """Whether most of a file is code in very long, dense lines."""
+def is_minified(text: str, part: float = 0.6, most_blanks: float = 0.12) -> bool:
+    """Whether ``part`` of a file or more is code in very long lines with few blanks."""
     lines = text.split("\n")
     long = [x for x in lines if len(x) > 300]
     size = sum(map(len, long))
-    if size < 300 or size < 0.6 * len(text.strip()):
+    if size < 300 or size < part * len(text.strip()):
         return False
     blanks = sum(x.count(" ") for x in long) / size
     breaks = sum(x.count(";") + x.count("{") + x.count("}") for x in long) / size
-    return blanks < 0.12 and breaks > 0.02
+    return blanks < most_blanks and breaks > 0.02
 
 
-def is_data(text: str, csharp: bool) -> bool:
-    """Whether a file declares nothing but literals, and enough of them."""
+def is_data(text: str, csharp: bool, least: int = 8) -> bool:
+    """Whether a file declares nothing but literals, ``least`` of them or much text."""
     if text.startswith("﻿"):
         text = text[1:]
     code, comments = mask(text, csharp)
@@ -108,7 +112,7 @@ def is_data(text: str, csharp: bool) -> bool:
     if re.search(r"[A-Za-z_]", left):
         return False
     values = len(re.findall(r"\d[\w.]*|\"[^\"\n]*\"|'[^'\n]*'", literal)) + literal.count("`") // 2
-    return values >= 8 or len(literal.strip()) >= 300
+    return values >= least or len(literal.strip()) >= 300
 
 
 class Libraries:
@@ -143,27 +147,29 @@ class Libraries:
             out = out * np.uint64(0x9E3779B97F4A7C15) + a[k : len(a) - SHINGLE + 1 + k]
         return out
 
-    def is_copy(self, text: str) -> bool:
-        """Whether the text shares enough shingles with any library: of both together, or of the smaller one."""
+    def likeness(self, text: str) -> float:
+        """How much of the shingles the text shares with the nearest library: of both together, or of the smaller one if that is no snippet."""
         if not len(self.hashes):
-            return False
+            return 0.0
         own = np.unique(self._hashes(text))
         if len(own) < 10:
-            return False
+            return 0.0
         lo = np.searchsorted(self.hashes, own, "left")
         hi = np.searchsorted(self.hashes, own, "right")
-        if int((hi > lo).sum()) < SIMILAR * min(len(own), int(self.sizes.min())):
-            return False
+        found = hi > lo
+        if int(found.sum()) < WEAK * min(len(own), int(self.sizes.min())):
+            return 0.0
         shared = np.zeros(len(self.sizes), int)
-        for a, b in zip(lo[hi > lo], hi[hi > lo]):
+        for a, b in zip(lo[found], hi[found]):
             shared[self.owner[a:b]] += 1
-        both = len(own) + self.sizes - shared
-        return bool(((shared >= SIMILAR * both) | (shared >= SIMILAR * np.minimum(len(own), self.sizes)) & (np.minimum(len(own), self.sizes) >= 60)).any())
+        less = np.minimum(len(own), self.sizes)
+        return float(np.maximum(shared / np.maximum(len(own) + self.sizes - shared, 1), np.where(less >= 60, shared / np.maximum(less, 1), 0)).max())
 
 
 def classify(text: str, csharp: bool, libraries: Libraries) -> str | None:
-    """'vendored', 'generated', 'minified', 'data', 'undecided' (dense or notice-like) or None for a hand-written text."""
-    if libraries.is_copy(text):
+    """'vendored', 'generated', 'minified', 'data', 'undecided' (a weak sign of any) or None for a hand-written text."""
+    like = libraries.likeness(text)
+    if like >= SIMILAR:
         return "vendored"
     if has_notice(text) or is_numbered(text):
         return "generated"
@@ -172,34 +178,98 @@ def classify(text: str, csharp: bool, libraries: Libraries) -> str | None:
     if is_data(text, csharp):
         return "data"
     longest = max(map(len, text.split("\n")))
-    return "undecided" if longest > 1000 and longest > 0.5 * len(text) else None
+    weak = like >= WEAK or longest > 1000 and longest > 0.5 * len(text) or is_numbered(text, 3) or is_minified(text, 0.4, 0.2) or is_data(text, csharp, 2)
+    return "undecided" if weak else None
 
 
 # -- declared and mined paths
 
 
-def parse_attributes(text: str | None) -> list[tuple[str, str, bool]]:
-    """(glob, kind, value) in the order of an attribute file; later rules win. Null and empty give none."""
-    rules = []
+def parse_attributes(text: str | None, macros: dict[str, list[str]] | None = None) -> list[tuple[str, str, bool]]:
+    """(glob, kind, value) in the order of an attribute file; later rules win. Null and empty give none.
+
+    ``macros`` is filled by lines that begin with [attr] and used by the others: a name for several
+    attributes. Quoted patterns are unquoted; a pattern that begins with ! is not allowed and is left out.
+    """
+    rules, macros = [], {} if macros is None else macros
     for line in (text or "").splitlines():
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         m = re.match(r'("(?:[^"\\]|\\.)*"|\S+)\s*(.*)', line)
-        pattern = m.group(1).strip('"')
-        for attr in m.group(2).split():
-            name, _, value = attr.lstrip("-!").partition("=")
-            if name in _ATTRIBUTES:
-                rules.append((pattern, _ATTRIBUTES[name], not attr.startswith(("-", "!")) and value.lower() not in ("false", "0")))
+        pattern, attrs = m.group(1), m.group(2).split()
+        if pattern.startswith("[attr]"):
+            macros[pattern[6:]] = attrs
+            continue
+        if pattern.startswith('"'):
+            pattern = re.sub(r"\\(.)", r"\1", pattern[1:-1])
+        if pattern.startswith("!"):
+            continue
+        for attr in attrs:
+            name = attr.lstrip("-!").partition("=")[0]
+            # a macro that is set sets its own attributes, before it
+            for one in [*(macros.get(name, ()) if attr == name else ()), attr]:
+                name, _, value = one.lstrip("-!").partition("=")
+                if name in _ATTRIBUTES:
+                    rules.append((pattern, _ATTRIBUTES[name], not one.startswith(("-", "!")) and value.lower() not in ("false", "0")))
     return rules
 
 
 @lru_cache(maxsize=10_000)
-def _glob(pattern: str) -> re.Pattern:
-    anchored = "/" in pattern.rstrip("/")
-    body = pattern.strip("/") if anchored else pattern.rstrip("/")
-    out = re.escape(body).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    return re.compile(f"(?:{'' if anchored else '(?:.*/)?'}{out}{'(?:/.*)?' if pattern.endswith('/') else ''})")
+def _glob(pattern: str) -> re.Pattern | None:
+    """A pattern of an attribute file as an expression over paths below it, None if it can't match a file.
+
+    Without a slash it is matched against the name alone; one that ends in a slash means a directory and
+    no file in it. A star stays in a segment, two stars as a segment cross them; [...] is a set, [!...] its opposite.
+    """
+    if pattern.endswith("/"):
+        return None
+    anchored = "/" in pattern
+    body, out, i = pattern.lstrip("/"), "", 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body[i:] == "**" and i and body[i - 1] == "/":
+            out, i = out + ".+", i + 2
+        elif c == "*":
+            while body.startswith("*", i + 1):
+                i += 1
+            out, i = out + "[^/]*", i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := body.find("]", i + 2 + (body[i + 1 : i + 2] in ("!", "^")))) > 0:
+            inner = body[i + 1 : end]
+            no = inner[:1] in ("!", "^")
+            out += "(?!/)[" + ("^" if no else "") + re.sub(r"([\\\[\]^&~|])", r"\\\1", inner[1:] if no else inner) + "]"
+            i = end + 1
+        else:
+            if c == "\\" and i + 1 < len(body):
+                i += 1
+            out, i = out + re.escape(body[i]), i + 1
+    return re.compile(out if anchored else f"(?:.*/)?{out}")
+
+
+class Attributes:
+    """The attribute files of many sources: rules by source and directory, parsed when first asked for."""
+
+    def __init__(self, rows: list[tuple[str | None, str, str | None]]):
+        self._texts: dict[str, dict[str, str]] = {}
+        for source, path, text in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2] or "")):
+            self._texts.setdefault(source or "", {})[path.strip().rpartition("/")[0]] = text or ""
+        self._rules: dict[str, dict[str, list]] = {}
+
+    def kinds(self, source: str | None, path: str) -> set[str]:
+        own = self._texts.get(source or "")
+        if not own:
+            return set()
+        rules = self._rules.get(source or "")
+        if rules is None:
+            macros: dict[str, list[str]] = {}
+            top = min(own, key=len)  # macros are only defined at the top
+            first = parse_attributes(own[top], macros)
+            rules = self._rules[source or ""] = {d: first if d == top else parse_attributes(re.sub(r"(?m)^\s*\[attr\].*$", "", t), macros) for d, t in own.items()}
+        return declared(path, rules)
 
 
 def declared(path: str, files: dict[str, list[tuple[str, str, bool]]]) -> set[str]:
@@ -213,7 +283,8 @@ def declared(path: str, files: dict[str, list[tuple[str, str, bool]]]) -> set[st
         folder = "/".join(parts[:depth])
         inner = path[len(folder) + 1 :] if folder else path
         for pattern, kind, value in files.get(folder, ()):
-            if _glob(pattern).fullmatch(inner):
+            glob = _glob(pattern)
+            if glob and glob.fullmatch(inner):
                 state[kind] = value
     return {k for k, v in state.items() if v}
 
@@ -231,12 +302,21 @@ def path_patterns(path: str) -> list[str]:
     return out
 
 
-def classify_files(docs: DataFrame, thirdparty: DataFrame, max_library_bytes: int = 64 << 20) -> DataFrame:
-    """(path, source, verdict, patterns) of every code document with text.
+_JUDGED = "path string, source string, verdict string, patterns array<string>, declared string"
+
+
+def _attribute_files(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("path").endswith(".gitattributes") & F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("text").isNotNull()).select(F.col("source").cast("string").alias("source"), "path", F.col("text").cast("string").alias("text"))
+
+
+def classify_files(docs: DataFrame, thirdparty: DataFrame, max_library_bytes: int = 64 << 20, max_attribute_bytes: int = 64 << 20) -> DataFrame:
+    """(path, source, verdict, patterns, declared) of every code document with text.
 
     ``thirdparty`` is the table of known library files; it is sent to every worker, so its size is
-    checked against ``max_library_bytes``. Null, empty and blank texts, and other endings than .ts, .tsx, .js and .cs have no rows; repeated
-    paths are judged each by itself.
+    checked against ``max_library_bytes``. ``declared`` has the kinds that attribute files (documents named
+    .gitattributes) of the source give the path, '' for none; up to ``max_attribute_bytes`` of them are sent
+    to every worker as well, beyond that they are joined by source and directory. Null, empty and blank
+    texts, and other endings than .ts, .tsx, .js and .cs have no rows; repeated paths are judged each by itself.
     """
     tune(docs.sparkSession)
     size = thirdparty.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -244,49 +324,50 @@ def classify_files(docs: DataFrame, thirdparty: DataFrame, max_library_bytes: in
         raise ValueError(f"the known libraries have {size} bytes; at most {max_library_bytes} are sent to every worker")
     texts = [r["text"] for r in thirdparty.filter(F.col("text").isNotNull()).select("text").distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(sorted(texts))
+    files = _attribute_files(docs)
+    few = (files.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= max_attribute_bytes
+    rules = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in files.collect()] if few else [])
     code = docs.select("path", F.col("source").cast("string"), F.col("text").cast("string")).filter(F.col("path").rlike(CODE) & (F.length(F.trim("text")) > 0))
 
     def run(batches):
-        known = Libraries(shared.value)
+        known, attributes = Libraries(shared.value), Attributes(rules.value)
         for b in batches:
-            verdicts, patterns = [], []
-            for path, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            verdicts, patterns, said = [], [], []
+            for path, source, text in zip(*(c.to_pylist() for c in b.columns)):
                 verdicts.append(classify(text, path.rstrip().endswith(".cs"), known))
                 patterns.append(path_patterns(path.strip()))
-            cols = [b.column(0), b.column(1), pa.array(verdicts, pa.string()), pa.array(patterns, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["path", "source", "verdict", "patterns"])
+                said.append(",".join(sorted(attributes.kinds(source, path.strip()))))
+            cols = [b.column(0), b.column(1), pa.array(verdicts, pa.string()), pa.array(patterns, pa.list_(pa.string())), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["path", "source", "verdict", "patterns", "declared"])
 
-    return widen(code).mapInArrow(run, "path string, source string, verdict string, patterns array<string>")
+    judged = widen(code).mapInArrow(run, _JUDGED)
+    return judged if few else declare(judged, files)
 
 
-def declare(judged: DataFrame, docs: DataFrame) -> DataFrame:
-    """The judged files with ``declared``: the kinds that attribute files of their source give them, '' for none.
+def declare(judged: DataFrame, files: DataFrame) -> DataFrame:
+    """The judged files with ``declared`` from more attribute files than fit into a worker.
 
-    Attribute files are the documents named .gitattributes. They are gathered for each source, a few small
-    files, and joined to the paths, which no longer carry their texts.
+    A path is joined to the attribute files of the directories above it, for each directory by itself, so
+    that no key holds a whole source. The files that it meets are few: one a directory at most, and of them
+    all one row is made.
     """
-    files = docs.filter(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("text").isNotNull())
-    by_source = files.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.collect_list(F.struct("path", "text")).alias("a"))
-    if by_source.isEmpty():
-        return judged.withColumn("declared", F.lit(""))
-    rows = judged.withColumn("s", F.coalesce("source", F.lit(""))).join(by_source, "s", "left").select("path", "source", "verdict", "patterns", "a")
+    own = files.select(F.coalesce("source", F.lit("")).alias("s"), F.regexp_replace(F.trim("path"), r"/?[^/]*$", "").alias("dir"), "text")
+    rows = judged.withColumn("row", F.monotonically_increasing_id()).drop("declared")
+    rows = cut_lineage(rows)  # the row's number must not change between its uses
+    up = rows.select("row", F.coalesce("source", F.lit("")).alias("s"), F.explode(ancestors(F.trim("path"))).alias("dir"))
+    # the top file of a source may define macros for all others
+    met = up.join(own, ["s", "dir"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("dir", "text"))).alias("a"))
+    both = rows.join(met, "row", "left").select("path", "source", "verdict", "patterns", "a")
 
     def run(batches):
-        known: dict[str, dict] = {}
         for b in batches:
             said = []
-            for path, source, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
-                if not own:
-                    said.append("")
-                    continue
-                key = source or ""
-                if key not in known:
-                    known.clear()
-                    known[key] = {a["path"].rpartition("/")[0]: parse_attributes(a["text"]) for a in sorted(own, key=lambda a: (a["path"], a["text"]))}
-                said.append(",".join(sorted(declared(path.strip(), known[key]))))
+            for path, found in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+                given = Attributes([("", f"{x['dir']}/.gitattributes".lstrip("/"), x["text"]) for x in found or ()])
+                said.append(",".join(sorted(given.kinds("", path.strip()))))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(said, pa.string())], names=["path", "source", "verdict", "patterns", "declared"])
 
-    return rows.mapInArrow(run, "path string, source string, verdict string, patterns array<string>, declared string")
+    return both.mapInArrow(run, _JUDGED)
 
 
 def mine_patterns(judged: DataFrame) -> DataFrame:
@@ -296,13 +377,13 @@ def mine_patterns(judged: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.count("*").alias("files"), F.sum("p").alias("proven")).withColumn("rate", F.col("proven") / F.col("files"))
 
 
-def machine_made(docs: DataFrame, thirdparty: DataFrame) -> DataFrame:
+def machine_made(docs: DataFrame, thirdparty: DataFrame, **options) -> DataFrame:
     """(path, source, reason) of the files that nobody wrote by hand in this repository.
 
     A declaration in an attribute file counts as it is; content evidence counts as it is; an undecided
     file counts if one of its path patterns was proven in ``MINED_RATE`` of at least ``MINED_FILES`` files.
     """
-    judged = declare(cut_lineage(classify_files(docs, thirdparty)), docs)
+    judged = cut_lineage(classify_files(docs, thirdparty, **options))
     good = mine_patterns(judged).filter((F.col("files") >= MINED_FILES) & (F.col("rate") >= MINED_RATE)).select("pattern")
     sure = judged.filter((F.col("declared") != "") | (F.col("verdict") != "undecided")).select("path", "source", F.coalesce(F.when(F.col("declared") != "", F.concat(F.lit("declared "), "declared")), F.col("verdict")).alias("reason"))
     open_ = judged.filter((F.col("declared") == "") & (F.col("verdict") == "undecided")).select("path", "source", F.explode("patterns").alias("pattern"))
