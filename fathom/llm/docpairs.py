@@ -3,8 +3,9 @@
 A source file is run through a state machine that knows strings, templates, regular expressions and
 comments. What is left is code with unchanged offsets, in which braces are matched to delimit functions;
 the comment that ends directly before a function, with nothing but attributes between, is its
-documentation. A row of the symbols table is a small source file of the same kind: its doc as a comment
-followed by its signature. Pairs whose documentation says nothing that the name does not are dropped.
+documentation. Symbols of an index are looked up among these pairs by path, name and line. Pairs whose
+documentation says nothing that the function's name, parameters and types do not are dropped: those come
+from the whole signature in the source, which may be longer than the line that an index keeps.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexing import clean_doc, extract_functions
-from ..session import spread, tune, widen
+from ..functions.lexing import extract_functions
+from ..session import tune, widen
 
 FUNCTION_KINDS = ("function", "method", "route")
 
@@ -37,8 +38,6 @@ sans aucune description documentation voir sin descripción descripcion pendient
 returns return params param region endregion helpers lorem ipsum
 """.split())
 _DIRECTIVE = re.compile(r"(?i)^\W*(?:eslint|istanbul|prettier|tslint|jshint|jslint|stylelint|c8|v8|biome|rome|webpack\w*|ts-(?:ignore|nocheck|expect-error|check)|@ts-\w+|#?pragma|#?(?:end)?region|noinspection|nolint|noqa|resharper|sonar\w*|codecov|coverage|cspell|spell-?checker|dprint|flow)\b[\s:-]")
-_SHOWS = re.compile(r"(?i)\b(?:show|display|render)(?:s|ing)?\b")
-_COMPONENT = re.compile(r"[a-z](?:Panel|Badge|List|View|Page|Dialog|Card|Form|Row|Item|Icon|Menu|Button|Widget)$")
 _TODO = re.compile(r"(?i)\b(?:todo|fixme|xxx|hack)\b\s*(?:\([^)]*\))?\s*:?.*?(?:\.(?=\s|$)|$)", re.S)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])|[_\W]+")
@@ -83,60 +82,66 @@ def says_something(doc: str | None, name: str | None, signature: str | None = No
     restatements of the name tell nothing. Single letters and bare numbers don't count as words.
     """
     words = informative_words(doc, name, signature)
-    if len(words) == 1 and (_SHOWS.search(doc) or _COMPONENT.search(name or "")) and not re.search(r"(?i)\b(?:not|never|no|only|must)\b", doc):
-        return False  # a component is named once more by what it shows
     return any(len(w) > 1 and not w.isdigit() or ord(w[0]) > 0x2E7F for w in words)
 
 
-def _snippet(signature: str | None, doc: str | None) -> str:
-    """A symbol as source: its doc as a block comment that can't end early, then its signature and a body."""
-    body = (doc or "").replace("*/", "* /").split("\n")
-    return "/**\n" + "\n".join(f" * {x}" for x in body) + "\n */\n" + (signature or "") + " {}"
+def _lexed(docs: DataFrame) -> DataFrame:
+    """(path, name, line, signature, doc, start, end) of every function in TypeScript, JavaScript and C# files."""
+    tune(docs.sparkSession)
+    src = docs.select("path", F.col("text").cast("string")).filter(F.col("path").rlike(r"\.(?:tsx?|js|cs)\s*$") & F.col("text").isNotNull())
+    names = ["path", "name", "line", "signature", "doc", "start", "end"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
 
+    def run(batches):
+        for b in batches:
+            rows: list[list] = [[] for _ in names]
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, line = 0, 1
+                for f in sorted(extract_functions(text, path.rstrip().endswith(".cs")), key=lambda f: f["start"]):
+                    line += text.count("\n", at, f["start"])
+                    at = f["start"]
+                    for col, v in zip(rows, (path, f["name"], line, f["signature"], f["doc"], f["start"], f["end"])):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-def symbol_pairs(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, repo, path, kind, name, signature, doc) of functions with a telling documentation.
+    return widen(src).mapInArrow(run, "path string, name string, line int, signature string, doc string, start int, `end` int")
 
-    Each symbol_id comes once; of rows that differ, the one with the greatest doc, then signature
-    counts. Kinds are compared without case and blanks; rows with a null id are one symbol. The doc is
-    lexed as the comment of the symbol's signature; if that can't be read as a function, the comment
-    alone is used.
-    """
-    tune(symbols.sparkSession, 5000)
-    cols = ["symbol_id", "repo", "path", "kind", "name", "signature", "doc"]
-    kind = F.lower(F.trim("kind"))
-    s = symbols.select(*cols).filter(kind.isin(*FUNCTION_KINDS))
-    s = spread(s, "symbol_id").sortWithinPartitions("symbol_id", F.desc_nulls_last("doc"), F.desc_nulls_last("signature"), F.desc_nulls_last("name"))
+
+def _telling(rows: DataFrame, doc: str, name: str, signature: str) -> DataFrame:
+    """The rows whose documentation tells something."""
+    cols = rows.columns
+    at = [cols.index(c) for c in (doc, name, signature)]
 
     def run(batches):
-        last, begun = None, False
         for b in batches:
-            ids, names, signatures, docs, paths = (b.column(i).to_pylist() for i in (0, 4, 5, 6, 2))
-            keep, texts = [], []
-            for i, key in enumerate(ids):
-                if begun and key == last:
-                    continue
-                begun, last = True, key
-                doc = pair_doc(names[i], signatures[i], docs[i], paths[i])
-                if doc and says_something(doc, names[i], signatures[i]):
-                    keep.append(i)
-                    texts.append(doc)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:6]), pa.array(texts, pa.string())], names=cols)
-
-    return s.mapInArrow(run, "symbol_id bigint, repo string, path string, kind string, name string, signature string, doc string")
-
-
-def pair_doc(name: str | None, signature: str | None, doc: str | None, path: str | None) -> str:
-    """The documentation that the lexer attaches to a symbol."""
-    if not doc or doc.isspace():
-        return ""
-    source = _snippet(signature, doc)
-    found = extract_functions(source, (path or "").endswith(".cs"))
-    for f in found:
-        if f["doc"]:
-            return f["doc"]
-    return clean_doc(source[: source.rindex("*/") + 2]) if "*/" in source else ""
+            keep = [i for i, (d, n, s) in enumerate(zip(*(b.column(k).to_pylist() for k in at))) if says_something(d, n, s)]
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _symbols(symbols: DataFrame) -> DataFrame:
+    """Functions among the symbols, each symbol_id once: of rows that differ, the one with the greatest doc, then signature."""
+    s = symbols.select("symbol_id", "repo", "path", "kind", "name", "start_line", "signature", "doc").filter(F.lower(F.trim("kind")).isin(*FUNCTION_KINDS))
+    best = F.max(F.struct("doc", "signature", "name", "path", "start_line", "repo", "kind")).alias("s")
+    return s.groupBy("symbol_id").agg(best).select("symbol_id", "s.repo", "s.path", "s.kind", "s.name", "s.start_line", "s.signature", "s.doc")
+
+
+def symbol_pairs(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """(symbol_id, repo, path, kind, name, signature, doc) of functions with a telling documentation.
+
+    ``symbols`` is an index's list of declarations, ``docs`` (path, text) the files; a symbol is paired with
+    the function of its name that begins at its line. The signature is the one in the source. The doc is
+    the symbol's own, as the index has cleaned it; a symbol without one has no pair, whatever the file says
+    now. Where the files don't have the function (a path that is gone, another version, a null name or
+    line), the symbol's own row is the pair. Kinds are compared without case and blanks; rows with a null
+    id are one symbol. Two functions of a name on one line: the first counts.
+    """
+    tune(symbols.sparkSession)
+    s = _symbols(symbols).filter(F.length(F.trim("doc")) > 0)
+    found = _lexed(docs).filter("doc <> ''").groupBy(F.trim("path").alias("path"), "name", F.col("line").alias("start_line")).agg(F.min_by("signature", "start").alias("whole"))
+    both = s.join(found, ["path", "name", "start_line"], "left").withColumn("signature", F.coalesce("whole", "signature"))
+    return _telling(both.select("symbol_id", "repo", "path", "kind", "name", "signature", "doc"), "doc", "name", "signature")
 
 
 def source_pairs(docs: DataFrame) -> DataFrame:
@@ -145,18 +150,4 @@ def source_pairs(docs: DataFrame) -> DataFrame:
     start and end are code points of the function in the text. Texts that are null, empty or of another
     language have no rows. No shuffle.
     """
-    tune(docs.sparkSession)
-    src = docs.select("path", F.col("text").cast("string")).filter(F.col("path").rlike(r"\.(?:tsx?|js|cs)\s*$") & F.col("text").isNotNull())
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for f in extract_functions(text, path.rstrip().endswith(".cs")):
-                    if says_something(f["doc"], f["name"], f["signature"]):
-                        rows.append((path, f["name"], f["signature"], f["doc"], f["start"], f["end"]))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "name", "signature", "doc", "start", "end"])
-
-    return widen(src).mapInArrow(run, "path string, name string, signature string, doc string, start int, `end` int")
+    return _telling(_lexed(docs).drop("line"), "doc", "name", "signature")

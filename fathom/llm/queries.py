@@ -96,7 +96,7 @@ def p5_rates(spark, d):
 
 @query
 def p3_found(spark, d):
-    return docpairs.symbol_pairs(table(spark, d, "symbols")).select("symbol_id")
+    return docpairs.symbol_pairs(table(spark, d, "symbols"), table(spark, d, "documents")).select("symbol_id")
 
 
 @query

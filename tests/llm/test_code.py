@@ -19,15 +19,29 @@ def test_says_something(name, doc, want):
 
 
 def test_symbol_pairs(spark):
+    src = "/** Reads it. */\nexport function Panel({ rows, shown }) { return 1 }\n\n/** Shows the rows. */\nexport function List({ rows }: Props) { }\n/** Now with text. */\nfunction late() {}\n"
     rows = [
-        (1, "r", "a.ts", "function", "load", "function load()", "Reads it from disk."), (1, "r", "a.ts", "function", "load", "function load()", "Reads it from disk."), (2, "r", "a.cs", " Method ", "Load", "public int Load(int x)", "Load."),
-        (3, "r", "a.ts", "class", "A", "class A", "A class of things."), (4, None, None, "route", None, None, "Ends */ early but tells more."), (5, "r", "a.ts", None, "x", "", "text"), (6, "r", "a.ts", "method", "x", "x()", None),
-        (None, "r", "a.ts", "method", "x", "x()", "Something else."), (7, "r", "a.ts", "function", "f", "function f(", "word " * 50_000),
+        (1, "r", "gone.ts", "function", "load", 1, "function load()", "Reads it from disk."), (1, "r", "gone.ts", "function", "load", 1, "function load()", "Reads it from disk."), (2, "r", "a.cs", " Method ", "Load", 1, "public int Load(int x)", "Load."),
+        (3, "r", "a.ts", "class", "A", 1, "class A", "A class of things."), (4, None, None, "route", None, None, None, "Ends */ early but tells more."), (5, "r", "a.ts", None, "x", 1, "", "text"), (6, "r", "a.ts", "method", "x", 1, "x()", None),
+        (None, "r", "a.ts", "method", "x", 1, "x()", "Something else."), (7, "r", "a.ts", "function", "f", 9, "function f(", "word " * 50_000), (8, "r", "a.ts", "function", "Panel", 2, "export function Panel(", "Reads it."),
+        (9, "r", "a.ts", "function", "List", 5, "export function List(", "Shows the rows."), (10, "r", "a.ts", "function", "late", 7, "function late()", None), (11, "r", "a.ts", "function", "late", 7, "function late()", " \n "),
     ]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "symbol_id long, repo string, path string, kind string, name string, signature string, doc string, text string")
-    got = D.symbol_pairs(df).collect()
-    assert sorted(str(r["symbol_id"]) for r in got) == ["1", "4", "7", "None"]
-    assert D.symbol_pairs(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "symbol_id long, repo string, path string, kind string, name string, start_line int, signature string, doc string, text string")
+    docs = spark.createDataFrame([("a.ts", src, "clash"), ("b.ts", None, ""), ("c.ts", "", "")], "path string, text string, doc string")
+    got = {str(r["symbol_id"]): r for r in D.symbol_pairs(df, docs).collect()}
+    # the parameters of 9 are only in the source: its doc repeats them
+    assert sorted(got) == ["1", "4", "7", "8", "None"]
+    assert "rows, shown" in got["8"]["signature"]
+    assert {str(r["symbol_id"]) for r in D.symbol_pairs(df, docs.limit(0)).collect()} == {"1", "4", "7", "8", "9", "None"}
+    assert D.symbol_pairs(df.limit(0), docs).count() == 0
+
+
+@pytest.mark.parametrize("doc, signature, want", [
+    ("Shows the layout.", "export function TenantBadge({ layout, items }: TenantBadgeProps)", False), ("Shows the layout, but only while it is open.", "export function TenantBadge({ layout, items }: TenantBadgeProps)", True),
+    ("The invoice list.", "function render(invoice: Invoice[], list)", False), ("Takes a Scene and an Audit.", "public int Open(Scene scene, Audit audit)", True), ("The scene.", "public int Open(Scene sceneRef)", False),
+])
+def test_measure_beyond_name_parameters_and_types(doc, signature, want):
+    assert D.says_something(doc, "open", signature) is want
 
 
 def test_source_pairs(spark):
