@@ -3,7 +3,8 @@
 Tokenizing everything only to count is wasteful, so the count is predicted: bytes are classified with
 a lookup table, a batch of texts at a time, and per language a linear model of the classes is fitted
 on a bounded sample of documents that is also tokenized. Half of the sample is held out; the ratio of
-its real to its predicted tokens corrects the bias of the language.
+its real to its predicted tokens corrects the bias of the language, also where the language has too few
+documents for a model of its own and the model of all languages serves. Tokenized documents keep their count.
 """
 
 from __future__ import annotations
@@ -82,37 +83,42 @@ def features(docs: DataFrame, sample: Column, ranks: str | None = None) -> DataF
     return widen(docs.select(F.col("text").cast("string"), F.coalesce(sample, F.lit(False)).alias("sampled"), *keep)).mapInArrow(run, schema)
 
 
-def fit(rows, holdout: float = 0.5) -> dict[str, tuple[np.ndarray, float]]:
-    """Per language (and '' for all) the coefficients and the bias correction from sampled rows."""
+def fit(rows, holdout: float = 0.5) -> tuple[dict[str, tuple[np.ndarray, float]], list[tuple[str, int, float, float]]]:
+    """(models, holdouts) from sampled rows in a random order.
+
+    models: per language (and '' for all) the coefficients and the bias correction. holdouts: (language,
+    documents, tokens, predicted tokens before the correction) of what no model was fitted on.
+    """
     by: dict[str, list] = {}
     for r in rows:
         if r["n_bytes"]:
             by.setdefault(r["language"], []).append(r)
             by.setdefault("", []).append(r)
-    models = {}
-    for language, own in by.items():
+    models, holdouts = {}, []
+    # the model of all languages leaves out the same documents as those of the single ones
+    held = {id(r) for language, own in by.items() if language for r in own[max(1, int(len(own) * (1 - holdout))) :]}
+    for language in sorted(by):
+        own = by[language]
         x = np.array([[r[f] for f in FEATURES] for r in own])
         y = np.array([r["n_tokens"] for r in own], float)
-        train = np.arange(len(own)) < max(1, int(len(own) * (1 - holdout)))
+        test = np.array([id(r) in held for r in own])
+        train = ~test
         if train.sum() < 4 * len(FEATURES) and language:
-            continue  # too few of this language: the model of all languages serves
-        w = 1 / np.sqrt(x[:, :1])
-        scale = np.maximum(x[train].std(0), 1)
-        a = np.vstack([(x * w / scale)[train], np.sqrt(1e-3) * np.eye(len(FEATURES))])
-        coef = np.linalg.lstsq(a, np.concatenate([(y * w[:, 0])[train], np.zeros(len(FEATURES))]), rcond=None)[0] / scale
-        test = ~train if (~train).any() else train
-        said = np.maximum(x[test] @ coef, 1).sum()
-        models[language] = coef, float(y[test].sum() / said)
-    return models
-
-
-def estimate_tokens(docs: DataFrame, per_language: int = 400, seed: int = 42, ranks: str | None = None) -> DataFrame:
-    """(doc_id, source, path, language, est_tokens) of every document.
-
-    ``docs`` has doc_id, text, lang, source and path. About ``per_language`` documents of each language
-    are tokenized, chosen by a seeded hash of the path and id: this bounds what reaches the driver.
-    Null and empty texts have 0 tokens; any other text at least 1. Rows are kept as they come.
-    """
+            coef = models[""][0]  # too few of this language
+        else:
+            w = 1 / np.sqrt(x[:, :1])
+            scale = np.maximum(x[train].std(0), 1)
+            a = np.vstack([(x * w / scale)[train], np.sqrt(1e-3) * np.eye(len(FEATURES))])
+            coef = np.linalg.lstsq(a, np.concatenate([(y * w[:, 0])[train], np.zeros(len(FEATURES))]), rcond=None)[0] / scale
+        use = test if test.any() else train
+        said = np.maximum(x[use] @ coef, 1).sum()
+        models[language] = coef, float(y[use].sum() / said)
+        holdouts.append((language or "*", int(use.sum()), float(y[use].sum()), float(said)))
+    return models, holdouts
+
+
+def _sampled(docs: DataFrame, per_language: int, seed: int, ranks: str | None) -> tuple[DataFrame, list]:
+    """Features of all documents with the tokens of the sample, and the sample's rows in a random order."""
     docs = docs.withColumn("language", language_of(F.col("path"), F.col("lang")))
     counts = {r["language"]: r["n"] for r in docs.filter(F.col("text").isNotNull()).groupBy("language").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "path", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -121,7 +127,19 @@ def estimate_tokens(docs: DataFrame, per_language: int = 400, seed: int = 42, ra
         rate = F.when(F.col("language") == language, min(1.0, per_language / n)).otherwise(rate)
     feats = cut_lineage(features(docs, draw < rate, ranks))
     rows = feats.filter(F.col("n_tokens").isNotNull()).select("doc_id", "language", "n_tokens", *FEATURES).collect()
-    models = fit(sorted(rows, key=lambda r: hash((seed, r["doc_id"], r["n_tokens"]))))
+    return feats, sorted(rows, key=lambda r: hash((seed, r["doc_id"], r["n_tokens"])))
+
+
+def estimate_tokens(docs: DataFrame, per_language: int = 400, seed: int = 42, ranks: str | None = None) -> DataFrame:
+    """(doc_id, source, path, language, est_tokens) of every document.
+
+    ``docs`` has doc_id, text, lang, source and path. About ``per_language`` documents of each language
+    are tokenized, chosen by a seeded hash of the path and id: this bounds what reaches the driver. For
+    those the number is exact. Null and empty texts have 0 tokens; any other text at least 1. Rows are
+    kept as they come.
+    """
+    feats, rows = _sampled(docs, per_language, seed, ranks)
+    models, _ = fit(rows)
 
     def value(coef, ratio) -> Column:
         total = F.lit(0.0)
@@ -133,7 +151,17 @@ def estimate_tokens(docs: DataFrame, per_language: int = 400, seed: int = 42, ra
     for language, model in models.items():
         if language:
             est = F.when(F.col("language") == language, value(*model)).otherwise(est)
-    return feats.select("doc_id", "source", "path", "language", F.when(F.col("n_bytes") == 0, F.lit(0).cast("long")).otherwise(est).alias("est_tokens"))
+    return feats.select("doc_id", "source", "path", "language", F.when(F.col("n_bytes") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("n_tokens", est)).alias("est_tokens"))
+
+
+def holdout_errors(docs: DataFrame, per_language: int = 400, seed: int = 42, ranks: str | None = None) -> DataFrame:
+    """(language, documents, tokens, predicted_tokens, ratio) on the documents that no model was fitted on; '*' is the model of all.
+
+    ``ratio`` is the bias that the estimate is corrected by.
+    """
+    _, rows = _sampled(docs, per_language, seed, ranks)
+    found = [(language, n, int(real), said, real / said) for language, n, real, said in fit(rows)[1]]
+    return docs.sparkSession.createDataFrame(found, "language string, documents long, tokens long, predicted_tokens double, ratio double")
 
 
 def newest_files(files: DataFrame) -> DataFrame:

@@ -28,6 +28,12 @@ def p1_document_tokens(spark, d):
     return budget.document_tokens(table(spark, d, "documents"), table(spark, d, "files"), table(spark, d, "repos"))
 
 
+@query
+def p1_holdout(spark, d):
+    """How far the models are off, by language, on documents that they were not fitted on."""
+    return budget.holdout_errors(table(spark, d, "documents"))
+
+
 @query
 def p8_ids(spark, d):
     return tokenize.encode_ids(table(spark, d, "documents"))
