@@ -55,7 +55,7 @@ def p9_mix(spark, d):
 @query
 def p9_shares(spark, d):
     sized, targets = mixture.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
-    return mixture.shares(sized, mixture.mix(sized, targets), targets)
+    return mixture.shares(sized, mixture.mix(sized, targets), targets, mixture.budgets(sized, targets)[0])
 
 
 @query
@@ -143,10 +143,23 @@ def p7_mined_patterns(spark, d):
     return provenance.mine_patterns(provenance.classify_files(table(spark, d, "documents"), table(spark, d, "thirdparty")))
 
 
+def _all_wanted(sized, targets) -> int:
+    wanted = sized.join(targets.filter("target_share > 0").select("source").distinct(), "source", "left_semi")
+    return wanted.selectExpr("coalesce(sum(n_tokens), 0) AS n").first()["n"]
+
+
 @query
 def p9_shares_of_everything(spark, d):
-    """Shares where the mix is as large as all wanted sources: caps bind, so the weights are tempered."""
+    """Shares where the mix is as large as all wanted sources: sources at their cap are fixed, the others share the rest."""
     sized, targets = mixture.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
-    wanted = sized.join(targets.filter("target_share > 0").select("source").distinct(), "source", "left_semi")
-    total = wanted.selectExpr("coalesce(sum(n_tokens), 0) AS n").first()["n"]
-    return mixture.shares(sized, mixture.mix(sized, targets, total=total), targets)
+    total = _all_wanted(sized, targets)
+    return mixture.shares(sized, mixture.mix(sized, targets, total=total), targets, mixture.budgets(sized, targets, total)[0])
+
+
+@query
+def p9_shares_by_entropy(spark, d):
+    """Natural shares of the wanted sources, flattened half of the way to the entropy of equal shares, as large as the caps allow."""
+    sized, targets = mixture.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    budget, have, _ = mixture.budgets(sized, targets)
+    entropy = mixture.between(have, budget, 0.5)
+    return mixture.shares(sized, mixture.mix(sized, targets, wanted_entropy=entropy), targets, mixture.budgets(sized, targets, None, entropy)[0])

@@ -60,6 +60,46 @@ def test_pieces_of_odd_texts(text):
         check_pieces(text, *limit)
 
 
+@pytest.mark.parametrize("unit", ["x", "日本語", "ab1!", " ", "👩‍🔧", "日本語のテキスト。", "word "])
+def test_pieces_take_time_in_proportion(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit.encode()))
+    began = time.time()
+    cut = pieces.split_text(text, 512, 64, PATH)
+    assert time.time() - began < 10
+    done = 0
+    for s, e, n, shared, _ in cut:
+        assert s <= done < e and n <= 512 and shared <= 64
+        done = e
+    assert done == len(text)
+    assert tokenize.decode(encode(text, PATH), PATH) == text.encode()
+
+
+def test_natural_boundaries():
+    para = "One sentence here. Another one follows it. And a third.\n"
+    kinds = lambda text, most: [k for *_, k in pieces.split_text(text, most, 0, PATH)]
+    assert kinds((para * 2 + "\n") * 40, 32)[0] == "paragraph"
+    assert set(kinds("Some words make a sentence. " * 60, 64)) == {"sentence", "end"}
+    assert set(kinds("再試行は七百十三回までです。" * 60, 128)) == {"sentence", "end"}
+    assert set(kinds("ab12" * 600, 64)) == {"joint", "end"} and set(kinds("x" * 6000, 64)) == {"hard", "end"}
+
+
+def test_long_white_space():
+    for n in (70_000, 140_000):
+        for text in (" " * n + "x", "a" + " " * n, "a" + "\n" * n + " b", "é" + "\u3000" * n + "é"):
+            assert list(encode(text, PATH)) == tokenize.encoding(PATH).encode_ordinary(text)
+    assert len(encode(" " * 2_000_000 + "x", PATH)) == 2_000_000
+
+
+@given(st.text(alphabet=st.sampled_from("ab1.' \n\té日👩sdt!?-。\u0301\u200b\xa0\x1c٣²'"), max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_joints_do_not_change_the_ids(text):
+    whole = tokenize.encoding(PATH).encode_ordinary(text)
+    for j in tokenize.joints(text):
+        assert tokenize.encoding(PATH).encode_ordinary(text[:j]) + tokenize.encoding(PATH).encode_ordinary(text[j:]) == whole
+
+
 def test_pieces_end_at_lines(spark):
     text = "\n".join(f"line number {i} has some words" for i in range(200))
     df = frame(spark, [None, "", "short", text, text])
@@ -111,6 +151,32 @@ def test_mix_with_a_wanted_total(spark):
     assert abs(mixture.entropy(w) - 0.6) < 1e-6
 
 
+def test_caps_that_bind_leave_the_rest_to_the_others():
+    available = {"a": 1000, "b": 1000, "c": 10}
+    targets = {"a": (0.4, 1), "b": (0.4, 3), "c": (0.2, 1)}
+    plan, a = mixture.plan(available, targets, 2000)
+    assert plan == {"a": 990 + 5, "b": 995, "c": 10} or plan["c"] == 10 and plan["a"] <= 1000 and abs(sum(plan.values()) - 2000) <= 2
+    plan, _ = mixture.plan(available, targets, 10**9)
+    assert plan == {"a": 1000, "b": 3000, "c": 10}
+    want = mixture.between(available, targets, 0.5)
+    plan, _ = mixture.plan(available, targets, wanted_entropy=want)
+    total = sum(plan.values())
+    assert abs(mixture.entropy({s: n / total for s, n in plan.items()}) - want) < 0.05 and all(plan[s] <= available[s] * targets[s][1] for s in plan)
+
+
+def test_rests_are_filled_with_smaller_records(spark):
+    rows = [(i, "a", 100) for i in range(40)] + [(100 + i, "a", 7) for i in range(60)] + [(200 + i, "b", 50) for i in range(30)] + [(300, "b", 50), (300, "b", 50)]
+    s = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    for total in (777, 1500, 2003):
+        m = mixture.mix(s, t, total=total)
+        got = {r["source"]: r["n"] for r in m.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n")).collect()}
+        assert 0 <= round(total / 2) - got["a"] < 7 and 0 <= round(total / 2) - got["b"] < 50
+        assert m.agg(F.max("repeats")).first()[0] == 1 and m.count() == m.join(s.distinct(), ["doc_id", "source", "n_tokens"]).count()
+    why = {r["source"]: r["reason"] for r in mixture.shares(s, mixture.mix(s, t, total=40), t, mixture.budgets(s, t, 40)[0]).collect()}
+    assert why["b"] == "record sizes"
+
+
 def test_mix_of_nothing(spark):
     s = sized(spark, {"a": 3})
     t = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
@@ -122,6 +188,7 @@ def test_token_estimates(spark, tiny):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     docs = docs.unionByName(docs.filter("doc_id = 1").withColumn("text", F.lit("")))
+    assert {"*", "csharp"} <= {r["language"] for r in budget.holdout_errors(docs, per_language=60).filter("abs(ratio - 1) < 0.5").collect()}
     est = budget.estimate_tokens(docs, per_language=150)
     real = tokenize.count_tokens(docs.select("doc_id", "text", F.length("text").alias("len")))
     assert est.count() == docs.count()
