@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def build_session(app: str = "fathom", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master)
@@ -24,16 +26,16 @@ def build_session(app: str = "fathom", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
-def tune(spark: SparkSession, arrow_rows: int = 1000) -> SparkSession:
-    """Let Python workers find this package, and bound Arrow batches, so that a batch of long texts stays small."""
+def tune(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package; on a cluster --py-files does this.
+
+    Arrow batches are bounded by Spark itself, in bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     there = sc.environment.get("PYTHONPATH", "")
-    if root not in there.split(os.pathsep):  # for workers started elsewhere; on a cluster --py-files does this
+    if root not in there.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, there) if x)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000") or 10000) == 10000:
-        spark.conf.set(key, str(arrow_rows))
     return spark
 
 
@@ -46,7 +48,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+        if not named and not re.fullmatch(r"local(?:\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"fathom-checkpoint-{os.getpid()}"))
     return df.checkpoint(eager=True)
