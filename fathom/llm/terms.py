@@ -62,7 +62,7 @@ def degrees_of(seq: list[str]) -> dict[str, int]:
 
 def _records(chunks: DataFrame) -> DataFrame:
     """Each record once, in the partition of its id."""
-    tune(chunks.sparkSession, 2000)
+    tune(chunks.sparkSession)
     c = chunks.select("chunk_id", F.col("content").cast("string"), F.col("heading").cast("string"))
     return spread(c, "chunk_id").sortWithinPartitions("chunk_id", F.desc_nulls_last("content"), F.desc_nulls_last("heading"))
 
