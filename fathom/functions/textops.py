@@ -71,6 +71,8 @@ def json_escaped(text: str) -> str:
 _TYPE_SCRIPT = re.compile(r"(?m)^[ \t]*(?:(?:export|default|declare|abstract|const)\s+)*(class|interface|enum|type)\s+([A-Za-z_$][\w$]*)")
 _TYPE_CS = re.compile(r"(?m)^[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|file)\s+)*(class|interface|struct|record|enum)\s+(?:struct\s+|class\s+)?([A-Za-z_]\w*)")
 _PROPERTY_CS = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|required|new)\s+)+([\w.<>\[\],? ]+?)\s+([A-Za-z_]\w*)\s*(?=\{\s*(?:(?:private|protected|internal)\s+)?(?:get|set|init)\b|=>)")
+_BLANK = re.compile(r"\s*")
+_CONTROLLER = re.compile(r"\[\s*ApiController\b")
 _ROUTE_VERBS = frozenset("GET POST PUT PATCH DELETE HEAD OPTIONS".split())
 
 
@@ -90,9 +92,10 @@ def _end(code: str, at: int) -> int:
 
 def _doc_before(text: str, code: str, comments: list[tuple[int, int]], ends: list[int], start: int) -> str | None:
     k = last = bisect_right(ends, start) - 1
-    if k < 0 or code[ends[k] : start].strip():
+    blank = _BLANK.fullmatch  # stops at the first code
+    if k < 0 or not blank(code, ends[k], start):
         return None
-    while k > 0 and text.startswith("//", comments[k][0]) and text.startswith("//", comments[k - 1][0]) and not code[ends[k - 1] : comments[k][0]].strip():
+    while k > 0 and text.startswith("//", comments[k][0]) and text.startswith("//", comments[k - 1][0]) and blank(code, ends[k - 1], comments[k][0]):
         k -= 1
     return clean_doc(text[comments[k][0] : ends[last]]) or None
 
@@ -112,12 +115,14 @@ def extract_symbols(path: str, text: str | None) -> list[tuple]:
     code, comments = mask(text, csharp)
     breaks = [m.start() for m in re.finditer("\n", text)]
     ends = [e for _, e in comments]
+    stops = [m.end() for m in re.finditer("[;{}]", code)] if csharp else []
     out, types = [], []
     for m in (_TYPE_CS if csharp else _TYPE_SCRIPT).finditer(code):
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         end = _end(code, m.end())
         kind = "typealias" if m.group(1) == "type" else m.group(1)
-        controller = csharp and (m.group(2).endswith("Controller") or "[ApiController]" in text[max(0, start - 400) : m.end()])
+        k = bisect_right(stops, start)  # attributes stand between the declaration before and the name
+        controller = csharp and (m.group(2).endswith("Controller") or bool(_CONTROLLER.search(code, stops[k - 1] if k else 0, m.end())))
         types.append((start, end, controller, kind))
         out.append((m.group(2), kind, start, end, _doc_before(text, code, comments, ends, start)))
     if csharp:
@@ -125,15 +130,27 @@ def extract_symbols(path: str, text: str | None) -> list[tuple]:
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             out.append((m.group(2), "property", start, _end(code, m.end()), _doc_before(text, code, comments, ends, start)))
     route_file = bool(re.search(r"(?:^|/)app/(?:.*/)?route\.(?:ts|tsx|js)$", path))
+    holders = [t for t in types if t[3] in ("class", "struct", "record", "interface")]
+    inside: list[tuple] = []  # the types around a place, the innermost last
+    seen = 0
     for f in extract_functions(text, csharp):
-        inside = [t for t in types if t[0] < f["start"] < t[1] and t[3] in ("class", "struct", "record", "interface")]
+        while seen < len(holders) and holders[seen][0] < f["start"]:
+            inside.append(holders[seen])
+            seen += 1
+            while len(inside) > 1 and inside[-2][1] <= inside[-1][0]:
+                del inside[-2]
+        while inside and inside[-1][1] <= f["start"]:
+            inside.pop()
         kind = "method" if inside else "function"
         if inside and inside[-1][2] or route_file and not inside and f["name"] in _ROUTE_VERBS:
             kind = "route"
         out.append((f["name"], kind, f["start"], f["end"] - 1, f["doc"] or None))
     rows = []
     for name, kind, start, end, doc in sorted(out, key=lambda r: (r[2], r[0])):
-        first = text[start : start + 4000].split("\n", 1)[0].split("{", 1)[0]
+        k = bisect_left(breaks, start)
+        line_end = breaks[k] if k < len(breaks) else len(text)
+        brace = text.find("{", start, line_end)
+        first = text[start : brace if brace >= 0 else line_end]
         rows.append((name, kind, bisect_left(breaks, start) + 1, bisect_left(breaks, min(end, len(text))) + 1, re.sub(r"\s+", " ", first).strip(), doc))
     return rows
 
@@ -191,14 +208,64 @@ def strip_comment_lines(text: str) -> tuple[str, bool]:
     return "\n".join(kept), True
 
 
+def shortest_edits(x: list, y: list, most: int) -> list[tuple[int, int, int, int]] | None:
+    """(i1, i2, j1, j2) of the parts x[i1:i2] and y[j1:j2] that differ, with as few lines taken out and put in as possible.
+
+    None where more than ``most`` are needed. For each number of edits the furthest place on each diagonal
+    is kept; the path is read back from there, so time and room grow with the edits, not with the square of the lines.
+    """
+    n, m = len(x), len(y)
+    far = {1: 0}
+    history: list[dict[int, int]] = []
+    found = None
+    for d in range(min(most, n + m) + 1):
+        now: dict[int, int] = {}
+        for k in range(-d, d + 1, 2):
+            if k < -m or k > n:
+                continue
+            down = far.get(k + 1, -1)
+            right = far.get(k - 1, -2) + 1
+            i = max(down, right)
+            j = i - k
+            if i < 0 or j < 0 or i > n or j > m:
+                continue
+            while i < n and j < m and x[i] == y[j]:
+                i, j = i + 1, j + 1
+            now[k] = i
+            if i == n and j == m:
+                found = d
+                break
+        history.append(now)
+        if found is not None:
+            break
+        far = now
+    if found is None:
+        return None
+    steps, i, j = [], n, m
+    for d in range(found, 0, -1):
+        before, k = history[d - 1], i - j
+        down, right = before.get(k + 1, -1), before.get(k - 1, -2) + 1
+        if down >= right:
+            i, j = down, down - k - 1  # then a line of y was put in
+            steps.append((i, i, j, j + 1))
+        else:
+            i, j = right - 1, right - 1 - (k - 1)
+            steps.append((i, i + 1, j, j))
+    out: list[tuple[int, int, int, int]] = []
+    for i1, i2, j1, j2 in reversed(steps):
+        if out and out[-1][1] == i1 and out[-1][3] == j1:
+            out[-1] = (out[-1][0], i2, out[-1][2], j2)
+        else:
+            out.append((i1, i2, j1, j2))
+    return out
+
+
 def line_hunks(old: str, new: str, context: int = 2, max_edits: int = 2000, max_lines: int = 20_000) -> list[tuple[int, int, int, int, str]]:
-    """(old start, old lines, new start, new lines, text) of the differing parts, with lines of context.
+    """(old start, old lines, new start, new lines, text) of the differing parts, with lines of context; the edits are the fewest.
 
     Line ends don't matter. Common edges are trimmed first; where more than ``max_edits`` lines differ, or
     more than ``max_lines`` are left, the whole rest is one hunk.
     """
-    import difflib
-
     a, b = (x.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n") if x else [] for x in (old, new))
     if a == b:
         return []
@@ -209,13 +276,9 @@ def line_hunks(old: str, new: str, context: int = 2, max_edits: int = 2000, max_
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    ops = [("replace", 0, len(x), 0, len(y))]
-    if len(x) + len(y) <= max_lines:
-        found = [o for o in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"]
-        if sum(o[2] - o[1] + o[4] - o[3] for o in found) <= max_edits:
-            ops = found
+    ops = shortest_edits(x, y, max_edits) if len(x) + len(y) <= max_lines else None
     groups: list[list] = []
-    for _, i1, i2, j1, j2 in ops:
+    for i1, i2, j1, j2 in ops if ops is not None else [(0, len(x), 0, len(y))]:
         i1, i2, j1, j2 = i1 + lo, i2 + lo, j1 + lo, j2 + lo
         if groups and i1 - groups[-1][-1][1] <= 2 * context:
             groups[-1].append((i1, i2, j1, j2))

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..session import cut_lineage
 from . import graph, search
 
+# Weights, factors and limits of the ranking.
 WEIGHTS = {"fts": 0.4, "symbol": 0.3, "graph": 0.2, "path": 0.1}
 PENALTY, DIVERSITY = 0.3, 0.9
 MAX_SYMBOLS, MAX_LINES, MAX_SPANS, PREAMBLE = 12, 80, 3, 20
@@ -47,25 +48,27 @@ def candidates(chunks: DataFrame, files: DataFrame, terms: list[str]) -> tuple[D
 
 def seeds(signals: DataFrame) -> DataFrame:
     """(path, strength): the text score over the greatest one, else .8 for a symbol, else .5."""
-    top = F.max("fts").over(Window.partitionBy())
-    return signals.select("path", F.when((top > 0) & (F.col("fts") > 0), F.col("fts") / top).when(F.col("symbol") > 0, 0.8).otherwise(0.5).alias("strength"))
+    top = F.broadcast(signals.agg(F.max("fts").alias("top")))  # one row
+    own = F.when((F.col("top") > 0) & (F.col("fts") > 0), F.col("fts") / F.col("top")).when(F.col("symbol") > 0, 0.8).otherwise(0.5)
+    return signals.crossJoin(top).select("path", own.alias("strength"))
 
 
 def score(signals: DataFrame, steps: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Signals and graph gains as one weighted score; each component is divided by its greatest value.
 
-    Candidates by evidence are a thousand at most; those by paths and links grow with the data, and the
-    unpartitioned maximum puts a row for each into one task.
+    The greatest values are an aggregate of one row, joined to all candidates, of which those by paths and
+    links grow with the data.
     """
     g = steps.groupBy("path").agg(F.sum("gain").alias("graph"), F.array_sort(F.collect_set("reason")).alias("links"))
-    c = signals.join(g, "path", "full_outer").fillna(0.0, ["fts", "symbol", "path_score", "graph"])
-    every = Window.partitionBy()
-    part = lambda name: F.when(F.max(name).over(every) > 0, F.col(name) / F.max(name).over(every)).otherwise(0.0)
+    c = cut_lineage(signals.join(g, "path", "full_outer").fillna(0.0, ["fts", "symbol", "path_score", "graph"]))
+    names = ("fts", "symbol", "graph", "path_score")
+    top = F.broadcast(c.agg(*(F.max(n).alias(f"top_{n}") for n in names)))
+    part = lambda name: F.when(F.col(f"top_{name}") > 0, F.col(name) / F.col(f"top_{name}")).otherwise(0.0)
     total = F.lit(weights["fts"]) * part("fts") + F.lit(weights["symbol"]) * part("symbol") + F.lit(weights["graph"]) * part("graph") + F.lit(weights["path"]) * part("path_score")
     bad = S.is_vendor(F.col("path"))
     none = F.array().cast("array<string>")
     reasons = F.concat(F.coalesce("reasons", none), F.coalesce("links", none), F.when(bad, F.array(F.lit("penalty:vendor-or-generated"))).otherwise(none))
-    return c.withColumns({"score": _nine(total * F.when(bad, PENALTY).otherwise(1.0)), "reasons": S.compress_reasons(reasons)}).select("path", "fts", "symbol", "graph", "path_score", "score", "reasons")
+    return c.crossJoin(top).withColumns({"score": _nine(total * F.when(bad, PENALTY).otherwise(1.0)), "reasons": S.compress_reasons(reasons)}).select("path", "fts", "symbol", "graph", "path_score", "score", "reasons")
 
 
 def diversify(scored: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textops
+from ..session import cut_lineage
 from ..sources.files import Config
 from . import changes, chunking, graph, identity, search
 
@@ -32,7 +33,7 @@ class Tables:
 def parse(sources: DataFrame, counter: textops.TokenCounter | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, chunks, symbols) of scanned sources (path, kind, language, ..., text)."""
     files = sources.withColumn("token_count", textops.token_count(F.col("text"), counter).cast("int")).drop("text")
-    symbols = textops.symbols(sources)
+    symbols = cut_lineage(textops.symbols(sources))  # used by the tables of chunks, symbols and edges, and lexed once
     chunks = chunking.chunk(sources.select("path", "text")).unionByName(chunking.symbol_chunks(symbols))
     cid = F.xxhash64("path", "kind", "start_line", "end_line", F.coalesce("heading", F.lit("")))
     return files, chunks.withColumn("chunk_id", cid), symbols.withColumn("symbol_id", F.xxhash64("path", "start_line", "name", "kind"))

@@ -120,6 +120,17 @@ def source_slice(chunks: DataFrame, path: str, start: int, end: int) -> DataFram
     return lines.select((F.col("start_line") + F.col("i")).alias("line"), "text").filter(F.col("line").between(start, end)).groupBy("line").agg(F.max("text").alias("text"))
 
 
+def source_slices(chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, start_line, end_line, text) of many ranges at once: ``source_slice`` of each, its lines joined."""
+    c = chunks.filter("kind <> 'symbol'").select("path", F.col("start_line").alias("first"), F.col("end_line").alias("last"), "content")
+    some = c.join(F.broadcast(spans.select("path").distinct()), "path", "left_semi")  # as many as were asked for
+    j = spans.join(some, "path").filter(S.overlaps(F.col("first"), F.col("last"), F.col("start_line"), F.col("end_line")))
+    lines = j.select("path", "start_line", "end_line", "first", F.posexplode(F.split("content", "\n")).alias("i", "text")).withColumn("line", F.col("first") + F.col("i"))
+    one = lines.filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("path", "start_line", "end_line", "line").agg(F.max("text").alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    return spans.join(one.groupBy("path", "start_line", "end_line").agg(text.alias("text")), ["path", "start_line", "end_line"], "left").select("path", "start_line", "end_line", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def chunk_text(chunks: DataFrame, path: str, start: int) -> DataFrame:
     """The content of the chunk at a line, code before symbols."""
     return chunks.filter((F.col("path") == path) & (F.col("start_line") == start)).orderBy(F.col("kind") == "symbol", "end_line", "chunk_id").limit(1).select("kind", "content")

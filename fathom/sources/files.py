@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+# The defaults of an index's settings.
 @dataclass
 class Config:
-    """Settings of an index with the reference defaults."""
+    """Settings of an index with their defaults."""
 
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=lambda: ["node_modules", "dist", "bin", "obj", ".next", ".git"])
@@ -68,10 +69,13 @@ def scan(spark: SparkSession, root: str, cfg: Config | None = None, repo: str =
     """
     cfg = cfg or Config()
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    raw = found.select(F.regexp_replace(F.substring_index("path", base + "/", -1), "^/", "").alias("path"), "content")
-    rows = raw.filter("path = '.gitignore'").select(F.col("content").cast("string").alias("t")).head(1)
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    relative = F.regexp_replace(F.substring_index("path", base + "/", -1), "^/", "").alias("path")
+    rules = binary.option("pathGlobFilter", ".gitignore").load(base).select(relative, "content").filter("path = '.gitignore'").select(F.col("content").cast("string").alias("t")).head(1)
+    # the length is tested before a file is read: content that is too large is never loaded
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).filter(F.col("length") <= cfg.max_file_kb * 1024)
+    raw = found.select(relative, "content")
     text = decode_text(F.col("content"))
-    return admit(raw, cfg, rows[0]["t"].splitlines() if rows else []).select(
+    return admit(raw, cfg, rules[0]["t"].splitlines() if rules else []).select(
         F.lit(repo).alias("repo"), "path", "kind", "language", F.octet_length("content").cast("long").alias("size_bytes"), S.count_lines(text).alias("line_count"), F.sha2("content", 256).alias("content_hash"), text.alias("text")
     )
