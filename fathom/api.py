@@ -17,6 +17,7 @@ from . import render
 from .functions import scalars as S
 from .functions import textops
 from .operators import architecture, changes, context, graph, identity, index, memory, packing, search, usage
+from .session import cut_lineage
 from .sources import files as scanning
 from .sources import logs
 
@@ -79,64 +80,137 @@ class Repository:
         t = self.tables
         return context.rank(t.chunks, t.files, t.edges, search.analyze(query, self.cfg.synonyms), self.cfg.weights)
 
-    def context(self, query: str, top: int = 8, budget: int | None = None, detail: str = "paths", known: dict[str, str] | None = None, seen: list[str] = (), session: str | None = None, memories: bool = True) -> dict:
-        """A bundle of ranked files with evidence and reasons within a response budget in tokens."""
+    def context(
+        self, query: str, top: int = 8, budget: int | None = None, detail: str = "paths", known: dict[str, str] | None = None, seen: list[str] = (), session: str | None = None, memories: bool = True,
+        budget_tokens: int | None = None, projected_read_budget: int | None = None, strip_comments: bool = False,
+    ) -> dict:
+        """A bundle of ranked files with evidence and reasons.
+
+        ``budget`` limits the tokens of the response as it is returned, ``budget_tokens`` the estimates of its
+        items, ``projected_read_budget`` what will be read after it. ``omitted`` counts what is left out by
+        the limit that kept it out. Candidates come to the driver a page at a time, until ``top`` are taken.
+        """
         t, terms = self.tables, search.analyze(query, self.cfg.synonyms)
-        known, seen = packing.merge_known(self.load_session(session)["known"], known or {}), packing.merge_seen(self.load_session(session)["seen"], seen)
+        state = self.load_session(session)
+        known, seen = packing.merge_known(state["known"], known or {}), packing.merge_seen(state["seen"], seen)
         if not terms:
-            return {"results": [], "reused": [], "memories": [], "omitted": 0}
+            return {"results": [], "reused": [], "memories": [], "omitted": {}}
         signals, text, syms = context.candidates(t.chunks, t.files, terms)
-        ranked = context.diversify(context.score(signals, graph.expand(context.seeds(signals), t.edges, t.files), self.cfg.weights)).filter("adjusted > 0")
-        rows = ranked.join(t.files.select("path", "content_hash", "token_count", "line_count"), "path").orderBy(F.desc("adjusted"), "path").collect()
-        paths = [r["path"] for r in rows[: 8 * top]]
-        spans, outline = self._evidence(t, text, syms, paths, detail)
-        items, reused, first = [], [], {}
-        for r in rows:
-            h = r["content_hash"]
-            if any(p == r["path"] and len(k) >= 8 and h.lower().startswith(k.lower()) for p, k in known.items()):
-                reused.append({"path": r["path"], "why": "known"})
-                continue
-            receipt = identity.unit_receipt(r["path"], h, detail, "pointer")
-            if receipt in seen:
-                reused.append({"path": r["path"], "receipt": receipt, "why": "seen"})
-                continue
-            item = {"path": r["path"], "score": round(r["adjusted"], 4), "reasons": r["reasons"], "tokens": textops_scale(r["token_count"], self.cfg.token_factor), "receipt": receipt}
-            if h in first:
-                own = identity.join_records(["duplicate_of", first[h]])
-                item |= {"duplicate_of": first[h], "tokens": 0, "receipt": identity.unit_receipt(r["path"], h, detail, "pointer", evidence=own)}
-            elif detail != "paths":
-                units, old = [], 0
-                for u in (spans if detail == "slices" else outline).get(r["path"], []):
-                    if detail == "slices":
-                        u["receipt"] = identity.unit_receipt(r["path"], h, detail, "span", u["start_line"], u["end_line"], u.get("symbol") or "", u["text"])
-                    else:
-                        shown = identity.join_records([u["signature"] or "", u["doc"] or ""])
-                        u["receipt"] = identity.unit_receipt(r["path"], h, detail, "symbol", u["start_line"], u["end_line"], u["name"], shown)
-                    if u["receipt"] in seen:
-                        old += 1
-                        reused.append({"path": r["path"], "start_line": u["start_line"], "end_line": u["end_line"], "receipt": u["receipt"], "why": "seen"})
-                    else:
-                        units.append(u)
-                if old and not units:
-                    continue  # everything of this file was delivered before
-                item["spans" if detail == "slices" else "symbols"] = units or None
-            first.setdefault(h, r["path"])
-            items.append(item)
-        notes = [x.asDict() for x in self._bundle_memories(ranked, terms)] if memories else []
-        if budget is None:
-            chosen, kept = items[:top], notes
-        else:
-            chosen, kept = packing.fit(items, budget, top, self.counter.count, notes)
-        out = {"results": chosen, "reused": reused[:20], "memories": kept, "omitted": len(items) - len(chosen)}
-        if budget is not None and not chosen and items:
-            out["retry_budget_tokens"] = packing.retry_budget(items[:top], budget, self.counter.count)
+        scored = context.diversify(context.score(signals, graph.expand(context.seeds(signals), t.edges, t.files), self.cfg.weights))
+        ranked = cut_lineage(scored.select("path", "adjusted", "reasons").join(t.files.select("path", "content_hash", "token_count"), "path"))
+        counts = ranked.agg(F.count("*").alias("all"), F.coalesce(F.sum((F.col("adjusted") > 0).cast("long")), F.lit(0)).alias("good")).first()
+        scale = lambda n: textops_scale(n, self.cfg.token_factor)
+        count, price = self.counter.count, lambda item: packing.costs(item, self.counter.count, scale, textops.json_escaped)
+        notes = packing.reserve_memories([x.asDict() for x in self._bundle_memories(ranked, terms)] if memories else [], budget_tokens, count, scale)
+        reused: list[dict] = []
+
+        def document(items: list[dict], kept: list[dict], omitted: dict, **more) -> dict:
+            first = sorted(reused, key=lambda u: (u["path"], u.get("start_line") or 0, u.get("receipt") or ""))[:20]
+            body = {"query": query, "analysis_id": self._analysis_id, "results": items, "reused": first, "memories": kept, "omitted": omitted, "estimated_tokens": sum(x["estimated_tokens"] for x in (*items, *kept)), "projected_read_tokens": sum(x["projected_read_tokens"] for x in items)}
+            body["evidence_id"] = identity.evidence_id(self._analysis_id, " ".join(terms), f"{detail}:{top}", [x["receipt"] for x in items])
+            return body | {k: v for k, v in more.items() if v is not None}
+
+        tokens = lambda doc: scale(count(packing.dumps(doc)))
+        most = {k: counts["all"] for k in ("top", "budget_tokens", "projected_read_budget", "response_budget", "nonpositive")}  # no number in it will be longer
+        kept: list[dict] = []
+        for m in notes:
+            if budget is None or tokens(document([], [*kept, m], most)) <= budget:
+                kept.append(m)
+        while True:
+            reused.clear()
+            left = None if budget_tokens is None else max(budget_tokens - sum(m["estimated_tokens"] for m in kept), 0)
+            packer = packing.Packer(packing.Budgets(left, projected_read_budget, budget), top, lambda items: tokens(document(items, kept, most)), price)
+            gone = self._offer(packer, ranked, t, text, syms, detail, known, seen, reused, strip_comments)
+            if packer.chosen or not kept or not counts["good"]:
+                break
+            kept.pop()  # notes never stand in for all evidence
+        omitted = packer.omitted | {"top": packer.omitted["top"] + max(counts["good"] - gone, 0) * packer.full, "nonpositive": counts["all"] - counts["good"]}
+        chosen = packer.chosen
+        out = document(chosen, kept, omitted)
+        while budget is not None and tokens(out) > budget and (chosen or kept or reused):
+            (reused if reused else chosen if len(chosen) > 1 or not kept else kept).pop()
+            out = document(chosen, kept, omitted)
+        if budget is not None and not chosen and packer.smallest:
+            need = packing.fitting_budget(lambda b: tokens(document([packer.smallest], [], omitted, requested_budget_tokens=budget, retry_budget_tokens=b)), budget)
+            out = document([], kept, omitted, requested_budget_tokens=budget, retry_budget_tokens=need)
         if session:
             # what the caller says it knows, and what was delivered or acknowledged; a file is never known by itself
             own = [u["receipt"] for x in chosen for u in (x.get("spans") or x.get("symbols") or [x])]
             self.save_session(session, known, [*seen, *own, *(u["receipt"] for u in reused if "receipt" in u)])
         return out
 
+    @property
+    def _analysis_id(self) -> str:
+        m = index.meta(self.home)
+        return identity.analysis_state(m["state_hash"], m["producer"], m["schema_version"], m["config_hash"])
+
+    def _pages(self, ranked: DataFrame, size: int = 200):
+        """Rows of the ranking in order, a bounded page at a time."""
+        rows = ranked.filter("adjusted > 0")
+        last = None
+        while True:
+            more = rows if last is None else rows.filter((F.col("adjusted") < last["adjusted"]) | (F.col("adjusted") == last["adjusted"]) & (F.col("path") > last["path"]))
+            page = more.orderBy(F.desc("adjusted"), "path").limit(size).collect()
+            if page:
+                yield page
+            if len(page) < size:
+                return
+            last = page[-1]
+
+    def _offer(self, packer: packing.Packer, ranked: DataFrame, t: index.Tables, text: DataFrame, syms: DataFrame, detail: str, known: dict, seen: list[str], reused: list, strip: bool) -> int:
+        """Offer the candidates to the packer until it is full; returns how many were looked at."""
+        first: dict[str, str] = {}
+        looked = 0
+        for page in self._pages(ranked):
+            if packer.full:
+                break
+            spans, outline = self._evidence(t, text, syms, [r["path"] for r in page], detail)
+            for r in page:
+                if packer.full:
+                    break
+                looked += 1
+                item = self._item(r, spans, outline, detail, known, seen, reused, first, strip)
+                if item is not None and packer.offer(item):
+                    first.setdefault(r["content_hash"], r["path"])
+        return looked
+
+    def _item(self, r, spans: dict, outline: dict, detail: str, known: dict, seen: list[str], reused: list, first: dict, strip: bool) -> dict | None:
+        """The item of a ranked file, None if all of it was delivered before."""
+        h = r["content_hash"] or ""
+        if any(p == r["path"] and len(k) >= 8 and h.lower().startswith(k.lower()) for p, k in known.items()):
+            reused.append({"path": r["path"], "why": "known"})
+            return None
+        receipt = identity.unit_receipt(r["path"], h, detail, "pointer")
+        if receipt in seen:
+            reused.append({"path": r["path"], "receipt": receipt, "why": "seen"})
+            return None
+        item = {"path": r["path"], "score": round(r["adjusted"], 4), "reasons": r["reasons"], "tokens": textops_scale(r["token_count"], self.cfg.token_factor), "receipt": receipt}
+        if h in first:
+            own = identity.join_records(["duplicate_of", first[h]])
+            return item | {"duplicate_of": first[h], "tokens": 0, "receipt": identity.unit_receipt(r["path"], h, detail, "pointer", evidence=own)}
+        if detail == "paths":
+            return item
+        units, old = [], 0
+        for u in (spans if detail == "slices" else outline).get(r["path"], []):
+            u = dict(u)
+            if detail == "slices":
+                if strip:
+                    u["text"] = textops.strip_comment_lines(u["text"])[0]
+                u["receipt"] = identity.unit_receipt(r["path"], h, detail, "span", u["start_line"], u["end_line"], u.get("symbol") or "", u["text"])
+            else:
+                shown = identity.join_records([u["signature"] or "", u["doc"] or ""])
+                u["receipt"] = identity.unit_receipt(r["path"], h, detail, "symbol", u["start_line"], u["end_line"], u["name"], shown)
+            if u["receipt"] in seen:
+                old += 1
+                reused.append({"path": r["path"], "start_line": u["start_line"], "end_line": u["end_line"], "receipt": u["receipt"], "why": "seen"})
+            else:
+                units.append(u)
+        if old and not units:
+            return None
+        return item | {"spans" if detail == "slices" else "symbols": units or None}
+
     def _evidence(self, t: index.Tables, text: DataFrame, syms: DataFrame, paths: list[str], detail: str) -> tuple[dict, dict]:
+        """Spans or symbols of a page of files by path, each kind in one job."""
         spans: dict[str, list] = {}
         outline: dict[str, list] = {}
         if detail == "slices" and paths:
@@ -144,11 +218,10 @@ class Repository:
             r = s.select("path", F.lit(0).alias("g"), -F.col("score"), "start_line", "end_line").toDF("path", "g", "s", "start_line", "end_line")
             r = r.unionByName(text.filter(F.col("path").isin(paths)).select("path", F.lit(1).alias("g"), (-F.col("score")).alias("s"), "start_line", "end_line"))
             ranges = r.select("path", F.struct("g", "s", "start_line").alias("rank"), "start_line", "end_line")
-            heads = syms.filter(F.col("path").isin(paths)).select("path", "start_line", "end_line", "heading").orderBy("heading").collect()
-            for x in context.select_spans(ranges).orderBy("path", "start_line").collect():
-                lines = search.source_slice(t.chunks, x["path"], x["start_line"], x["end_line"]).orderBy("line").collect()
-                named = [y["heading"] for y in heads if (y["path"], y["start_line"], y["end_line"]) == (x["path"], x["start_line"], x["end_line"])]
-                spans.setdefault(x["path"], []).append({"start_line": x["start_line"], "end_line": x["end_line"], "symbol": named[0] if named else None, "text": "\n".join(y["text"] or "" for y in lines)})
+            names = syms.filter(F.col("path").isin(paths)).groupBy("path", "start_line", "end_line").agg(F.min("heading").alias("symbol"))
+            cut = search.source_slices(t.chunks, context.select_spans(ranges)).join(names, ["path", "start_line", "end_line"], "left")
+            for x in cut.orderBy("path", "start_line").collect():
+                spans.setdefault(x["path"], []).append({k: x[k] for k in ("start_line", "end_line", "symbol", "text")})
         if detail == "outline" and paths:
             m = syms.filter(F.col("path").isin(paths)).select("path", F.col("heading").alias("name"))
             o = context.outline_symbols(t.symbols.filter(F.col("path").isin(paths)), m).orderBy("path", "start_line", "name")
@@ -183,12 +256,21 @@ class Repository:
         }
 
     def prime(self, files: int = 5) -> dict:
-        """A short primer that is the same byte for byte while the index is."""
-        t = self.tables
+        """A short primer that is the same byte for byte while the index is; its numbers have two digits, so small changes leave it alone."""
+        t, m = self.tables, index.meta(self.home)
         a = self.architecture(depth=1)
         keys = architecture.key_files(t.files, t.edges, files).collect()
-        o = context.outline_symbols(t.symbols.filter(F.col("path").isin([r["path"] for r in keys]))).orderBy("path", "start_line", "name").collect()
-        return {"languages": sorted(({"language": x["language"], "loc": round2(x["loc"])} for x in a["languages"]), key=lambda x: x["language"]), "tree": a["tree"], "key_files": [r.asDict() | {"symbols": [s["name"] for s in o if s["path"] == r["path"]]} for r in keys]}
+        paths = [r["path"] for r in keys]
+        o = context.outline_symbols(t.symbols.filter(F.col("path").isin(paths))).orderBy("path", "start_line", "name").collect()
+        size = {r["path"]: r["token_count"] for r in t.files.filter(F.col("path").isin(paths)).select("path", "token_count").collect()}
+        total = t.files.agg(F.count("*").alias("files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("loc"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).first()
+        return {
+            "state": m["state_hash"][:12], "files": round2(total["files"]), "loc": round2(total["loc"]), "read_tokens": round2(textops_scale(total["tokens"], self.cfg.token_factor)),
+            "languages": sorted(({"language": x["language"], "loc": round2(x["loc"])} for x in a["languages"]), key=lambda x: x["language"]),
+            "tree": sorted(({"dir": x["dir"], "files": round2(x["files"]), "loc": round2(x["loc"])} for x in a["tree"]), key=lambda x: x["dir"]),
+            "entrypoints": a["entrypoints"],
+            "key_files": [r.asDict() | {"read_tokens": round2(textops_scale(size.get(r["path"]), self.cfg.token_factor)), "symbols": [s["name"] for s in o if s["path"] == r["path"]]} for r in keys],
+        }
 
     # -- memory
 
@@ -234,7 +316,7 @@ class Repository:
     def _bundle_memories(self, ranked: DataFrame, terms: list[str]):
         if not os.path.isdir(self._memory_log):
             return []
-        return memory.for_bundle(self.memories(), ranked, terms, packing.MAX_MEMORIES).select("id", "kind", "text", "reasons").collect()
+        return memory.for_bundle(self.memories(), ranked, terms, packing.MAX_MEMORIES).select("id", "kind", "text", "reasons", F.map_keys("files").alias("files")).collect()
 
     # -- sessions
 
@@ -260,6 +342,15 @@ class Repository:
 
     # -- usage
 
+    def replaced(self, kind: str, doc, path: str | None = None) -> int:
+        """Tokens of the files that a response stands in for: those it gives content of, an outline's file, patched files."""
+        if kind == "context":
+            return sum(x["tokens"] for x in doc["results"] if x.get("spans") or x.get("symbols"))
+        paths = [path] if kind == "outline" and doc else sorted({h["path"] for h in doc.get("hunks", [])}) if kind == "changed" else []
+        if not paths:
+            return 0
+        return self.tables.files.filter(F.col("path").isin(paths)).agg(F.coalesce(F.sum("token_count"), F.lit(0)).alias("n")).first()["n"]
+
     def record(self, command: str, served: int, replaced: int, source: str = "cli", files: int | None = None) -> None:
         """Best effort: a call that can't be recorded is not an error."""
         try:

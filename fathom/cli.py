@@ -14,10 +14,11 @@ import sys
 from .api import Repository
 from .session import build_session
 
+# The tools of the server, their names and parameters.
 #: Tools of the server: name -> (method, parameters with their JSON types).
 TOOLS = {
     "search": {"query": "string", "top": "integer", "symbols": "boolean"},
-    "get_context": {"query": "string", "top": "integer", "budget": "integer", "detail": "string", "known": "object", "seen": "array", "session": "string"},
+    "get_context": {"query": "string", "top": "integer", "budget": "integer", "detail": "string", "known": "object", "seen": "array", "session": "string", "memories": "boolean", "budget_tokens": "integer", "projected_read_budget": "integer", "strip_comments": "boolean"},
     "get_related_files": {"path": "string"},
     "get_outline": {"path": "string"},
     "get_changes": {"patch": "boolean"},
@@ -46,6 +47,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--budget", type=int)
     c.add_argument("--detail", choices=["paths", "outline", "slices"], default="paths")
     c.add_argument("--session")
+    c.add_argument("--budget-tokens", type=int)
+    c.add_argument("--projected-read-budget", type=int)
+    c.add_argument("--known", action="append", default=[], metavar="PATH@HASH")
+    c.add_argument("--seen", action="append", default=[], metavar="RECEIPT")
+    c.add_argument("--strip-comments", action="store_true")
+    c.add_argument("--no-memory", action="store_true")
     sub.add_parser("changed").add_argument("--patch", action="store_true")
     sub.add_parser("architecture").add_argument("--depth", type=int, default=3)
     sub.add_parser("prime").add_argument("--files", type=int, default=5)
@@ -79,7 +86,8 @@ def run(repo: Repository, a: argparse.Namespace):
     if k == "outline":
         return k, repo.outline(a.path)
     if k == "context":
-        return k, [repo.context(a.query, a.top, a.budget, a.detail, session=a.session)]
+        known = dict(x.rsplit("@", 1) for x in a.known if "@" in x)
+        return k, [repo.context(a.query, a.top, a.budget, a.detail, known, a.seen, a.session, not a.no_memory, a.budget_tokens, a.projected_read_budget, a.strip_comments)]
     if k == "changed":
         delta, hit = repo.changed()
         doc = {"changed": [r.asDict() for r in delta.collect()], "impacted": [r.asDict() for r in hit.collect()]}
@@ -162,7 +170,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 3 if "out of date" in str(e) else 2
     print(body)
     if kind in ("search", "context", "outline", "changed"):
-        repo.record(kind, repo.counter.count(body), 0)
+        doc = [r.asDict() for r in rows.collect()] if kind == "outline" else rows[0] if kind in ("context", "changed") else None
+        repo.record(kind, repo.counter.count(body), repo.replaced(kind, doc, getattr(a, "path", None)) if doc else 0)
     return 1 if kind in ("search", "related", "outline") and '"results":[]' in body else 0
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# What a frame costs besides its texts, the part of a budget that notes may take, and their number.
 ITEM_OVERHEAD, SYMBOL_OVERHEAD, MEMORY_OVERHEAD, MEMORY_SHARE, MAX_MEMORIES = 40, 26, 24, 5, 3
 
 
@@ -77,15 +79,111 @@ def duplicates(items: DataFrame) -> DataFrame:
 
 def envelope(path: str, reasons: Iterable[str], count: Callable[[str], int]) -> int:
     """Estimated tokens of an item's frame."""
-    return ITEM_OVERHEAD + count(path) + sum(count(r) for r in reasons)
+    return ITEM_OVERHEAD + count(path) + count(",".join(reasons))
 
 
 def outline_cost(symbols: Iterable[dict], count: Callable[[str], int]) -> int:
-    return sum(SYMBOL_OVERHEAD + count(s.get("signature") or "") + count(s.get("doc") or "") for s in symbols)
+    """Estimated tokens of an outline: a frame for each symbol, and all signatures with their docs."""
+    shown = [f"{s.get('signature') or ''} {s['doc']}" if s.get("doc") else s.get("signature") or "" for s in symbols]
+    return SYMBOL_OVERHEAD * len(shown) + count("\n".join(shown)) if shown else 0
 
 
-def memory_cost(reasons: Iterable[str], files: Iterable[str], count: Callable[[str], int]) -> int:
-    return MEMORY_OVERHEAD + sum(count(r) for r in reasons) + sum(count(f) + 8 for f in files)
+def memory_cost(text: str, reasons: Iterable[str], files: Iterable[str], count: Callable[[str], int]) -> int:
+    """Estimated tokens of a note: its text, its frame and the links in it."""
+    return count(text) + MEMORY_OVERHEAD + count(",".join(reasons)) + sum(count(f) + 8 for f in files)
+
+
+def costs(item: dict, count: Callable[[str], int], scale: Callable[[int], int] = int, escape: Callable[[str], str] = str) -> dict:
+    """The item with estimated_tokens and projected_read_tokens.
+
+    A pointer costs its whole file, as that is what will be read; delivered content costs itself as it is
+    escaped in a response, and its frame, and nothing is read after it; a duplicate costs nothing.
+    """
+    if item.get("duplicate_of"):
+        return item | {"estimated_tokens": 0, "projected_read_tokens": 0}
+    if item.get("spans"):
+        n = sum(count(escape(u["text"])) for u in item["spans"])
+    elif item.get("symbols"):
+        n = outline_cost(item["symbols"], count)
+    else:
+        return item | {"estimated_tokens": item["tokens"], "projected_read_tokens": item["tokens"]}
+    return item | {"estimated_tokens": scale(n + envelope(item["path"], item["reasons"], count)), "projected_read_tokens": 0}
+
+
+def reserve_memories(notes: Iterable[dict], budget: int | None, count: Callable[[str], int], scale: Callable[[int], int] = int, most: int = MAX_MEMORIES) -> list[dict]:
+    """The best notes, ``most`` at most, whose costs stay within a fifth of a token budget; one that is too large is skipped."""
+    left = budget // MEMORY_SHARE if budget is not None else None
+    out: list[dict] = []
+    for m in notes:
+        if len(out) == most:
+            break
+        cost = scale(memory_cost(m["text"] or "", m["reasons"], m.get("files") or (), count))
+        if left is None or cost <= left:
+            left = None if left is None else left - cost
+            out.append({k: v for k, v in m.items() if k != "files"} | {"estimated_tokens": cost})
+    return out
+
+
+@dataclass
+class Budgets:
+    """Limits in tokens, each None for none: of the estimates, of what is read afterwards, and of the rendered response."""
+
+    tokens: int | None = None
+    read: int | None = None
+    response: int | None = None
+
+
+class Packer:
+    """Takes ranked items one after the other; what is not taken is counted by the limit that kept it out.
+
+    ``measure`` gives the tokens of the response that would be delivered with these items.
+    """
+
+    def __init__(self, limits: Budgets, top: int, measure: Callable[[list[dict]], int], price: Callable[[dict], dict]):
+        self.limits, self.top, self.measure, self.price = limits, top, measure, price
+        self.chosen: list[dict] = []
+        self.used = self.read = 0
+        self.omitted = {"top": 0, "budget_tokens": 0, "projected_read_budget": 0, "response_budget": 0}
+        #: Among the items that only the response budget kept out, the form with the shortest text.
+        self.smallest: dict | None = None
+
+    @property
+    def full(self) -> bool:
+        return len(self.chosen) >= self.top
+
+    def offer(self, item: dict) -> bool:
+        if self.full:
+            self.omitted["top"] += 1
+            return False
+        forms = [self.price(v) for v in variants(item)]
+        within = [v for v in forms if self.limits.tokens is None or self.used + v["estimated_tokens"] <= self.limits.tokens]
+        readable = [v for v in within if self.limits.read is None or self.read + v["projected_read_tokens"] <= self.limits.read]
+        for v in readable:
+            if self.limits.response is None or self.measure([*self.chosen, v]) <= self.limits.response:
+                self.chosen.append(v)
+                self.used += v["estimated_tokens"]
+                self.read += v["projected_read_tokens"]
+                return True
+        self.omitted["budget_tokens" if not within else "projected_read_budget" if not readable else "response_budget"] += 1
+        if readable:
+            least = min([*readable, *([self.smallest] if self.smallest else [])], key=lambda v: len(render([v])))
+            self.smallest = least
+        return False
+
+
+def fitting_budget(measure: Callable[[int], int], asked: int) -> int:
+    """The first budget above ``asked`` under which a response fits that states its own budget.
+
+    What is measured is proposed next, 64 times at most, then it is doubled, 16 times at most.
+    """
+    proposed = max(asked, 1)
+    for grow in (lambda said, now: said, lambda said, now: 2 * now):
+        for _ in range(64 if grow(1, 1) == 1 else 16):
+            said = measure(proposed)
+            if said <= proposed:
+                return proposed
+            proposed = grow(said, proposed)
+    raise RuntimeError("no budget was found that the response fits into")
 
 
 def variants(item: dict) -> Iterable[dict]:
@@ -100,46 +198,15 @@ def variants(item: dict) -> Iterable[dict]:
                 yield item | {key: [p]}
 
 
-def render(items: list[dict], memories: list[dict] = (), **meta) -> str:
-    """Compact JSON, nulls left out: the body that budgets are measured on."""
-    prune = lambda x: {k: prune(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [prune(v) for v in x] if isinstance(x, list) else x
-    return json.dumps(prune({"schema_version": 3, **meta, "memories": list(memories) or None, "results": items}), ensure_ascii=False, separators=(",", ":"))
-
+def dumps(doc: dict) -> str:
+    """Compact JSON of a response, nulls left out: the text that is delivered and that budgets are measured on."""
+    prune = lambda x: {k: prune(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [prune(v) for v in x] if isinstance(x, (list, tuple)) else x
+    return json.dumps(prune(doc), ensure_ascii=False, separators=(",", ":"))
 
-def fit(items: list[dict], budget: int, top: int, count: Callable[[str], int], memories: list[dict] = ()) -> tuple[list[dict], list[dict]]:
-    """(items, memories) whose whole rendered response is within ``budget``.
 
-    Memories come first, each admitted if the response still fits; then ranked items, each in its largest
-    form that fits. Where memories leave no room for any item they are dropped from the tail.
-    """
-    kept: list[dict] = []
-    for m in memories[:MAX_MEMORIES]:
-        if count(render([], [*kept, m])) <= budget:
-            kept.append(m)
-    while True:
-        chosen: list[dict] = []
-        for item in items:
-            if len(chosen) == top:
-                break
-            best = next((v for v in variants(item) if count(render([*chosen, v], kept)) <= budget), None)
-            if best is not None:
-                chosen.append(best)
-        if chosen or not kept or not items:
-            return chosen, kept
-        kept.pop()
-
-
-def retry_budget(items: list[dict], budget: int, count: Callable[[str], int], probes: int = 64) -> int | None:
-    """The smallest probed budget above ``budget`` that admits an item, None without items."""
-    if not items:
-        return None
-    need = budget
-    for _ in range(probes):
-        smallest = min(count(render([v])) for i in items for v in variants(i))
-        if fit(items, need, 1, count)[0]:
-            return need
-        need = max(need + 1, smallest)
-    return None
+def render(items: list[dict], memories: list[dict] = (), **meta) -> str:
+    """The items and notes alone, as they stand in a response."""
+    return dumps({"schema_version": 3, **meta, "memories": list(memories) or None, "results": items})
 
 
 def merge_seen(session: Iterable[str], given: Iterable[str]) -> list[str]:

@@ -101,15 +101,57 @@ def test_pack_any_number_of_items(spark, budget, top, high):
     assert [r["path"] for r in packing.taken(d, budget, top).orderBy("pos").collect()] == chosen
 
 
-def test_fit_and_retry():
-    count = len
-    items = [{"path": "a", "spans": ["x" * 300, "y" * 20]}, {"path": "b"}]
-    chosen, kept = packing.fit(items, 150, 5, count, [{"id": "m"}])
-    assert len(packing.render(chosen, kept)) <= 150 and [c["path"] for c in chosen] == ["a", "b"] and chosen[0]["spans"] == ["y" * 20]
-    assert packing.fit(items, 10, 5, count) == ([], [])
-    need = packing.retry_budget(items, 10, count)
-    assert packing.fit(items, need, 1, count)[0]
-    assert packing.retry_budget([], 10, count) is None
+def test_packer_and_its_limits():
+    price = lambda v: v | {"estimated_tokens": v["cost"] if not v.get("spans") else sum(len(u["text"]) for u in v["spans"]), "projected_read_tokens": v.get("read", 0)}
+    measure = lambda items: len(packing.render(items))
+
+    def run(items, top, *limits):
+        p = packing.Packer(packing.Budgets(*limits), top, measure, price)
+        for x in items:
+            p.offer(x)
+        return [c["path"] for c in p.chosen], {k: v for k, v in p.omitted.items() if v}
+
+    items = [{"path": "a", "cost": 60}, {"path": "b", "cost": 50, "read": 5}, {"path": "c", "cost": 30, "read": 9}, {"path": "d", "cost": 10, "read": 1}, {"path": "e", "cost": 0}]
+    assert run(items, 9) == (["a", "b", "c", "d", "e"], {})
+    assert run(items, 2) == (["a", "b"], {"top": 3})
+    assert run(items, 0) == ([], {"top": 5})
+    assert run(items, 9, 100) == (["a", "c", "d", "e"], {"budget_tokens": 1})
+    assert run(items, 3, 100) == (["a", "c", "d"], {"budget_tokens": 1, "top": 1})
+    assert run(items, 9, None, 6) == (["a", "b", "d", "e"], {"projected_read_budget": 1})
+    assert run(items, 9, 90, 5) == (["a", "d", "e"], {"budget_tokens": 1, "projected_read_budget": 1})
+    got, out = run(items, 9, None, None, 160)
+    assert got and out["response_budget"] == 5 - len(got)
+    spans = [{"path": "s", "cost": 0, "spans": [{"text": "x" * 300}, {"text": "y" * 20}]}]
+    p = packing.Packer(packing.Budgets(40), 5, measure, price)
+    assert p.offer(spans[0]) and p.chosen[0]["spans"] == [{"text": "y" * 20}]
+    p = packing.Packer(packing.Budgets(None, None, 10), 5, measure, price)
+    assert not p.offer(spans[0]) and p.smallest["spans"] == [{"text": "y" * 20}]
+
+
+def test_fitting_budget():
+    assert packing.fitting_budget(lambda b: 500 + len(str(b)), 10) == 503
+    assert packing.fitting_budget(lambda b: b + 1 if b < 3000 else 100, 1) >= 3000  # creeps, then doubles
+    with pytest.raises(RuntimeError):
+        packing.fitting_budget(lambda b: b + 1, 1)
+
+
+def test_costs():
+    """A word is a token here."""
+    count = lambda t: len(t.split())
+    base = {"path": "a b", "reasons": ["x y", "z"], "tokens": 77}
+    assert packing.costs(base, count)["estimated_tokens"] == packing.costs(base, count)["projected_read_tokens"] == 77
+    spans = packing.costs(base | {"spans": [{"text": "one two"}, {"text": "three"}]}, count, lambda n: 2 * n)
+    assert (spans["estimated_tokens"], spans["projected_read_tokens"]) == (2 * (3 + 40 + 2 + 2), 0)
+    lines = packing.costs(base | {"symbols": [{"signature": "f ( )", "doc": "Does it."}, {"signature": "g", "doc": None}]}, count)
+    assert lines["estimated_tokens"] == 2 * 26 + 6 + 44
+    assert packing.costs(base | {"duplicate_of": "c"}, count)["estimated_tokens"] == 0
+    assert packing.memory_cost("a b c", ["r"], ["p q"], count) == 3 + 24 + 1 + 2 + 8
+    notes = [{"id": i, "text": "w " * n, "reasons": [], "files": None} for i, n in enumerate((60, 6, 10, 1, 1))]
+    assert [m["id"] for m in packing.reserve_memories(notes, 450, count)] == [0] and [m["id"] for m in packing.reserve_memories(notes, 325, count)] == [1, 2]
+    assert [m["id"] for m in packing.reserve_memories(notes, None, count)] == [0, 1, 2]
+
+
+def test_merges():
     assert packing.merge_seen(["x" * 43, "bad"], ["x" * 43]) == ["x" * 43]
     assert packing.merge_known({"a": "1"}, {"a": "2"}) == {"a": "2"}
 
@@ -233,6 +275,13 @@ def test_commands(spark, repo, tmp_path):
     again = r.context("fix the login session", top=2, session="s1")
     assert {x["path"] for x in again["reused"]} >= {x["path"] for x in got["results"]}
     small = r.context("login", budget=30)
+    assert small["retry_budget_tokens"] > 30 and not small["results"]
+    enough = r.context("login", budget=small["retry_budget_tokens"] + 200)
+    assert enough["results"] and r.counter.count(packing.dumps(enough)) <= small["retry_budget_tokens"] + 200
+    tight = r.context("login session", budget_tokens=1)
+    assert not tight["results"] and tight["omitted"]["budget_tokens"] and tight["projected_read_tokens"] == 0
+    assert r.context("login session", projected_read_budget=0)["omitted"]["projected_read_budget"]
+    assert r.context("login session", top=1)["omitted"]["top"] and len(r.context("login")["evidence_id"]) == 64
     assert small["results"] == [] and small["retry_budget_tokens"] > 30
     cut = r.context("login session", detail="slices", budget=1500, session="s2")
     assert cut["results"] and any(x.get("spans") for x in cut["results"])
