@@ -42,6 +42,13 @@ class Repository:
         os.makedirs(self.home, exist_ok=True)
         with open(path, "w") as f:
             json.dump(vars(self.cfg), f, indent=2)
+        inside = to_relative(self.root, self.home)
+        if inside and os.path.isdir(self.root):  # the index itself is not for version control
+            ignore, line = os.path.join(self.root, ".gitignore"), f"/{inside}/"
+            old = open(ignore).read() if os.path.exists(ignore) else ""
+            if line not in old.splitlines():
+                with open(ignore, "a") as f:
+                    f.write(("" if not old or old.endswith("\n") else "\n") + line + "\n")
         return path
 
     def scan(self) -> DataFrame:
@@ -239,6 +246,11 @@ class Repository:
         delta = changes.diff(t.files, self.scan())
         return delta.filter("status <> 'unchanged'").orderBy("path"), changes.impacted(delta, t.edges).orderBy("path")
 
+    def worktree_id(self, delta: DataFrame) -> str:
+        """The state of the tree: that of the index and the local changes, of which there are few."""
+        now = delta.join(self.scan().select("path", "content_hash"), "path", "left").select("status", "path", "content_hash").collect()
+        return identity.worktree_state(index.meta(self.home)["state_hash"], [tuple(r) for r in now])
+
     def patch(self) -> DataFrame:
         """Hunks of modified files against the indexed lines."""
         t, now = self.tables, self.scan()
@@ -299,6 +311,7 @@ class Repository:
 
         mid = hashlib.sha256("\x1f".join([kind, text, session or "", "\x1f".join(sorted(linked))]).encode()).hexdigest()[:8]
         logs.append(self._memory_log, [{"id": mid, "kind": kind, "text": text, "files": linked or None, "tags": tags or None, "session": session, "created": created or datetime.date.today().isoformat(), "line_no": self._next_line()}])
+        logs.compact(self.spark, self.memories().drop("first_line"), self._memory_log)
         return mid
 
     def _next_line(self) -> int:
@@ -369,6 +382,8 @@ class Repository:
 
     def render(self, kind: str, rows, fmt: str = "json") -> str:
         items = rows.collect() if isinstance(rows, DataFrame) else rows
+        if kind == "architecture" and fmt == "text":
+            return render.tree_text(items[0]["tree"])
         return {"json": lambda: render.to_json(kind, items), "text": lambda: render.to_text(items), "md": lambda: render.to_markdown(kind, items), "html": lambda: render.to_html(kind, items)}[fmt]()
 
 

@@ -90,7 +90,7 @@ def run(repo: Repository, a: argparse.Namespace):
         return k, [repo.context(a.query, a.top, a.budget, a.detail, known, a.seen, a.session, not a.no_memory, a.budget_tokens, a.projected_read_budget, a.strip_comments)]
     if k == "changed":
         delta, hit = repo.changed()
-        doc = {"changed": [r.asDict() for r in delta.collect()], "impacted": [r.asDict() for r in hit.collect()]}
+        doc = {"worktree_id": repo.worktree_id(delta), "changed": [r.asDict() for r in delta.collect()], "impacted": [r.asDict() for r in hit.collect()]}
         return k, [doc | ({"hunks": [r.asDict() for r in repo.patch().collect()]} if a.patch else {})]
     if k == "architecture":
         return k, [repo.architecture(a.depth)]
@@ -118,7 +118,7 @@ def call(repo: Repository, tool: str, args: dict):
         return rows(repo.outline(args["path"]))
     if tool == "get_changes":
         delta, hit = repo.changed()
-        return {"changed": rows(delta), "impacted": rows(hit)} | ({"hunks": rows(repo.patch())} if args.get("patch") else {})
+        return {"worktree_id": repo.worktree_id(delta), "changed": rows(delta), "impacted": rows(hit)} | ({"hunks": rows(repo.patch())} if args.get("patch") else {})
     if tool == "get_architecture":
         return repo.architecture(args.get("depth", 3))
     if tool == "memory_search":

@@ -6,12 +6,13 @@ AQE's skew handling, as a join result has one row for each link in any case.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Fixed value: endings tried for an import, in this order.
+# Endings and relations.
+#: Endings tried for an import, in this order.
 PROBED = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
 RELATIONS = ["imports", "imported_by", "tests", "tested_by"]
 
@@ -21,13 +22,6 @@ def dedupe(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").dropDuplicates(["src", "dst", "kind"])
 
 
-def neighbors(edges: DataFrame, files: DataFrame, kind: str, outgoing: bool) -> DataFrame:
-    """(path, neighbor) of every file, where the neighbour is a known file."""
-    a, b = ("src", "dst") if outgoing else ("dst", "src")
-    e = edges.filter(F.col("kind") == kind).select(F.col(a).alias("path"), F.col(b).alias("neighbor")).distinct()
-    return e.join(files.select(F.col("path").alias("neighbor")).distinct(), "neighbor", "left_semi")
-
-
 #: (kind, outgoing) -> relation of a file to its neighbour, why, and how an expansion names the step
 FORMS = {("import", True): ("imports", "import-edge", "imported-by:"), ("import", False): ("imported_by", "reverse-import-edge", "imports:"), ("test", True): ("tests", "test-link", "tested-by:"), ("test", False): ("tested_by", "test-link", "test-of:")}
 
@@ -153,9 +147,3 @@ def without_dependents(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_outgoing(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.select("path").distinct().join(edges.filter("kind = 'import'").select(F.col("src").alias("path")), "path", "left_semi")
-
-
-def nearest(df: DataFrame, key: str, candidate: str) -> DataFrame:
-    """Of the rows of a key the one with the smallest (distance, candidate)."""
-    w = Window.partitionBy(key).orderBy("distance", candidate)
-    return df.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")

@@ -81,7 +81,3 @@ def evidence_id(analysis: str, query: str, options: str, records: Iterable[str])
 def representation_id(evidence: str, fmt: str, profile: str, encoding: str, surface: str, body: str) -> str:
     """``body`` is the rendered response without its own id."""
     return canonical("representation_id.v1", evidence, "3", "rep1", fmt, profile, encoding, surface, hashlib.sha256(body.encode()).hexdigest())
-
-
-def hashed(column: Column) -> Column:
-    return F.sha2(column, 256)

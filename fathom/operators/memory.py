@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +82,3 @@ def for_bundle(entries: DataFrame, ranked: DataFrame, terms: list[str], top: int
     s = 0.7 * F.col("score") + 0.3 * F.coalesce("overlap", F.lit(0.0))
     why = F.when(F.col("path").isNotNull(), F.concat("reasons", F.array(F.concat(F.lit("linked:"), "path")))).otherwise(F.col("reasons"))
     return m.withColumns({"bundle_score": F.floor(s * 1e9 + 0.5) / 1e9, "reasons": why}).filter("bundle_score > 0").orderBy(F.desc("bundle_score"), "id", "repo").limit(top)
-
-
-def entry_id(kind: Column, text: Column, session: Column, paths: Column) -> Column:
-    """Eight hex digits over the kind, text, session and sorted paths."""
-    sep = "\x1f"
-    joined = F.concat_ws(sep, kind, text, F.coalesce(session, F.lit("")), F.array_join(F.array_sort(F.coalesce(paths, F.array().cast("array<string>"))), sep))
-    return F.substring(F.sha2(joined, 256), 1, 8)
-
-
-def union_logs(*logs: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.context import path_signal
 from ..sources.tables import SQL_EDGES, SQL_FILES, SQL_SYMBOLS, edges, live_files, symbols, table
 from .registry import query
 
@@ -45,13 +46,10 @@ def f4_path_parts(spark, d):
     return table(spark, d, "documents").select("doc_id", S.dirname(p).alias("dir"), S.basename(p).alias("name"), S.stem(p).alias("stem"), S.ext(p).alias("ext"))
 
 
-@query(rf"""WITH m AS (SELECT doc_id, {' + '.join(f"contains(lower(path), '{t}')::INT" for t in TERMS)} AS matches, regexp_replace(lower({_name}), '\.[^.]*$', '') IN {_in(TERMS)} AS exact FROM documents)
-SELECT doc_id, matches + CASE WHEN exact THEN 2 ELSE 0 END AS path_score, CASE WHEN exact THEN 'path-name-match' ELSE 'path-match' END AS reason FROM m WHERE matches > 0 OR exact""")
+@query(rf"""WITH m AS (SELECT path, {' + '.join(f"contains(lower(path), '{t}')::INT" for t in TERMS)} AS matches, regexp_replace(lower({_name}), '\.[^.]*$', '') IN {_in(TERMS)} AS exact FROM documents)
+SELECT path, (matches + CASE WHEN exact THEN 2 ELSE 0 END)::DOUBLE AS path_score, CASE WHEN exact THEN 'path-name-match' ELSE 'path-match' END AS reason FROM m WHERE matches > 0 OR exact""")
 def f5_path_match(spark, d):
-    low = F.lower(F.col("path"))
-    n = sum((low.contains(t).cast("int") for t in TERMS), F.lit(0))
-    m = table(spark, d, "documents").select("doc_id", n.alias("matches"), S.stem(low).isin(*TERMS).alias("exact")).filter("matches > 0 OR exact")
-    return m.select("doc_id", (F.col("matches") + F.when(F.col("exact"), 2).otherwise(0)).alias("path_score"), F.when(F.col("exact"), "path-name-match").otherwise("path-match").alias("reason"))
+    return path_signal(table(spark, d, "documents").select("path"), TERMS)
 
 
 @query(f"""WITH {SQL_FILES}
@@ -120,9 +118,9 @@ def x11_x13_outline_text(spark, d):
     return symbols(spark, d).select("symbol_id", S.signature(F.col("signature")).alias("signature"), S.doc_summary(F.col("doc")).alias("summary"))
 
 
-@query(f"WITH {SQL_FILES} SELECT path, least(ceil(token_count * 1.2), 2147483647)::BIGINT AS scaled, left(content_hash, 12) AS short_hash FROM live WHERE token_count BETWEEN 0 AND 1000000")
+@query(f"WITH {SQL_FILES} SELECT path, least(ceil(token_count * 1.2), 2147483647)::BIGINT AS scaled, left(content_hash, 12) AS short_hash FROM live WHERE token_count IS NOT NULL")
 def x16_x20_scaled_tokens(spark, d):
-    return live_files(spark, d).filter("token_count BETWEEN 0 AND 1000000").select("path", S.scale_tokens(F.col("token_count"), 1.2).alias("scaled"), S.short_hash(F.col("content_hash")).alias("short_hash"))
+    return live_files(spark, d).filter("token_count IS NOT NULL").select("path", S.scale_tokens(F.col("token_count"), 1.2).alias("scaled"), S.short_hash(F.col("content_hash")).alias("short_hash"))
 
 
 _cents = "floor(abs(n) * 5 / 1e4 + 0.5)::BIGINT"

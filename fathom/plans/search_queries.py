@@ -168,14 +168,14 @@ BUDGET, TOP = 3000, 8
 def sql_items() -> str:
     return f"""{sql_ranked(TERMS)},
 tok AS (SELECT path, greatest(coalesce(token_count, 0), 0)::BIGINT AS cost, content_hash FROM live),
-items AS (SELECT path, cost, content_hash, row_number() OVER (ORDER BY adjusted DESC, path) AS pos FROM ranked JOIN tok USING (path) WHERE adjusted > 0 AND cost < 1000000)"""
+items AS (SELECT path, cost, content_hash, row_number() OVER (ORDER BY adjusted DESC, path) AS pos FROM ranked JOIN tok USING (path) WHERE adjusted > 0)"""
 
 
 def _items(spark, d):
     from pyspark.sql import Window
 
     f = live_files(spark, d).select("path", F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)).cast("long").alias("cost"), "content_hash")
-    j = _ranked(spark, d).join(f, "path").filter("adjusted > 0 AND cost < 1000000")
+    j = _ranked(spark, d).join(f, "path").filter("adjusted > 0")
     # one task numbers all candidates: a thousand by evidence, and any number by paths and links
     return j.select("path", "cost", "content_hash", F.row_number().over(Window.orderBy(F.desc("adjusted"), "path")).alias("pos"))
 

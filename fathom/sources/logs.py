@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 MEMORY_SCHEMA = "id string, kind string, text string, files map<string,string>, tags array<string>, session string, created string, deleted boolean, line_no long, repo string"
 USAGE_SCHEMA = "v int, ts timestamp, command string, source string, served int, replaced int, files int, unchanged int, usage_id long, repo string"
-#: A log is rewritten when it has so many lines more than live entries.
+#: A log is rewritten when it has so many parts more than live entries.
 SLACK = 1000
 
 
@@ -37,18 +37,16 @@ def append(folder: str, records: list[dict]) -> str:
     return name
 
 
-def numbered(log: DataFrame) -> DataFrame:
-    """The log with ``line_no`` where its lines have none: by file name, then position in the file."""
-    if "line_no" in log.columns:
-        return log
-    w = Window.partitionBy("_part").orderBy("_pos")
-    log = log.withColumns({"_part": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
-    return log.withColumn("line_no", F.row_number().over(w)).drop("_part", "_pos")
+def compact(spark: SparkSession, live: DataFrame, folder: str) -> bool:
+    """Rewrite a log as its live entries alone, if it has ``SLACK`` parts more than those; whether it was rewritten.
 
-
-def compact(spark: SparkSession, live: DataFrame, folder: str, new_folder: str, lines: int) -> bool:
-    """Write the live entries as a log of their own if the old one has ``SLACK`` lines too many."""
-    if lines <= live.count() + SLACK:
+    The new log is complete before it takes the old one's place, so a reader finds one or the other.
+    """
+    if len(os.listdir(folder)) <= live.count() + SLACK:
         return False
-    live.write.mode("errorifexists").json(new_folder)
+    new, old = f"{folder}.new-{time.time_ns()}", f"{folder}.old-{time.time_ns()}"
+    live.write.mode("errorifexists").json(new)
+    os.replace(folder, old)
+    os.replace(new, folder)
+    shutil.rmtree(old)
     return True

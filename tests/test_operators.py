@@ -338,6 +338,21 @@ def test_evaluation(spark):
     labels = df(spark, [("q", "a", 0, False), ("q", "b", 1, False), ("q", "x", 0, True)], "query string, path string, place int, forbidden boolean")
     m = evaluation.metrics(ranked, labels).first()
     assert (m["recall_1"], m["recall_3"], m["leaked"]) == (0.5, 1.0, True) and 0.9 < m["ndcg_8"] < 1.0
+    spans = df(spark, [("q", "a", 1, 10), ("q", "a", 5, 12)], "query string, path string, start int, end int")
+    assert evaluation.line_density(spans, df(spark, [("q", "a", 10, 30)], "query string, path string, start int, end int")).first()["density"] == 3 / 12
+
+
+def test_log_compaction(spark, tmp_path, monkeypatch):
+    from fathom.sources import logs
+
+    folder = str(tmp_path / "log")
+    for i in range(6):
+        logs.append(folder, [{"id": "a", "kind": "note", "text": f"t{i}", "line_no": i, "repo": ""}])
+    live = lambda: memory.fold(logs.read(spark, folder, logs.MEMORY_SCHEMA))
+    assert not logs.compact(spark, live().drop("first_line"), folder)
+    monkeypatch.setattr(logs, "SLACK", 3)
+    assert logs.compact(spark, live().drop("first_line"), folder)
+    assert logs.read(spark, folder, logs.MEMORY_SCHEMA).count() == 1 and live().first()["text"] == "t5"
 
 
 def test_command_line_and_server(spark, repo, tmp_path, capsys):
@@ -422,4 +437,6 @@ def test_receipts():
     assert i.unit_receipt("src/auth/session.ts", session, "outline", "symbol", 9, 11, "createSession", shown) == "X8OnTHbsnWJtu2HiRj8EAyUWPZcQWTfq-qpsUPawZYM"
     text = "export function isSessionValid(session: Session, now: number): boolean {\n  return session.expiresAt > now;\n}"
     assert i.unit_receipt("src/auth/session.ts", session, "slices", "span", 16, 18, "isSessionValid", text) == "CrzXyjrMb4m4Y_l-AvHEhB6EfvJhfb5-Y9k6CKgDNt4"
+    same = [i.representation_id("e", "json", "p", "utf-8", "cli", b) for b in ("x", "x", "y")]
+    assert same[0] == same[1] != same[2]
     assert i.worktree_state("s", [("a", "x", "1"), ("d", "b", None)]) == i.worktree_state("s", [("d", "b", None), ("a", "x", "1")])

@@ -99,3 +99,50 @@ def test_tokens_and_escapes():
     assert T.PatternTokens().count("") == 0
     assert T.PatternTokens().count("a b  c") == 4
     assert T.json_escaped("a\"<b>'+é") == "a\\u0022\\u003Cb\\u003E\\u0027\\u002B\\u00e9"
+
+
+def test_shortest_edits():
+    import random
+
+    from fathom.functions.textops import shortest_edits
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def edits(ops):
+        return sum(i2 - i1 + j2 - j1 for i1, i2, j1, j2 in ops)
+
+    assert edits(shortest_edits(list("ABCABBA"), list("CBABAC"), 99)) == 5
+    assert shortest_edits(list("abc"), list("xyz"), 5) is None and shortest_edits([], [], 0) == []
+    rnd = random.Random(1)
+    for _ in range(500):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        ops = shortest_edits(a, b, 99)
+        out, at = [], 0
+        for i1, i2, j1, j2 in ops:
+            out += a[at:i1] + b[j1:j2]
+            at = i2
+        assert out + a[at:] == b and edits(ops) == len(a) + len(b) - 2 * common(a, b)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    from fathom.functions.textops import extract_symbols
+
+    for path, text in (
+        ("a.js", "function f(a){return a(b)};" * 20_000), ("a.js", "`${a} " * 60_000), ("a.cs", "public int P { get; set; }\n" * 10_000), ("a.cs", "class A { void F() { } }\n" * 10_000), ("a.ts", "a(b);" * 60_000), ("a.js", "f(" * 100_000),
+    ):
+        began = time.time()
+        extract_symbols(path, text)
+        assert time.time() - began < 15
+    attributes = "[Route(\"x\")]\n" * 60 + "[ApiController]\npublic class Shop\n{\n    public int Get(int id) { return 1; }\n}\n"
+    assert [s[1] for s in extract_symbols("a.cs", attributes)] == ["class", "route"]
+    signature = extract_symbols("a.js", "function long(" + ", ".join(f"argument{i}" for i in range(600)) + ") { }")[0][4]
+    assert signature.endswith("argument599)")
