@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import budget, credentials, docpairs, mixture, pieces, provenance, syntax, terms, tokenize
@@ -163,3 +164,85 @@ def p9_shares_by_entropy(spark, d):
     budget, have, _ = mixture.budgets(sized, targets)
     entropy = mixture.between(have, budget, 0.5)
     return mixture.shares(sized, mixture.mix(sized, targets, wanted_entropy=entropy), targets, mixture.budgets(sized, targets, None, entropy)[0])
+
+
+# -- properties that SQL can state where it can't state the rows
+
+
+@query
+def p1_documents(spark, d):
+    """Documents by source in the budget, and those among them without a token."""
+    t = p1_document_tokens(spark, d)
+    return t.groupBy("source").agg(F.count("*").alias("documents"), F.sum((F.col("est_tokens") == 0).cast("long")).alias("empty"))
+
+
+SQL["p1_documents"] = "SELECT source, count(*) AS documents, sum((coalesce(text, '') = '')::BIGINT)::BIGINT AS empty FROM documents GROUP BY source"
+
+
+@query
+def p5_checked(spark, d):
+    """Files by the language of their ending: all, and those with a text to parse."""
+    c = syntax.check_syntax(table(spark, d, "documents"))
+    return c.groupBy("language").agg(F.count("*").alias("files"), F.count("valid").alias("checked"))
+
+
+SQL["p5_checked"] = r"""
+WITH x AS (SELECT regexp_extract(lower(path), '\.(tsx?|js|cs|json)$', 1) AS e, text FROM documents)
+SELECT CASE e WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'js' THEN 'javascript' WHEN 'cs' THEN 'csharp' ELSE 'json' END AS language,
+  count(*) AS files, count(*) FILTER (WHERE regexp_matches(text, '[^\s]')) AS checked FROM x WHERE e <> '' GROUP BY ALL
+"""
+
+
+@query
+def p6_left(spark, d):
+    """Credentials that are found in the redacted texts, and rows whose number of lines has changed."""
+    out = None
+    for name, key, col in (("chunks", "chunk_id", "content"), ("appsettings", "settings_id", "body")):
+        t = table(spark, d, name).select(key, col, F.length(F.regexp_replace(col, "[^\n]", "")).alias("lines"))
+        clean = credentials.redact_credentials(t, col)
+        again = credentials.redact_credentials(clean.drop("n_credentials"), col)
+        one = again.select(F.lit(name).alias("tab"), F.col("n_credentials").cast("long").alias("n"), (F.length(F.regexp_replace(col, "[^\n]", "")) != F.col("lines")).cast("long").alias("moved"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("tab").agg(F.sum("n").alias("found"), F.coalesce(F.sum("moved"), F.lit(0)).alias("moved"))
+
+
+SQL["p6_left"] = "SELECT unnest(['chunks', 'appsettings']) AS tab, 0::BIGINT AS found, 0::BIGINT AS moved"
+
+
+@query
+def p7_judged(spark, d):
+    """Code files with a text that were judged, by source."""
+    return provenance.classify_files(table(spark, d, "documents"), table(spark, d, "thirdparty")).groupBy("source").agg(F.count("*").alias("files"))
+
+
+SQL["p7_judged"] = r"SELECT source, count(*) AS files FROM documents WHERE regexp_matches(path, '\.(tsx?|js|cs)\s*$') AND length(trim(text)) > 0 GROUP BY source"
+
+
+@query
+def p9_violations(spark, d):
+    """Records of the mix that are repeated more often than their source's cap, unwanted, or chosen twice."""
+    sized, targets = mixture.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    m = mixture.mix(sized, targets).join(targets.groupBy("source").agg(F.max("max_repeats").alias("cap"), F.max("target_share").alias("share")), "source", "left")
+    many = F.count("*") - F.count_distinct("doc_id")
+    return m.agg(F.coalesce(F.sum((F.col("repeats") > F.col("cap")).cast("long")), F.lit(0)).alias("over_cap"), F.coalesce(F.sum((F.coalesce("share", F.lit(0.0)) <= 0).cast("long")), F.lit(0)).alias("unwanted"), many.alias("twice"))
+
+
+SQL["p9_violations"] = "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS unwanted, 0::BIGINT AS twice"
+
+
+@query
+def p10_violations(spark, d):
+    """Pieces above their limit or overlap, gaps between pieces, and texts that the pieces don't give again."""
+    limits = table(spark, d, "split_limits").select("profile", "max_tokens", F.col("overlap_tokens").alias("most"))
+    w = Window.partitionBy("doc_id", "profile").orderBy("piece")
+    p = p10_pieces(spark, d).join(F.broadcast(limits), "profile").withColumn("done", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    whole = p.groupBy("doc_id", "profile").agg(
+        F.sum((F.col("n_tokens") > F.col("max_tokens")).cast("long")).alias("large"), F.sum((F.col("overlap_tokens") > F.col("most")).cast("long")).alias("shared"), F.sum((F.col("start") > F.col("done")).cast("long")).alias("gaps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.expr("substring(text, done - start + 1)").alias("t")))), lambda x: x["t"]), "").alias("again"),
+    )
+    j = whole.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("given")), "doc_id")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return j.agg(zero("large").alias("over_limit"), zero("shared").alias("over_overlap"), zero("gaps").alias("gaps"), zero((F.col("again") != F.col("given")).cast("long")).alias("other_text"))
+
+
+SQL["p10_violations"] = "SELECT 0::BIGINT AS over_limit, 0::BIGINT AS over_overlap, 0::BIGINT AS gaps, 0::BIGINT AS other_text"

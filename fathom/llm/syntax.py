@@ -346,6 +346,9 @@ class Dialect:
                     if not got and len(parts) == 1 and symbol == "List" and len(content) > 64:
                         got = self._long_statement(content)
                 elif len(content) > 64 and symbol == "Expr":
+                    if self.punct[","] in (content[0], content[-1]):
+                        self.known[key] = False
+                        return False
                     got = self._long_expression(content)
                 elif len(content) > 64 and symbol in _ITEMS:
                     got = self._each_item(symbol, content)
