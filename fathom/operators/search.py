@@ -1,19 +1,20 @@
 """Full-text search over chunks: BM25 scores, the best chunk of each file, and capped evidence.
 
 Scores of a query need the number of chunks, their average length and each term's frequency over all
-chunks: one aggregate of a row. The scoring scan keeps only matching chunks, so what is shuffled afterwards
-is bounded by the matches. For many queries over one corpus write ``postings`` once, sorted by term.
+chunks. They are observed in the same pass over the texts that keeps the matching chunks, so every text is
+read once, and what is shuffled afterwards is bounded by the matches. For many queries over one corpus
+write ``postings`` once, sorted by term.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import widen
+from ..session import cut_lineage, widen
 
 PER_FILE, OVERALL = 8, 500
 K1, B = 1.2, 0.75
@@ -71,16 +72,15 @@ def scored_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
     if not terms:
         return chunks.drop("content").withColumn("score", F.lit(0.0)).limit(0)
 
-    def counted(c: DataFrame) -> DataFrame:
-        m = matches(widen(c), terms).drop("content")
-        return m.dropDuplicates(["chunk_id"]) if "chunk_id" in c.columns else m
-
-    m = counted(chunks.select("content", *(["chunk_id"] if "chunk_id" in chunks.columns else [])))
-    s = m.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+    m = matches(widen(chunks), terms).drop("content")
+    if "chunk_id" in chunks.columns:
+        m = m.dropDuplicates(["chunk_id"])
+    # counted where the last stage of this job reads its partitions: each counts once, even if tasks are run again
+    counts = Observation()
+    seen = m.observe(counts, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
+    hit = cut_lineage(seen.filter(F.exists("tf", lambda x: x > 0)))
+    s = counts.get
     df = [s[f"df{i}"] or 0 for i in range(len(terms))]
-    some = reduce(lambda a, b: a | b, (S.fold(F.coalesce("content", F.lit(""))).contains(t) for t in terms))
-    # the aggregate above keeps Catalyst from pushing this filter down, where it would count every term anew
-    hit = counted(chunks.filter(some)).filter(F.exists("tf", lambda x: x > 0))
     # equal scores stay equal on any engine: nine decimals
     score = F.floor(bm25(F.col("tf"), F.col("dl"), s["n"], s["total"] or 0, df) * 1e9 + 0.5) / 1e9
     return hit.withColumn("score", score).drop("tf", "dl")
